@@ -10,12 +10,22 @@ from ..scale import first_per_key
 
 def reference_mentions(df: DataFrame, text: str) -> DataFrame:
     """One row per reference in the text: kind, its parts, exact span. All inside the row, no shuffle."""
-    return df.select(*[c for c in df.columns if c != text], F.inline(T.mentions(text)))
+    # Outer, then filtered: a plain inline makes Spark scan the text a second time to test for emptiness.
+    kept = [c for c in df.columns if c != text]
+    return df.select(*kept, F.inline_outer(T.mentions(text))).filter("kind IS NOT NULL")
+
+
+def with_citation(df: DataFrame, text: str, name: str = "_c") -> DataFrame:
+    """Adds the first reference of the text as a struct.
+
+    Exploding a one-element array keeps Spark from copying the whole expression to each use of a field.
+    """
+    return df.select("*", F.explode_outer(F.array(T.citation(text))).alias(name))
 
 
 def classify_citations(df: DataFrame, text: str) -> DataFrame:
     """Adds the first reference of each text: kind, article, law, year, case_number, ecli, confidence."""
-    return df.withColumn("_c", T.citation(text)).select(*df.columns, "_c.*")
+    return with_citation(df, text).select(*df.columns, "_c.*")
 
 
 def entry_keys(entries: DataFrame) -> DataFrame:
@@ -36,7 +46,7 @@ def validate_citations(citations: DataFrame, entries: DataFrame, text: str = "ci
 
     Entries are counted per key before the join, so a law with many provisions stays one row.
     """
-    parsed = citations.withColumn("_c", T.citation(text)).withColumn("_key", T.reference_key(F.col("_c")))
+    parsed = with_citation(citations, text).withColumn("_key", T.reference_key(F.col("_c")))
     counts = entry_keys(entries).groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     out = parsed.join(counts, "_key", "left")
     known = F.col("_c.kind") != "unknown"
@@ -54,7 +64,7 @@ def resolve_authorities(citations: DataFrame, entries: DataFrame, text: str = "c
     `verified` is false for a citation without an entry; use it to split off the rejects.
     Of several entries the first by canonical_ref counts, chosen before the join.
     """
-    keyed = citations.withColumn("_key", T.reference_key(T.citation(text)))
+    keyed = with_citation(citations, text).withColumn("_key", T.reference_key(F.col("_c")))
     named = entry_keys(entries).groupBy(F.col("key").alias("_key")).agg(F.min("canonical_ref").alias("canonical_ref"))
     found = keyed.join(named, "_key", "left")
     detail = first_per_key(

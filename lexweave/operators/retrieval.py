@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions import dates as D, fixed, text as T, vectors as VF
 from ..scale import first_per_key, query_batches, sequence_in_blocks, spread, top_per_key
-from .graph import entry_keys
+from .graph import entry_keys, with_citation
 from .temporal import annotate_temporal
 
 ENTRY_COLUMNS = [
@@ -43,8 +43,8 @@ def search_projection(entries: DataFrame, order: list[str]) -> DataFrame:
 
 def postings(entries: DataFrame, text: str = "body") -> DataFrame:
     """(term, canonical_ref, tf) of folded words, counted before the shuffle."""
-    words = spread(entries).select("canonical_ref", F.explode(T.folded_tokens(text)).alias("term"))
-    return words.groupBy("term", "canonical_ref").agg(F.count(F.lit(1)).alias("tf"))
+    words = spread(entries).select("canonical_ref", F.explode_outer(T.folded_tokens(text)).alias("term"))
+    return words.filter("term IS NOT NULL").groupBy("term", "canonical_ref").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def write_postings(postings_df: DataFrame, table: str, buckets: int) -> None:
@@ -130,8 +130,8 @@ def _batch_scores(asked: DataFrame, entries: DataFrame) -> DataFrame:
             lambda f: f["n"] > 0,
         ),
     )
-    per_entry = rows.filter(F.size("_hits") > 0).select("kind", "canonical_ref", features.alias("_features"))
-    placed = per_entry.repartition("canonical_ref").select("kind", "canonical_ref", F.inline("_features"))
+    per_entry = rows.select("kind", "canonical_ref", features.alias("_features"))
+    placed = per_entry.repartition("canonical_ref").select("kind", "canonical_ref", F.inline_outer("_features"))
     met = placed.join(_query_features(asked), ["feature", "term"])
 
     def total(name: str) -> Column:
@@ -160,7 +160,7 @@ def exact_lookup(queries: DataFrame, entries: DataFrame) -> DataFrame:
     First the article-of-law form on (law, article); if nothing is found the wider form with
     alphanumeric law keys on (law, article); if still nothing its canonical reference.
     """
-    cite = T.citation("query")
+    parsed, cite = with_citation(queries, "query"), F.col("_c")
     wide_article = T.blank_to_null(F.regexp_extract("query", fixed.FLAGS + fixed.KEYED_ARTICLE, 1))
     wide_law = F.regexp_replace(
         T.blank_to_null(F.regexp_extract("query", fixed.FLAGS + fixed.KEYED_ARTICLE, 2)), r"\.+$", ""
@@ -177,7 +177,7 @@ def exact_lookup(queries: DataFrame, entries: DataFrame) -> DataFrame:
         way(2, F.concat(F.lit("art|"), wide_law, F.lit("|"), wide_article), wide_law, wide_article),
         way(3, F.concat(F.lit("ref|law-"), wide_law, F.lit("-art-"), wide_article), wide_law, wide_article),
     ))
-    keyed = queries.select("query_id", F.inline(ways))
+    keyed = parsed.select("query_id", F.inline_outer(ways)).filter("key IS NOT NULL")
     by_ref = entries.select(F.concat(F.lit("ref|"), "canonical_ref").alias("key"), "canonical_ref")
     targets = entry_keys(entries).filter(F.col("key").startswith("art|")).unionByName(by_ref)
     hits = keyed.join(targets, "key").select("query_id", "way", "canonical_ref", "law", "article")
@@ -188,7 +188,7 @@ def exact_lookup(queries: DataFrame, entries: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, entries: DataFrame, k: int, mode: str = "hybrid") -> DataFrame:
     """Exact references at 100, then lexical hits without repeats, best `k` with a reason."""
-    parsed = queries.withColumn("_c", T.citation("query")).withColumn("_key", T.reference_key(F.col("_c")))
+    parsed = with_citation(queries, "query").withColumn("_key", T.reference_key(F.col("_c")))
     named = parsed.filter(F.col("_c.kind").isin("legislation_article", "judgment")).select(
         "query_id", "_key",
         F.when(F.col("_c.kind") == "judgment", "Exact citation match").otherwise(
@@ -304,9 +304,9 @@ def graph_expand(queries: DataFrame, aliases: DataFrame, citations: DataFrame, l
 
     `aliases` maps every key of a case to its canonical_id; edges use any of those keys.
     """
-    cite = T.citation("query")
+    parsed, cite = with_citation(queries, "query"), F.col("_c")
     key = F.when(cite["kind"] == "judgment", F.coalesce(cite["ecli"], cite["case_number"]))
-    named = queries.select("query_id", key.alias("alias")).filter("alias IS NOT NULL")
+    named = parsed.select("query_id", key.alias("alias")).filter("alias IS NOT NULL")
     cases = named.join(aliases, "alias").select("query_id", "canonical_id").distinct()
     keys = cases.join(aliases, "canonical_id").select("query_id", "alias")
     cited = keys.join(citations.select(F.col("source_key").alias("alias"), "target_key"), "alias").select(
@@ -442,8 +442,8 @@ def private_search(queries: DataFrame, precedents: DataFrame, k: int) -> DataFra
     wanted = F.array_distinct(F.flatten(F.transform(first, lambda t: T.folded_tokens(t))))
     asked = queries.select("query_id", "org_id", wanted.alias("terms")).filter(F.size("terms") > 0)
     terms = asked.select("query_id", "org_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    words = spread(precedents).select("org_id", "item_id", F.explode(T.folded_tokens("body")).alias("term"))
-    counted = words.groupBy("org_id", "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = spread(precedents).select("org_id", "item_id", F.explode_outer(T.folded_tokens("body")).alias("term"))
+    counted = words.filter("term IS NOT NULL").groupBy("org_id", "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     met = counted.join(terms, ["org_id", "term"]).groupBy("query_id", "org_id", "item_id", "n_terms").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tf").alias("hits")
     )

@@ -60,8 +60,8 @@ def split_provisions(df: DataFrame, text: str = "raw_text", strict_paragraphs: b
     sections = marked.withColumn("_sections", F.transform("_heads", section))
     exploded = sections.select(
         *[c for c in df.columns if c != text],
-        F.posexplode(F.flatten(F.transform("_sections", rows))).alias("sort_order", "_node"),
-    )
+        F.posexplode_outer(F.flatten(F.transform("_sections", rows))).alias("sort_order", "_node"),
+    ).filter("sort_order IS NOT NULL")
     return exploded.select(*[c for c in df.columns if c != text], "_node.*", "sort_order")
 
 
@@ -105,7 +105,7 @@ def judgment_lines(df: DataFrame, key: str, text: str, part: str | None = None)
     `part` orders the pieces when a judgment arrives as several rows.
     """
     first = F.col(part).cast("bigint") if part else F.lit(0).cast("bigint")
-    lines = df.select(key, first.alias("part"), F.posexplode(T.lines(text)).alias("line_no", "line"))
+    lines = df.select(key, first.alias("part"), F.posexplode_outer(T.lines(text)).alias("line_no", "line"))
     lines = lines.withColumn("line", T.strip("line")).filter(F.col("line") != "")
     heading = F.regexp_replace(F.lower("line"), r"[:.]+$", "")
     known = F.create_map(*[F.lit(x) for pair in fixed.HEADINGS.items() for x in pair])

@@ -1,6 +1,12 @@
 """Registered queries: every operator over the given tables."""
 
-from . import documents, references, search  # noqa: F401
-from .base import ORACLES, QUERIES
+from . import documents, quality, records, references, search  # noqa: F401
+from .base import ORACLES, QUERIES, oracle
 
-__all__ = ["ORACLES", "QUERIES"]
+
+def oracles() -> dict[str, str]:
+    """Complete SQL per query."""
+    return {name: oracle(sql) for name, sql in ORACLES.items()}
+
+
+__all__ = ["QUERIES", "oracles"]

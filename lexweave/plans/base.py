@@ -73,7 +73,7 @@ def query(name: str, sql: str | None = None):
     def add(fn: Callable[[Source], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Source(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            ORACLES[name] = sql
         return fn
 
     return add

@@ -127,16 +127,19 @@ SELECT query_id, ecli, case_number, article FROM (SELECT query_id,
 """
 
 
+ORACLE_PARTS["found"] = """
+SELECT query_id, kind, canonical_ref, 100.0 AS score, concat('Exact match: Article ', article) AS reason
+FROM {exact} x JOIN {entries} USING (canonical_ref)
+UNION ALL SELECT query_id, kind, canonical_ref, 100.0, 'Exact citation match' FROM {question_cites} c JOIN {entries} e
+  ON e.ecli = c.ecli OR (c.ecli IS NULL AND e.case_number = c.case_number) WHERE c.article IS NULL
+"""
+
+
 @query("search", """
-WITH found AS (
-  SELECT query_id, kind, canonical_ref, 100.0 AS score, concat('Exact match: Article ', article) AS reason
-  FROM {exact} x JOIN {entries} USING (canonical_ref)
-  UNION ALL SELECT query_id, kind, canonical_ref, 100.0, 'Exact citation match' FROM {question_cites} c JOIN {entries} e
-    ON e.ecli = c.ecli OR (c.ecli IS NULL AND e.case_number = c.case_number) WHERE c.article IS NULL)
 SELECT query_id, kind, canonical_ref, score, reason, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_ref) AS rank FROM (
-  SELECT * FROM found
+  SELECT * FROM {found}
   UNION ALL SELECT query_id, kind, canonical_ref, score, CASE WHEN phrase THEN 'Exact phrase match in text' ELSE 'Lexical match (tf/word overlap)' END
-  FROM {question_lexical} WHERE rank <= 10 AND (query_id, canonical_ref) NOT IN (SELECT query_id, canonical_ref FROM found))
+  FROM {question_lexical} WHERE rank <= 10 AND (query_id, canonical_ref) NOT IN (SELECT query_id, canonical_ref FROM {found}))
 QUALIFY rank <= 10""")
 def search(src):
     return R.search(src.questions, src.entries, 10)
@@ -296,7 +299,7 @@ def assemble(src):
 # Annotated results: each order line refers to the law of its order's customer at the day it shipped.
 INPUTS["dated_refs"] = """
 SELECT order_key, line_number, CASE WHEN line_number = 7 THEN concat('judgment-', law) ELSE concat('law-', law, '-art-1') END AS canonical_ref,
-  CASE WHEN line_number = 6 THEN NULL ELSE as_of END AS query_date FROM {probes}
+  CASE WHEN line_number = 6 THEN NULL ELSE as_of END AS query_date, as_of FROM {probes}
 """
 
 
@@ -304,8 +307,7 @@ SELECT order_key, line_number, CASE WHEN line_number = 7 THEN concat('judgment-'
 SELECT order_key, line_number, d.canonical_ref, CAST(CASE WHEN line_number < 6 THEN r.version_number ELSE -1 END AS BIGINT) AS applicable_version,
   CASE WHEN line_number < 6 THEN strftime(r.effective_from, '%Y-%m-%d') END AS applicable_from,
   CASE WHEN line_number < 6 THEN strftime(r.effective_to, '%Y-%m-%d') END AS applicable_to
-FROM {dated_refs} d JOIN {resolved} r USING (order_key, line_number)
-WHERE d.query_date IS NULL OR d.query_date = r.as_of""")
+FROM {dated_refs} d JOIN {resolved} r USING (order_key, line_number, as_of)""")
 def annotate_temporal(src):
     out = R.annotate_temporal(src.dated_refs, chain(src), "canonical_ref", "query_date", disjoint=True)
     return out.select(
@@ -356,8 +358,7 @@ def score_texts(src):
 SELECT order_key, line_number, concat_ws(' | ', CASE WHEN line_number = 1 THEN concat('Exact match: ', d.canonical_ref) END,
   CASE WHEN line_number < 6 THEN concat('Applicable version as of event date: v', r.version_number, ' (', strftime(r.effective_from, '%Y-%m-%d'), ' – ',
     coalesce(strftime(r.effective_to, '%Y-%m-%d'), 'now'), ')') END, 'BM25 + dense + tree/graph fusion (RRF)') AS explanation
-FROM {dated_refs} d JOIN {resolved} r USING (order_key, line_number)
-WHERE d.query_date IS NULL OR d.query_date = r.as_of""")
+FROM {dated_refs} d JOIN {resolved} r USING (order_key, line_number, as_of)""")
 def explain(src):
     placed = R.annotate_temporal(src.dated_refs, chain(src), "canonical_ref", "query_date", disjoint=True)
     out = R.explain(placed.withColumn("exact", F.col("line_number") == 1))
@@ -418,13 +419,17 @@ SELECT item_id AS query_id, item_id % 10 AS org_id, CASE WHEN item_id % 2 = 0 TH
 """
 
 
-@query("private_search", f"""
-WITH tf AS (SELECT org_id, item_id, title, term, count(*) AS n FROM (
-  SELECT org_id, item_id, title, unnest(regexp_split_to_array(translate(lower(body), {FOLD}), {FOLD_SPLIT})) AS term FROM {{private_items}}) GROUP BY ALL)
+ORACLE_PARTS["private_tf"] = f"""
+SELECT org_id, item_id, title, term, count(*) AS n FROM (
+  SELECT org_id, item_id, title, unnest(regexp_split_to_array(translate(lower(body), {FOLD}), {FOLD_SPLIT})) AS term FROM {{private_items}}) GROUP BY ALL
+"""
+
+
+@query("private_search", """
 SELECT q.query_id, q.org_id, a.item_id, a.title, round((a.n + b.n) * 0.1, 6) AS score,
   row_number() OVER (PARTITION BY q.query_id ORDER BY a.n + b.n DESC, a.item_id) AS rank, true AS internal, false AS primary_authority
-FROM {{private_queries}} q JOIN tf a ON a.org_id = q.org_id AND a.term = CASE WHEN q.query_id % 2 = 0 THEN 'the' ELSE 'de' END
-JOIN tf b ON b.org_id = q.org_id AND b.item_id = a.item_id AND b.term = CASE WHEN q.query_id % 2 = 0 THEN 'en' ELSE 'la' END
+FROM {private_queries} q JOIN {private_tf} a ON a.org_id = q.org_id AND a.term = CASE WHEN q.query_id % 2 = 0 THEN 'the' ELSE 'de' END
+JOIN {private_tf} b ON b.org_id = q.org_id AND b.item_id = a.item_id AND b.term = CASE WHEN q.query_id % 2 = 0 THEN 'en' ELSE 'la' END
 QUALIFY rank <= 10""")
 def private_search(src):
     return R.private_search(src.private_queries, src.private_items, 10)
