@@ -20,7 +20,7 @@ PARAGRAPH_HEADING = r"^\s*\(([0-9]+[a-z]?)\)\b"
 PARAGRAPH_HEADING_LOOSE = r"^\s*\(([0-9]+[a-z]?)\)"
 CELEX = r"^[1-4]\d{2}\d{2}[LR]\d{4}$"
 AMOUNT = r"[€£$]\s?(\d[\d,.]*)"
-CAPITALISED_NAME = r"\b((?:[A-Z][a-zA-Z]+\s?)+)\b"
+CAPITALISED_NAME = r"\b([A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+)*\s?)\b"
 SLASH_DATE = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
 QUERY_DATE = r"\b(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})\b"
 QUERY_MONTH_DATE = (
