@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, fixed, text as T
 from ..scale import top_per_key
+from ..session import durable
 from .graph import adverse_authorities, resolve_authorities, validate_citations
 from .retrieval import search
 from .temporal import resolve_as_of
@@ -329,7 +330,8 @@ def grounded_answer(
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-zͰ-Ͽ]{3,})"), F.lit(1)))
     asked = queries.select("query_id", words.alias("_words"))
-    ranked = evidence.join(results.select("query_id", "canonical_ref", "rank"), ["query_id", "canonical_ref"])
+    # Read for the gate, the answer and the propositions; a few rows or judgments per query.
+    ranked = durable(evidence.join(results.select("query_id", "canonical_ref", "rank"), ["query_id", "canonical_ref"]))
     lowered = F.lower(F.coalesce("text", F.lit("")))
     met = ranked.join(asked, "query_id").select(
         "query_id", "canonical_ref", "rank", F.explode_outer(F.filter("_words", lambda w: F.contains(lowered, w))).alias("_w")
@@ -337,6 +339,7 @@ def grounded_answer(
     qualifying = met.filter("_w IS NOT NULL").groupBy("query_id", "canonical_ref", "rank").agg(
         F.countDistinct("_w").alias("_n")
     ).filter("_n >= 2").drop("_n")
+    qualifying = durable(qualifying)
     best = qualifying.groupBy("query_id").agg(F.min("rank").alias("rank"))
     text = T.strip(F.coalesce("text", F.lit("")))
     usable = ranked.withColumn("text", text)

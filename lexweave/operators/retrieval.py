@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as TY
 
 from ..functions import dates as D, fixed, text as T, vectors as VF
-from ..scale import first_per_key, query_batches, sequence_in_blocks, spread, top_per_key
+from ..scale import first_per_key, query_batches, sequence_in_blocks, top_per_key
+from ..session import durable
 from .graph import entry_keys, with_citation
 from .temporal import annotate_temporal
 
@@ -43,7 +44,7 @@ def search_projection(entries: DataFrame, order: list[str]) -> DataFrame:
 
 def postings(entries: DataFrame, text: str = "body") -> DataFrame:
     """(term, canonical_ref, tf) of folded words, counted before the shuffle."""
-    words = spread(entries).select("canonical_ref", F.explode_outer(T.folded_tokens(text)).alias("term"))
+    words = entries.select("canonical_ref", F.explode_outer(T.folded_tokens(text)).alias("term"))
     return words.filter("term IS NOT NULL").groupBy("term", "canonical_ref").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -91,7 +92,7 @@ def _batch_scores(asked: DataFrame, entries: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     whole = asked.select(F.struct("query_id", "q", longest.alias("anchor")).alias("s")).agg(F.collect_list("s")).scalar()
 
-    rows = spread(entries.select("kind", "canonical_ref", "title", "body", "ref_article", "ref_law", "ecli", "case_number"))
+    rows = entries.select("kind", "canonical_ref", "title", "body", "ref_article", "ref_law", "ecli", "case_number")
     rows = rows.withColumn("_lower", F.lower(F.coalesce("body", F.lit("")))).select(
         "kind", "canonical_ref", "_lower",
         F.lower(F.coalesce("title", F.lit(""))).alias("_title"),
@@ -270,7 +271,7 @@ def _dense_batch(shared, queries: DataFrame, chunks: DataFrame, k: int, vector:
         queries.schema["query_id"], chunks.schema["chunk_id"], TY.StructField("similarity", TY.DoubleType()),
     ])
     usable = chunks.select("chunk_id", vector).filter(F.size(vector) > 0)
-    return spread(usable).mapInPandas(best, schema).withColumn("similarity", F.round("similarity", 9))
+    return usable.mapInPandas(best, schema).withColumn("similarity", F.round("similarity", 9))
 
 
 def pairwise_cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -414,13 +415,14 @@ def hybrid_search(
     """
     given = F.col("as_of") if "as_of" in queries.columns else F.lit(None).cast("date")
     dated = queries.withColumn("query_date", F.coalesce(given, D.detect_query_date("query")))
-    exact = exact_lookup(queries, entries)
-    lists = [lexical_search(queries, entries, 3 * k).select("query_id", "canonical_ref", "rank")]
+    # Candidate lists hold a few k rows per query and are read several times: each is computed once.
+    exact = durable(exact_lookup(queries, entries))
+    lists = [durable(lexical_search(queries, entries, 3 * k).select("query_id", "canonical_ref", "rank"))]
     if chunks is not None and query_vectors is not None and mode in ("hybrid", "semantic"):
         hits = dense_topk(query_vectors, chunks, 2 * k).join(chunks.drop("vector"), "chunk_id")
         refs = chunk_refs(hits)
         again = W.partitionBy("query_id").orderBy("rank")
-        lists.append(refs.withColumn("rank", F.row_number().over(again)).select("query_id", "canonical_ref", "rank"))
+        lists.append(durable(refs.withColumn("rank", F.row_number().over(again)).select("query_id", "canonical_ref", "rank")))
     named = reduce(DataFrame.unionByName, [x.select("query_id", "canonical_ref") for x in [exact, *lists]])
     lists.append(tree_expand(named, entries))
     if aliases is not None and citations is not None and links is not None:
@@ -442,7 +444,7 @@ def private_search(queries: DataFrame, precedents: DataFrame, k: int) -> DataFra
     wanted = F.array_distinct(F.flatten(F.transform(first, lambda t: T.folded_tokens(t))))
     asked = queries.select("query_id", "org_id", wanted.alias("terms")).filter(F.size("terms") > 0)
     terms = asked.select("query_id", "org_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    words = spread(precedents).select("org_id", "item_id", F.explode_outer(T.folded_tokens("body")).alias("term"))
+    words = precedents.select("org_id", "item_id", F.explode_outer(T.folded_tokens("body")).alias("term"))
     counted = words.filter("term IS NOT NULL").groupBy("org_id", "item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     met = counted.join(terms, ["org_id", "term"]).groupBy("query_id", "org_id", "item_id", "n_terms").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tf").alias("hits")

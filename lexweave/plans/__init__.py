@@ -1,6 +1,6 @@
 """Registered queries: every operator over the given tables."""
 
-from . import documents, matters, practice, quality, records, references, search  # noqa: F401
+from . import documents, matters, practice, quality, records, references, search, streams  # noqa: F401
 from .base import ORACLES, QUERIES, oracle
 
 

@@ -25,6 +25,8 @@ class Source:
     """The tables of one directory and the inputs derived from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # The tables' timestamps carry no zone.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 

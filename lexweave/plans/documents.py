@@ -39,7 +39,7 @@ def wording(src: Source):
         "law", "title", "jurisdiction", "arrival", "version_id", "version_number", "effective_from", "effective_to",
         "raw_text",
     )
-    return S.with_node_ids(S.split_provisions(spread(kept)))
+    return S.with_node_ids(S.split_provisions(kept))
 
 
 def paragraphs(src: Source):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import graph as G, matter as M
 from ..scale import spread
+from ..session import durable
 from .base import INPUTS, ORACLE_PARTS, Source, query
 from .documents import chain, day, paragraphs, wording
 from .search import aliases, hybrid
@@ -263,7 +264,7 @@ SELECT h.query_id, h.rank, h.canonical_ref, coalesce(j.title, concat('Law of cus
       AND w.node_type = 'ARTICLE' AND w.number = split_part(h.canonical_ref, '-art-', 2)) END AS BIGINT) AS evidence_rows
 FROM {hybrid_dated} h LEFT JOIN {judgments} j ON h.canonical_ref = concat('judgment-', j.ecli)""")
 def research(src):
-    results = hybrid(src)
+    results = durable(hybrid(src))
     judgments = src.judgments.withColumnRenamed("case_id", "canonical_id")
     detail = M.authority_detail(
         results, aliases(src), judgments, src.law_titles, src.judgment_citations, src.judgment_treatments, src.judgment_links

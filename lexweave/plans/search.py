@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text as T
 from ..operators import graph as G, retrieval as R
 from ..scale import spread
+from ..session import durable
 from .base import INPUTS, ORACLE_PARTS, Source, query
 from .documents import chain, day
 
@@ -75,14 +76,14 @@ SELECT term, canonical_ref, count(*) AS tf FROM (
   SELECT canonical_ref, unnest(regexp_split_to_array(translate(lower(body), {FOLD}), {FOLD_SPLIT})) AS term FROM {{doc_entries}})
 WHERE term <> '' GROUP BY ALL""")
 def postings(src):
-    return R.postings(src.doc_entries)
+    return R.postings(spread(src.doc_entries))
 
 
 @query("lexical_search", """
 SELECT query_id, kind, canonical_ref, score, phrase, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_ref) AS rank
 FROM {doc_scores} QUALIFY rank <= 10""")
 def lexical_search(src):
-    return R.lexical_search(src.search_queries, src.doc_entries, 10)
+    return R.lexical_search(src.search_queries, spread(src.doc_entries), 10)
 
 
 # Two batches of arriving entries: the provisions, then the judgments and changed provisions.
@@ -366,8 +367,9 @@ def explain(src):
 
 
 def hybrid(src: Source):
+    # The search projection and the version history are stored tables in use; here they are made once.
     return R.hybrid_search(
-        src.questions, src.entries, chain(src), 10, query_vectors=question_vectors(src), chunks=src.chunk_vectors,
+        src.questions, durable(src.entries), durable(chain(src).drop("raw_text")), 10, query_vectors=question_vectors(src), chunks=src.chunk_vectors,
         aliases=aliases(src), citations=src.judgment_citations, links=src.judgment_links, disjoint=True,
     )
 
@@ -432,7 +434,7 @@ FROM {private_queries} q JOIN {private_tf} a ON a.org_id = q.org_id AND a.term =
 JOIN {private_tf} b ON b.org_id = q.org_id AND b.item_id = a.item_id AND b.term = CASE WHEN q.query_id % 2 = 0 THEN 'en' ELSE 'la' END
 QUALIFY rank <= 10""")
 def private_search(src):
-    return R.private_search(src.private_queries, src.private_items, 10)
+    return R.private_search(src.private_queries, spread(src.private_items), 10)
 
 
 INPUTS["vector_pairs"] = """

@@ -139,13 +139,13 @@ def query_batches(queries: DataFrame, key: str, size: int = QUERY_BATCH) -> list
     return [queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for costly per-row work when a small input arrives in few splits.
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core for costly per-row work on a table that arrives in few splits.
 
-    Inputs with at least one split per core, which is every large one, pass unchanged.
+    For plain scans. A table with at least one split per core, as every large one has, passes unchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def month_block(ts: Column | str) -> Column:

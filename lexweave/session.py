@@ -1,8 +1,9 @@
-"""Session defaults and the durable cut used between expensive stages."""
+"""Session defaults, the shared folder, and the durable cut used between expensive stages."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -26,19 +28,33 @@ def build_session(master: str | None = None, app: str = "lexweave", **extra: str
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the cluster's shared folder, so a lost executor costs no recomputation.
+_local_folders: dict[str, str] = {}
+
 
-    The folder is `spark.checkpoint.dir`. A local session may leave it unset and
-    gets a fresh folder; anywhere else an unset folder is an error.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read: `spark.checkpoint.dir`.
+
+    Where it is unset a local session gets one temporary folder; a cluster without it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _local_folders:
+        _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="lexweave-")
+    return _local_folders[sc.applicationId]
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the shared folder: computed once, and a lost executor costs no recomputation."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
