@@ -82,9 +82,7 @@ def pattern_spans(c: Column | str, pattern: str, groups: int = 0, flags: str = f
         ),
         lambda acc: acc["starts"],
     )
-    parts = [starts.alias("start"), whole.alias("text")]
-    parts += [F.regexp_extract_all(text, F.lit(pat), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
-    zipped = F.arrays_zip(*parts)
+    zipped = F.arrays_zip(starts.alias("start"), whole.alias("text"))
 
     def shape(m: Column) -> Column:
         fields = [
@@ -92,7 +90,8 @@ def pattern_spans(c: Column | str, pattern: str, groups: int = 0, flags: str = f
             (m["start"] + F.length(m["text"])).alias("end"),
             m["text"].alias("text"),
         ]
-        fields += [blank_to_null(m[f"g{g}"]).alias(f"g{g}") for g in range(1, groups + 1)]
+        # Groups are read from the short match, not from the text again.
+        fields += [blank_to_null(F.regexp_extract(m["text"], pat, g)).alias(f"g{g}") for g in range(1, groups + 1)]
         return F.struct(*fields)
 
     return F.transform(zipped, shape)
@@ -102,18 +101,26 @@ def _has_group(pattern: str) -> bool:
     return "(" in pattern.replace("(?:", "").replace(r"\(", "")
 
 
-def keyword_spans(c: Column | str, words: list[str]) -> Column:
-    """Occurrences of each word, searched one word at a time as plain lower-case substrings.
+def keyword_spans(lowered: Column | str, words: list[str]) -> Column:
+    """Occurrences of each word in a lower-case text as array<struct<start, end, word>>.
 
-    Different words may overlap each other, repeats of one word may not.
+    Words are plain substrings searched one at a time: different words may overlap, repeats of one may not.
     """
-    lowered = F.lower(_col(c))
 
     def found(word: str) -> Column:
-        def shape(m: Column) -> Column:
-            return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(word).alias("word"))
-
-        return F.transform(pattern_spans(lowered, f"({_quote(word)})", flags=""), shape)
+        gaps = F.transform(F.split(_col(lowered), _quote(word), -1), lambda p: F.length(p))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            F.slice(gaps, F.lit(1), F.size(gaps) - 1),
+            start,
+            lambda acc, g: F.struct(
+                (acc["at"] + g + len(word)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + g)).alias("starts")
+            ),
+            lambda acc: acc["starts"],
+        )
+        return F.transform(
+            starts, lambda at: F.struct(at.alias("start"), (at + len(word)).alias("end"), F.lit(word).alias("word"))
+        )
 
     return F.concat(*[found(w) for w in words])
 

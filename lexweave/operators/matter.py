@@ -46,12 +46,12 @@ def extract_facts(df: DataFrame, text: str) -> DataFrame:
         names,
         lambda n: ~n["name"].isin(fixed.NAME_STOP) & F.substr(n["name"], F.lit(2)).rlike(r"\p{Ll}") & (T.word_count(n["name"]) <= 3),
     )
-    rows = df.withColumn("_names", proper)
+    rows = df.withColumn("_names", proper).withColumn("_text", F.lower(body))
     lowered = F.transform("_names", lambda n: F.lower(n["name"]))
     rows = rows.withColumn("_lower", lowered)
     first = F.filter("_names", lambda n, i: F.array_position(F.col("_lower"), F.lower(n["name"])) == i + 1)
     parties = F.transform(first, lambda n: fact("party", n["name"], n["start"], n["end"], 0.7))
-    found = F.concat(amounts, F.transform(T.keyword_spans(body, fixed.OBLIGATIONS), obligation), parties)
+    found = F.concat(amounts, F.transform(T.keyword_spans("_text", fixed.OBLIGATIONS), obligation), parties)
     kept = [c for c in df.columns if c != text]
     return rows.select(*kept, F.inline_outer(found)).filter("kind IS NOT NULL")
 
@@ -84,11 +84,12 @@ def extract_events(df: DataFrame, text: str) -> DataFrame:
         )
 
     verbs = F.filter(
-        T.keyword_spans(body, fixed.EVENT_VERBS),
+        T.keyword_spans("_text", fixed.EVENT_VERBS),
         lambda m: ~_slice(body, F.greatest(F.lit(0), m["start"] - 30), m["start"]).rlike("(?U)" + fixed.SLASH_DATE),
     )
     kept = [c for c in df.columns if c != text]
-    found = df.select(*kept, F.inline_outer(F.concat(dates, F.transform(verbs, undated))))
+    lowered = df.withColumn("_text", F.lower(body))
+    found = lowered.select(*kept, F.inline_outer(F.concat(dates, F.transform(verbs, undated))))
     return found.filter("char_start IS NOT NULL")
 
 

@@ -289,14 +289,17 @@ def chunk_refs(hits: DataFrame) -> DataFrame:
 
 
 def tree_expand(candidates: DataFrame, entries: DataFrame) -> DataFrame:
-    """Every provision of each law a candidate names: (query_id, canonical_ref, rank) in reference order."""
+    """Every provision of each law a candidate names: (query_id, canonical_ref, rank) in reference order.
+
+    Entries are unique by kind and reference, as search_projection makes them.
+    """
     laws = candidates.select("query_id", T.ref_law("canonical_ref").alias("ref_law")).filter("ref_law IS NOT NULL").distinct()
     nodes = entries.filter("kind = 'legislation_node'").select("ref_law", "canonical_ref")
     found = laws.join(nodes, "ref_law")
     # References of one law share a prefix, so the next two characters slice even a huge law.
     piece = F.struct("ref_law", F.substr("canonical_ref", F.lit(1), F.length("ref_law") + 11))
     return sequence_in_blocks(
-        found.distinct(), ["query_id"], ["ref_law", "canonical_ref"], piece, number="rank"
+        found, ["query_id"], ["ref_law", "canonical_ref"], piece, number="rank"
     ).select("query_id", "canonical_ref", "rank")
 
 

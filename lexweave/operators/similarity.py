@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text as T
 from ..scale import position_block, sequence_in_blocks
+from ..session import durable
 
 
 def _overlap(pairs: DataFrame, counts: DataFrame, group: list[str]) -> DataFrame:
@@ -13,6 +14,7 @@ def _overlap(pairs: DataFrame, counts: DataFrame, group: list[str]) -> DataFrame
 
     The larger ones follow from the totals: max = a + b - min, so only shared tokens are joined.
     """
+    counts = durable(counts)  # read for both sides and for the totals
     totals = counts.groupBy("id", *group).agg(F.sum("n").alias("total"))
     a = pairs.select("pair_id", F.col("a_id").alias("id")).join(counts, "id").select("pair_id", *group, "token", F.col("n").alias("na"))
     b = pairs.select("pair_id", F.col("b_id").alias("id")).join(counts, "id").select("pair_id", *group, "token", F.col("n").alias("nb"))

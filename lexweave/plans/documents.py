@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as S, temporal as V
 from ..scale import position_block, spread
+from ..session import durable
 from . import inputs  # noqa: F401
 from .base import ORACLE_PARTS, Source, query
 
@@ -35,11 +36,12 @@ def chain(src: Source):
 
 
 def wording(src: Source):
+    # The chain is made of keys and hashes; texts join it afterwards and are shuffled once.
     kept = chain(src).select(
-        "law", "title", "jurisdiction", "arrival", "version_id", "version_number", "effective_from", "effective_to",
-        "raw_text",
+        "law", "title", "jurisdiction", "arrival", "version_id", "version_number", "effective_from", "effective_to"
     )
-    return S.with_node_ids(S.split_provisions(kept))
+    texts = spread(src.law_source.select("arrival", "raw_text"))
+    return S.with_node_ids(S.split_provisions(texts.join(kept, "arrival")))
 
 
 def paragraphs(src: Source):
@@ -121,7 +123,7 @@ def diff_versions(src):
     pairs = chain(src).filter("supersedes IS NOT NULL").select(
         F.col("version_id").alias("pair_id"), F.col("supersedes").alias("base_id"), F.col("version_id").alias("target_id")
     )
-    out = V.diff_versions(pairs, wording(src))
+    out = V.diff_versions(pairs, durable(wording(src).select("version_id", "node_id", "source_text")))
     return out.select(
         "pair_id", "node_id", "old_text", "new_text", F.size("removed_lines").alias("removed"),
         F.size("added_lines").alias("added"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E, retrieval as R, similarity as M
 from ..scale import spread
+from ..session import durable
 from .base import INPUTS, ORACLE_PARTS, Source, query
 from .documents import paragraphs
 
@@ -148,7 +149,7 @@ SELECT pair_id, dimension, CASE WHEN dimension = 'PROCEDURAL_SIMILARITY' THEN ro
   LEFT JOIN {pair_targets} t ON t.pair_id = p.pair_id LEFT JOIN {pair_remedies} r ON r.pair_id = p.pair_id)""")
 def compare_cases(src):
     cases = src.judgments.select(F.col("case_id").alias("id"), "court")
-    texts = paragraphs(src).select(F.col("case_id").alias("id"), "section_type", "para_number", "text")
+    texts = durable(paragraphs(src).select(F.col("case_id").alias("id"), "section_type", "para_number", "text"))
     return M.compare_cases(src.case_pairs, cases, texts, src.case_targets).select("pair_id", "dimension", "score")
 
 
