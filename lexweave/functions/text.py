@@ -61,40 +61,62 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
+# Noncharacters set around matches; a text that holds one takes the slower way.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
 def pattern_spans(c: Column | str, pattern: str, groups: int = 0, flags: str = fixed.FLAGS) -> Column:
     """All matches of `pattern` as array<struct<start, end, text, g1..gn>>, 0-based, end-exclusive.
 
-    The text between matches gives the offsets: each match starts after the pieces
-    and matches before it. Groups that did not take part are null.
+    One replacement marks every match, and the lengths of the pieces between the marks give the offsets, so
+    the text is searched once. Groups are read from the short matches; those that did not take part are null.
     """
     text, pat = _col(c), flags + pattern
-    whole = F.regexp_extract_all(text, F.lit(pat if _has_group(pattern) else f"{flags}({pattern})"), F.lit(0))
-    lengths = F.transform(whole, lambda h: F.length(h))
-    gaps = F.transform(F.split(text, pat, -1), lambda p: F.length(p))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(lengths)), lengths, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
+    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    found = F.when(marked, _spans_by_split(text, pat, pattern, flags)).otherwise(_spans_by_marks(text, pat))
+
+    def shape(m: Column) -> Column:
+        fields = [m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("text")]
+        fields += [blank_to_null(F.regexp_extract(m["text"], pat, g)).alias(f"g{g}") for g in range(1, groups + 1)]
+        return F.struct(*fields)
+
+    return F.transform(found, shape)
+
+
+SPANS = "array<struct<start:int,text:string>>"
+
+
+def _collect_spans(steps: Column, first: Column) -> Column:
+    """Spans from (text, gap after it) steps, the first one starting at `first`."""
+    state = F.struct(first.alias("at"), F.array().cast(SPANS).alias("spans"))
+    return F.aggregate(
         steps,
-        start,
+        state,
         lambda acc, s: F.struct(
-            (acc["at"] + s["g"] + s["n"]).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + s["g"])).alias("starts"),
+            (acc["at"] + F.length(s["text"]) + s["gap"]).alias("at"),
+            F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), s["text"].alias("text")))).alias("spans"),
         ),
-        lambda acc: acc["starts"],
+        lambda acc: acc["spans"],
     )
-    zipped = F.arrays_zip(starts.alias("start"), whole.alias("text"))
 
-    def shape(m: Column) -> Column:
-        fields = [
-            m["start"].alias("start"),
-            (m["start"] + F.length(m["text"])).alias("end"),
-            m["text"].alias("text"),
-        ]
-        # Groups are read from the short match, not from the text again.
-        fields += [blank_to_null(F.regexp_extract(m["text"], pat, g)).alias(f"g{g}") for g in range(1, groups + 1)]
-        return F.struct(*fields)
 
-    return F.transform(zipped, shape)
+def _spans_by_marks(text: Column, pat: str) -> Column:
+    pieces = F.split(F.regexp_replace(text, pat, f"{OPEN}$0{CLOSE}"), OPEN, -1)
+    steps = F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces) - 1),
+        lambda p: F.struct(
+            F.substring_index(p, CLOSE, 1).alias("text"), F.length(F.substring_index(p, CLOSE, -1)).alias("gap")
+        ),
+    )
+    return _collect_spans(steps, F.length(F.get(pieces, F.lit(0))))
+
+
+def _spans_by_split(text: Column, pat: str, pattern: str, flags: str) -> Column:
+    whole = F.regexp_extract_all(text, F.lit(pat if _has_group(pattern) else f"{flags}({pattern})"), F.lit(0))
+    gaps = F.transform(F.split(text, pat, -1), lambda p: F.length(p))
+    after = F.slice(gaps, F.lit(2), F.size(whole))
+    steps = F.zip_with(whole, after, lambda h, g: F.struct(h.alias("text"), g.alias("gap")))
+    return _collect_spans(steps, F.get(gaps, F.lit(0)))
 
 
 def _has_group(pattern: str) -> bool:

@@ -23,6 +23,15 @@ def test_mentions(spark):
     assert all(MENTIONS[r.start:r.end] == r.text for r in found)
 
 
+def test_spans_with_mark_characters(spark):
+    text = "x \ufdd0 Article 7 \ufdd1 y Κεφ. 9 and 1/2020 tail"
+    plain = text.replace("\ufdd0", "-").replace("\ufdd1", "-")
+    found = G.reference_mentions(spark.createDataFrame([(text,), (plain,)], ["t"]).withColumn("u", F.col("t")), "t").collect()
+    assert all(r.u[r.start:r.end] == r.text for r in found)
+    assert sorted((r.kind, r.start) for r in found if r.u == text) == sorted((r.kind, r.start) for r in found if r.u == plain)
+    assert len(found) == 8
+
+
 def test_classify_citations(spark):
     texts = ["Article 5 of Law 261 of 2004", "ECLI:CY:AD:2019:A123", "Civil Appeal 45/2018", "some prose", "", None]
     out = G.classify_citations(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
