@@ -294,8 +294,8 @@ def authority_detail(
     keyed = refs.select("canonical_ref", T.judgment_key("canonical_ref").alias("alias"), T.ref_law("canonical_ref").alias("law"))
 
     def degree(edges: DataFrame, on: str, name: str) -> DataFrame:
-        joined = edges.select(F.col(on).alias("alias")).join(aliases, "alias")
-        return joined.groupBy("canonical_id").agg(F.count(F.lit(1)).alias(name))
+        counted = edges.groupBy(F.col(on).alias("alias")).agg(F.count(F.lit(1)).alias("_n"))
+        return counted.join(aliases, "alias").groupBy("canonical_id").agg(F.sum("_n").alias(name))
 
     cases = keyed.filter("alias IS NOT NULL").join(ids, "alias", "left").join(
         judgments.select("canonical_id", "title", "jurisdiction", "court", "case_number", "ecli"), "canonical_id", "left"

@@ -319,8 +319,11 @@ def graph_expand(queries: DataFrame, aliases: DataFrame, citations: DataFrame, l
     linked = keys.join(links.select(F.col("judgment_key").alias("alias"), "provision_key"), "alias").select(
         "query_id", F.lit(2).alias("part"), F.concat(F.lit("law-"), "provision_key").alias("canonical_ref")
     )
-    w = W.partitionBy("query_id").orderBy("part", "canonical_ref")
-    return cited.unionByName(linked).distinct().withColumn("rank", F.row_number().over(w)).drop("part")
+    # A much-citing case is numbered slice by slice; references of one court and year share 26 characters.
+    piece = F.struct("part", F.substring("canonical_ref", 1, 26))
+    return sequence_in_blocks(
+        cited.unionByName(linked).distinct(), ["query_id"], ["part", "canonical_ref"], piece, number="rank"
+    ).drop("part")
 
 
 def rrf_fuse(lists: DataFrame, k: int = fixed.RRF_K) -> DataFrame:
