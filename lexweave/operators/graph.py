@@ -28,8 +28,8 @@ def classify_citations(df: DataFrame, text: str) -> DataFrame:
     return with_citation(df, text).select(*df.columns, "_c.*")
 
 
-def entry_keys(entries: DataFrame) -> DataFrame:
-    """(key, canonical_ref) of every way an entry can be cited."""
+def entry_keys(entries: DataFrame, *extra: str) -> DataFrame:
+    """(key, canonical_ref) of every way an entry can be cited, with further columns if named."""
     keys = F.array_compact(
         F.array(
             F.concat(F.lit("art|"), "ref_law", F.lit("|"), "ref_article"),
@@ -38,7 +38,7 @@ def entry_keys(entries: DataFrame) -> DataFrame:
             F.concat(F.lit("case|"), "case_number"),
         )
     )
-    return entries.select(F.explode(keys).alias("key"), "canonical_ref")
+    return entries.select(F.explode(keys).alias("key"), "canonical_ref", *extra)
 
 
 def validate_citations(citations: DataFrame, entries: DataFrame, text: str = "cite") -> DataFrame:
@@ -107,7 +107,6 @@ def enrich_judgments(paragraphs: DataFrame, judgments: DataFrame, nodes: DataFra
     found = reference_mentions(
         base.select(key, "jurisdiction", "applicable_law", "para_number", F.col("text").alias("_text")), "_text"
     ).filter(F.col("kind").isin("article", "judgment_ecli"))
-    none = F.lit(None).cast("string")
     articles = nodes.filter("node_type = 'ARTICLE'").select(
         F.col("law").alias("applicable_law"), F.col("number").alias("article"), "node_id"
     ).distinct()

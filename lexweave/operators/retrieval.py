@@ -196,10 +196,8 @@ def search(queries: DataFrame, entries: DataFrame, k: int, mode: str = "hybrid")
             F.concat(F.lit("Exact match: Article "), "_c.article")
         ).alias("reason"),
     )
-    kinds = entries.select("canonical_ref", "kind")
     exact = (
-        named.join(entry_keys(entries).withColumnRenamed("key", "_key"), "_key")
-        .join(kinds, "canonical_ref")
+        named.join(entry_keys(entries, "kind").withColumnRenamed("key", "_key"), "_key")
         .select("query_id", "kind", "canonical_ref", F.lit(fixed.EXACT_SCORE).alias("score"), "reason")
     )
     asked = parsed if mode in ("lexical", "hybrid", "semantic") else parsed.filter("_c.kind = 'unknown'")
