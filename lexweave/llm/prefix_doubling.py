@@ -32,6 +32,8 @@ LENGTH, START = 200, 32
 _PLACE = np.uint64((1 << 22) - 1)
 #: Bytes around a part of a long text that the ranks of its anchors may read.
 _AROUND = 512
+#: Names a task remembers, so as not to send their surroundings again.
+SEEN = 1 << 20
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -82,10 +84,10 @@ class Anchors:
         covered = self.names.of(self.first, self.last + self.length)
         return tx.mix(covered + (self.q - self.first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def beside(self, a: int, b: int) -> pa.Array:
-        """Names of the bytes from `a` to `b` relative to the anchors; null where the text does not reach."""
+    def beside(self, a: int, b: int, without: np.ndarray) -> pa.Array:
+        """Names of the bytes from `a` to `b` relative to the anchors; null where the text does not reach, and `without`."""
         i, j = self.q + a, self.q + b
-        inside = (i >= self.begin) & (j <= self.end)
+        inside = (i >= self.begin) & (j <= self.end) & ~without
         out = np.zeros(len(i), np.uint64)
         out[inside] = self.names.of(i[inside], j[inside])
         return pa.array(tx.signed(out), mask=~inside)
@@ -124,8 +126,8 @@ def _steps(length: int) -> list[tuple[str, int, int, int]]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], shared, length: int) -> Iterator[pa.RecordBatch]:
-    """Anchors whose first rank may be repeated, with what the later steps need."""
-    steps, words = _steps(length), shared.value
+    """Anchors whose first rank may be repeated; what the later steps need comes with a task's first of equal surroundings."""
+    steps, words, seen = _steps(length), shared.value, set()
     for batch in batches:
         keys = batch.column(0)
         for i, shift, a in _parts(batch, length):
@@ -134,15 +136,22 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared, length: int) -> Itera
             a.keep(may_hold(words, a.rank))
             if not len(a.q):
                 continue
+            around = tx.signed(a.around())
+            if len(seen) > SEEN:
+                seen.clear()
+            again = np.zeros(len(around), bool)
+            for k, name in enumerate(around.tolist()):
+                again[k] = name in seen
+                seen.add(name)
             raw = a.data.tobytes()
-            covers = [raw[b:e] for b, e in zip(a.first, a.last + length, strict=True)]
+            covers = [None if x else raw[b:e] for x, b, e in zip(again, a.first, a.last + length, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    keys.take(pa.array(i + a.row)), pa.array(a.first - a.begin + shift), pa.array(tx.signed(a.rank)), pa.array(tx.signed(a.around())),
-                    pa.array((a.q - a.last).astype(np.int32)), pa.array((a.q - a.first).astype(np.int32)), pa.array(covers, pa.binary()),
-                    *[a.beside(b, e) for _, b, e, _ in steps],
+                    keys.take(pa.array(i + a.row)), pa.array(a.first - a.begin + shift), pa.array(around), pa.array(tx.signed(a.rank), mask=again),
+                    pa.array((a.q - a.last).astype(np.int32), mask=again), pa.array((a.q - a.first).astype(np.int32), mask=again),
+                    pa.array(covers, pa.binary()), *[a.beside(b, e, again) for _, b, e, _ in steps],
                 ],
-                ["key", "first", "rank", "around", "near", "far", "cover", *[f"next{k}" for k in range(len(steps))]],
+                ["key", "first", "around", "rank", "near", "far", "cover", *[f"next{k}" for k in range(len(steps))]],
             )
 
 
@@ -181,7 +190,7 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
     first = rows.mapInArrow(lambda b: _first_ranks(b, length), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
     first = durable(first.where("n > 1").select("name"))
     steps = _steps(length)
-    kind = "key bigint, first bigint, rank bigint, around bigint, near int, far int, cover binary"
+    kind = "key bigint, first bigint, around bigint, rank bigint, near int, far int, cover binary"
     kind += "".join(f", next{k} bigint" for k in range(len(steps)))
     shared = spark.sparkContext.broadcast(bitmap(first, first.count()))
     folder = fresh_folder(spark, "doubling")
@@ -191,10 +200,10 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
 
     # Occurrences of the same surroundings are one row from here on.
     same = ["rank", "near", "far", *[f"next{k}" for k in range(len(steps))]]
-    distinct = durable(anchors.groupBy("around").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in same]))
+    distinct = durable(anchors.groupBy("around").agg(F.count("*").alias("n"), *[F.first(c, True).alias(c) for c in same]))
     groups = distinct.groupBy("rank").agg(F.count("*").alias("kinds"))
     open_ = distinct.join(groups.where("kinds > 1").select("rank"), "rank")
-    open_ = open_.select("around", "n", "near", "far", F.col("rank").alias("right"), F.col("rank").alias("left"), *same[3:])
+    open_ = open_.select("around", "n", "near", "far", F.col("far").alias("whole"), F.col("rank").alias("right"), F.col("rank").alias("left"), *same[3:])
     for k, (side, _, _, reach) in enumerate(steps):
         nxt = f"next{k}"
         ranked = open_.where(F.col(side).isNotNull() & F.col(nxt).isNotNull()).groupBy(side, nxt)
@@ -207,13 +216,14 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
         changed = {"near": near} if side == "right" else {"far": far}
         open_ = joined.withColumns({**changed, side: F.col("_rank")}).drop("_a", "_b", "_rank", nxt).where("near <= far")
         open_ = durable(open_)
-    left = open_.select(F.col("around").alias("_around"), F.col("near").alias("_near"), F.col("far").alias("_far"), "n")
-    covers = anchors.join(left, anchors["around"] == left["_around"]).groupBy("around").agg(
-        F.first("n").alias("n"), F.first("far").alias("whole"), F.first("_near").alias("near"), F.first("_far").alias("far"), F.first("cover").alias("cover")
+    left = open_.select(F.col("around").alias("_around"), F.col("near").alias("_near"), F.col("far").alias("_far"), F.col("whole").alias("_whole"), "n")
+    covers = anchors.where(F.col("cover").isNotNull()).select("around", "cover")
+    covers = covers.join(left, covers["around"] == left["_around"]).groupBy("around").agg(
+        F.first("n").alias("n"), F.first("_whole").alias("whole"), F.first("_near").alias("near"), F.first("_far").alias("far"), F.first("cover").alias("cover")
     )
+    covers.write.parquet(f"{folder}/covers")
+    covers = spark.read.schema("around bigint, n bigint, whole int, near int, far int, cover binary").parquet(f"{folder}/covers")
     windows = covers.mapInArrow(lambda b: _windows(b, length), "window bigint, around bigint, d int, n bigint")
-    windows.write.parquet(f"{folder}/windows")
-    windows = spark.read.schema("window bigint, around bigint, d int, n bigint").parquet(f"{folder}/windows")
     twice = windows.groupBy("window").agg(F.sum("n").alias("_n")).where("_n > 1").select("window")
     # A cover that occurs twice needs no look at its windows.
     single = windows.where("n = 1").join(twice, "window").groupBy("around").agg(F.collect_set("d").alias("ds"))
@@ -223,7 +233,8 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
     decided = single.select("around", runs.alias("runs"))
     every = distinct.where("n > 1").select("around", F.array(F.struct("near", "far")).alias("runs"))
     decided = every.unionByName(decided.select("around", F.col("runs").cast("array<struct<near:int,far:int>>")))
-    found = anchors.select("key", "first", "far", "around").withColumnRenamed("far", "_far").join(decided, "around")
+    decided = decided.join(distinct.select("around", F.col("far").alias("_far")), "around")
+    found = anchors.select("key", "first", "around").join(decided, "around")
     place = F.col("first") + F.col("_far")
     spans = F.transform("runs", lambda r: F.struct((place - r["far"]).alias("b"), (place - r["near"] + length).alias("e")))
     found = found.select("key", spans.alias("spans"))
@@ -254,15 +265,30 @@ def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _pass(batches: Iterator[pa.RecordBatch], shared, with_spans: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose key may have spans, or the others."""
+    for batch in batches:
+        has = may_hold(shared.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield batch.filter(pa.array(has == with_spans))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
     """`id_col`, `n_bytes`, `n_removed`, `n_spans`, `kept` of every row; `kept` is the remaining bytes or their SHA-256.
 
-    A null text is empty. What is left need not be valid UTF-8. An empty table gives an empty one.
+    A null text is empty. What is left need not be valid UTF-8. An empty table gives an empty one. Only texts that may
+    have spans are shuffled to meet them.
     """
+    spark = docs.sparkSession
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    spans = repeated_spans(docs, key, text_col, length)
+    folder = fresh_folder(spark, "spans")
+    repeated_spans(docs, key, text_col, length).write.parquet(folder)
+    spans = spark.read.schema("key bigint, spans array<struct<b:bigint,e:bigint>>").parquet(folder)
+    keys = spans.select(F.col("key").alias("name"))
+    shared = spark.sparkContext.broadcast(bitmap(keys, keys.count()))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    joined = rows.join(spans, "key", "left").select("id", "t", "spans")
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(lambda b: _cut(b, digest), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest else 'binary'}")
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}"
+    some, others = (rows.mapInArrow(lambda b, w=w: _pass(b, shared, w), f"{kind}, key bigint, t string") for w in (True, False))
+    joined = some.join(spans, "key", "left").select("id", "t", "spans")
+    joined = joined.union(others.select("id", "t", F.lit(None).cast(spans.schema["spans"].dataType)))
+    out = joined.mapInArrow(lambda b: _cut(b, digest), f"{kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if digest else 'binary'}")
     return out.withColumnRenamed("id", id_col)
