@@ -34,9 +34,9 @@ from ..session import fresh_folder
 from . import text as tx
 
 BASE = 1.3
-BITS_PER_ITEM, PROBES = 8, 5
+BITS_PER_ITEM, PROBES = 6, 4
 #: Names a segment holds, about.
-SEGMENT_NAMES = 2_000_000
+SEGMENT_NAMES = 250_000
 #: Filter bytes broadcast at a time.
 ROUND_BYTES = 128 << 20
 FREQUENT = 1 << 21
@@ -84,10 +84,10 @@ def most(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, BASE ** levels.astype(float), 0.0)
 
 
-def _places(names: np.ndarray, level: np.ndarray, bits: np.ndarray | int) -> list[np.ndarray]:
-    a = tx.mix(names + level.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    b = tx.mix(a) | np.uint64(1)
-    return [(a + np.uint64(k) * b) % bits for k in range(PROBES)]
+def _hashes(names: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a name at a level; its places are the first and steps of the second."""
+    a = tx.mix(names + level * np.uint64(0xD1342543DE82EF95))
+    return a, tx.mix(a) | np.uint64(1)
 
 
 def segment(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -98,40 +98,44 @@ def segment(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     repeated = np.repeat(names, level)
     each = np.arange(len(repeated)) - np.repeat(np.cumsum(level) - level, level) + 1
     for s in range(0, len(repeated), 1 << 20):
-        for place in _places(repeated[s : s + (1 << 20)], each[s : s + (1 << 20)], bits):
+        a, b = _hashes(repeated[s : s + (1 << 20)], each[s : s + (1 << 20)].astype(np.uint64))
+        for k in range(PROBES):
+            place = (a + np.uint64(k) * b) % bits
             np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
     return out
 
 
 class Filter:
-    """Some segments of `parts`, one behind another."""
+    """Some segments of `parts`, one behind another: where each begins, its bits, all their bytes."""
 
-    def __init__(self, parts: int, segments: dict[int, bytes]):
-        self.parts = parts
-        self.begin, self.bits = np.zeros(parts, np.int64), np.zeros(parts, np.uint64)
-        at = 0
-        for k, raw in sorted(segments.items()):
-            self.begin[k], self.bits[k] = at, len(raw) * 8
-            at += len(raw)
-        self.data = np.frombuffer(b"".join(raw for _, raw in sorted(segments.items())), np.uint8)
+    def __init__(self, begin: np.ndarray, bits: np.ndarray, raw: bytes):
+        self.begin, self.bits, self.data = begin, bits, np.frombuffer(raw, np.uint8)
 
     def levels(self, names: np.ndarray) -> np.ndarray:
         """Level of each name; 0 where the filter lacks it or its segment is not here."""
-        distinct, back = np.unique(names, return_inverse=True)
-        out = np.zeros(len(distinct), np.uint8)
-        part = (distinct % np.uint64(self.parts)).astype(np.int64)
+        out = np.zeros(len(names), np.uint8)
+        part = (names % np.uint64(len(self.bits))).astype(np.int64)
         left = np.flatnonzero(self.bits[part] > 0)
         level = 0
         while len(left) and level < 255:
             level += 1
             bits, begin = self.bits[part[left]], self.begin[part[left]]
-            inside = np.ones(len(left), bool)
-            for place in _places(distinct[left], np.full(len(left), level), bits):
-                byte = self.data[begin + (place >> np.uint64(3)).astype(np.int64)]
-                inside &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            left = left[inside]
+            a, b = _hashes(names[left], np.uint64(level))
+            for k in range(PROBES):
+                place = (a + np.uint64(k) * b) % bits
+                inside = (self.data[begin + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                left, bits, begin, a, b = left[inside], bits[inside], begin[inside], a[inside], b[inside]
             out[left] = level
-        return out[back]
+        return out
+
+    def asked(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Levels of each token, of what it follows and of both; nothing is known of what begins a text."""
+        distinct, back = np.unique(names, return_inverse=True)
+        word = self.levels(distinct)[back]
+        before = np.zeros_like(word)
+        before[1:] = word[:-1]
+        before[np.cumsum(counts) - counts] = 0
+        return np.concatenate([word, before, self.levels(pair_names(contexts(names, counts), names))])
 
 
 @dataclass
@@ -195,7 +199,7 @@ def train(docs: DataFrame, text_col: str = "text", segment_names: int = SEGMENT_
     whole = known.select("name", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).union(pairs)
     # The name's remainder as an unsigned number.
     part = F.pmod(F.pmod("name", F.lit(parts)) + F.when(F.col("name") < 0, F.lit(2**64 % parts)).otherwise(F.lit(0)), F.lit(parts))
-    whole = whole.withColumn("part", part.cast("int")).repartition(parts, "part")
+    whole = whole.withColumn("part", part.cast("int")).repartition(-(-parts // 4), "part")
     summed = whole.groupBy("part", "name").agg(F.sum("n").alias("n"))
     summed.mapInArrow(_segments, "part int, bits binary").write.parquet(segments)
     sizes = spark.read.schema("part int, bits binary").parquet(segments).select("part", F.octet_length("bits").alias("size"))
@@ -212,8 +216,13 @@ def train(docs: DataFrame, text_col: str = "text", segment_names: int = SEGMENT_
 
 
 def _sent(spark, model: Model, parts: list[int]):
+    """Some segments, broadcast; they come to the driver one file after another."""
     table = spark.read.schema("part int, bits binary").parquet(model.segments).where(F.col("part").isin(parts))
-    return spark.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in table.collect()})
+    begin, bits, raw = np.zeros(model.parts, np.int64), np.zeros(model.parts, np.uint64), bytearray()
+    for r in table.toLocalIterator():
+        begin[r["part"]], bits[r["part"]] = len(raw), len(r["bits"]) * 8
+        raw += r["bits"]
+    return spark.sparkContext.broadcast((begin, bits, raw))
 
 
 def _levels(rows: DataFrame, model: Model) -> Iterator[tuple[DataFrame, object]]:
@@ -226,17 +235,11 @@ def _levels(rows: DataFrame, model: Model) -> Iterator[tuple[DataFrame, object]]
             return
         folder = fresh_folder(spark, "lm-round")
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "lv") + ", lv binary"
-        rows.mapInArrow(_round(sent, model.parts), kind).write.parquet(folder)
+        rows.mapInArrow(_round(sent), kind).write.parquet(folder)
         sent.unpersist()
         rows = spark.read.parquet(folder)
 
 
-def _asked(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The three names asked for each token: itself, what it follows, both."""
-    before = contexts(names, counts)
-    return np.concatenate([names, before, pair_names(before, names)])
-
-
 def _known_levels(batch: pa.RecordBatch, i: int, counts: np.ndarray) -> np.ndarray | int:
     """Levels that earlier rounds found for the run of rows from `i`."""
     if "lv" not in batch.schema.names:
@@ -245,14 +248,14 @@ def _known_levels(batch: pa.RecordBatch, i: int, counts: np.ndarray) -> np.ndarr
     return np.concatenate(raw, 1).ravel()
 
 
-def _round(sent, parts: int):
+def _round(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Filter(parts, sent.value)
+        held = Filter(*sent.value)
         for batch in batches:
             out = []
             for i, _, data, offsets in tx.texts(batch, "t"):
                 names, counts = tokens(data, offsets)
-                level = np.maximum(held.levels(_asked(names, counts)), _known_levels(batch, i, counts)).reshape(3, -1).astype(np.uint8)
+                level = np.maximum(held.asked(names, counts), _known_levels(batch, i, counts)).reshape(3, -1).astype(np.uint8)
                 ends = np.cumsum(counts)
                 out += [level[:, b:e].tobytes() for b, e in zip(ends - counts, ends, strict=True)]
             kept = [k for k, name in enumerate(batch.schema.names) if name != "lv"]
@@ -274,10 +277,8 @@ def log_probabilities(level: np.ndarray, begins: np.ndarray, model: Model, stren
 
 def _scorer(sent, model: Model, strengths: tuple[float, ...], own: int, frequent=None):
     """Sums of log probabilities, and with `frequent` also the base score of frequent words and the other words."""
-    parts = model.parts
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Filter(parts, sent.value)
+        held = Filter(*sent.value)
         common, occurs = frequent.value if frequent is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
         whole = model.n + 0.1 * (model.v + 1)
         for batch in batches:
@@ -285,7 +286,7 @@ def _scorer(sent, model: Model, strengths: tuple[float, ...], own: int, frequent
             for i, _, data, offsets in tx.texts(batch, "t"):
                 names, counts = tokens(data, offsets)
                 begin = np.cumsum(counts) - counts
-                level = np.maximum(held.levels(_asked(names, counts)), _known_levels(batch, i, counts))
+                level = np.maximum(held.asked(names, counts), _known_levels(batch, i, counts))
                 first = np.zeros(len(names), bool)
                 first[begin] = True
                 for k, s in enumerate(strengths):
