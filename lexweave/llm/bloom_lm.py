@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import fresh_folder
 from . import text as tx
 
-BASE = 1.3
+BASE = 1.5
 BITS_PER_ITEM, PROBES = 6, 4
 #: Names a segment holds, about.
 SEGMENT_NAMES = 250_000
@@ -76,18 +76,27 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
+_LEAST = np.r_[0.0, BASE ** np.arange(255.0)]
+_MOST = np.r_[0.0, BASE ** np.arange(1.0, 256.0)]
+
+
 def least(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, BASE ** (levels - 1.0), 0.0)
+    return _LEAST[levels]
 
 
 def most(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, BASE ** levels.astype(float), 0.0)
+    return _MOST[levels]
 
 
 def _hashes(names: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of a name at a level; its places are the first and steps of the second."""
-    a = tx.mix(names + level * np.uint64(0xD1342543DE82EF95))
-    return a, tx.mix(a) | np.uint64(1)
+    """Two hashes of a name at a level; its places come from the first and steps of the second."""
+    a = tx.mix(names + np.atleast_1d(level) * np.uint64(0xD1342543DE82EF95))
+    return a, (a >> np.uint64(17) ^ a * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+
+
+def _place(a: np.ndarray, b: np.ndarray, k: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """The kth place below `bits`, which are fewer than 2^32."""
+    return ((a + np.uint64(k) * b) >> np.uint64(32)) * bits >> np.uint64(32)
 
 
 def segment(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -100,7 +109,7 @@ def segment(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for s in range(0, len(repeated), 1 << 20):
         a, b = _hashes(repeated[s : s + (1 << 20)], each[s : s + (1 << 20)].astype(np.uint64))
         for k in range(PROBES):
-            place = (a + np.uint64(k) * b) % bits
+            place = _place(a, b, k, bits)
             np.bitwise_or.at(out, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
     return out
 
@@ -116,18 +125,27 @@ class Filter:
         out = np.zeros(len(names), np.uint8)
         part = (names % np.uint64(len(self.bits))).astype(np.int64)
         left = np.flatnonzero(self.bits[part] > 0)
+        names, bits, first = names[left], self.bits[part[left]], self.begin[part[left]].astype(np.uint64) << np.uint64(3)
         level = 0
         while len(left) and level < 255:
             level += 1
-            bits, begin = self.bits[part[left]], self.begin[part[left]]
-            a, b = _hashes(names[left], np.uint64(level))
-            for k in range(PROBES):
-                place = (a + np.uint64(k) * b) % bits
-                inside = (self.data[begin + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                left, bits, begin, a, b = left[inside], bits[inside], begin[inside], a[inside], b[inside]
+            a, b = _hashes(names, np.uint64(level))
+            # Half of the probes leave few names that are absent; only for the others the rest is asked.
+            inside = self._set(a, b, first, bits, range(PROBES // 2))
+            some = np.flatnonzero(inside)
+            some = some[self._set(a[some], b[some], first[some], bits[some], range(PROBES // 2, PROBES))]
+            left, names, bits, first = left[some], names[some], bits[some], first[some]
             out[left] = level
         return out
 
+    def _set(self, a: np.ndarray, b: np.ndarray, first: np.ndarray, bits: np.ndarray, probes: range) -> np.ndarray:
+        inside = None
+        for k in probes:
+            place = first + _place(a, b, k, bits)
+            bit = self.data[(place >> np.uint64(3)).view(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)
+            inside = bit if inside is None else inside & bit
+        return (inside & 1).view(bool)
+
     def asked(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Levels of each token, of what it follows and of both; nothing is known of what begins a text."""
         distinct, back = np.unique(names, return_inverse=True)
@@ -135,7 +153,8 @@ class Filter:
         before = np.zeros_like(word)
         before[1:] = word[:-1]
         before[np.cumsum(counts) - counts] = 0
-        return np.concatenate([word, before, self.levels(pair_names(contexts(names, counts), names))])
+        pairs, at = np.unique(pair_names(contexts(names, counts), names), return_inverse=True)
+        return np.concatenate([word, before, self.levels(pairs)[at]])
 
 
 @dataclass
@@ -293,9 +312,11 @@ def _scorer(sent, model: Model, strengths: tuple[float, ...], own: int, frequent
                     cols[k].append(np.add.reduceat(log_probabilities(level, first, model, s, own), begin))
                 if frequent is None:
                     continue
-                at = np.minimum(np.searchsorted(common, names), max(0, len(common) - 1))
-                is_common = common[at] == names if len(common) else np.zeros(len(names), bool)
-                base = np.where(is_common, np.log10((occurs[at] if len(common) else 0) + 0.1) - np.log10(whole), 0.0)
+                distinct, back = np.unique(names, return_inverse=True)
+                at = np.minimum(np.searchsorted(common, distinct), max(0, len(common) - 1))
+                held_here = common[at] == distinct if len(common) else np.zeros(len(distinct), bool)
+                base = np.where(held_here, np.log10((occurs[at] if len(common) else 0) + 0.1) - np.log10(whole), 0.0)
+                is_common, base = held_here[back], base[back]
                 cols[-5].append(counts)
                 cols[-4].append(np.add.reduceat(base, begin))
                 cols[-3].append(np.add.reduceat(is_common.astype(np.int64), begin))
@@ -339,7 +360,7 @@ def _best_strength(rows: DataFrame, model: Model) -> float:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score` of every row; a null text is empty.
 
-    Repeated rows get a row each. Without training texts every count is zero and a score is that of unseen words.
+    Repeated rows get a row each. Without training texts every word has probability one.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
