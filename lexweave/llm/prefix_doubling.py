@@ -155,8 +155,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared, length: int) -> Itera
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A name for every window from distance `near` to `far` before the anchor; `whole` is where the cover begins."""
+def _windows(batches: Iterator[pa.RecordBatch], length: int, twice) -> Iterator[pa.RecordBatch]:
+    """A name for every window from distance `near` to `far` before the anchor; `whole` is where the cover begins.
+
+    With a bitmap `twice`, of those that may be in it.
+    """
     for batch in batches:
         around, times, whole, near, far = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         data, offsets = batch.column(5), None
@@ -171,11 +174,20 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             d = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(size[s:e]) - size[s:e], size[s:e])
             at = offsets[row] - offsets[s] + whole[row] - d
             window = tx.mix(names.of(at, at + length) + d.astype(np.uint64))
+            if twice is not None:
+                some = may_hold(twice.value, window)
+                window, row, d = window[some], row[some], d[some]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tx.signed(window)), pa.array(around[row]), pa.array(d.astype(np.int32)), pa.array(times[row])], ["window", "around", "d", "n"]
             )
 
 
+def _stored(df: DataFrame, folder: str) -> DataFrame:
+    """`df` as a written table."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """`key`, `spans` (begin and end bytes, which may overlap) of the texts with a string of `length` bytes that also starts elsewhere.
 
@@ -200,22 +212,28 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
 
     # Occurrences of the same surroundings are one row from here on.
     same = ["rank", "near", "far", *[f"next{k}" for k in range(len(steps))]]
-    distinct = durable(anchors.groupBy("around").agg(F.count("*").alias("n"), *[F.first(c, True).alias(c) for c in same]))
+    distinct = anchors.groupBy("around").agg(F.count("*").alias("n"), *[F.first(c, True).alias(c) for c in same])
+    distinct = _stored(distinct, f"{folder}/distinct")
     groups = distinct.groupBy("rank").agg(F.count("*").alias("kinds"))
     open_ = distinct.join(groups.where("kinds > 1").select("rank"), "rank")
     open_ = open_.select("around", "n", "near", "far", F.col("far").alias("whole"), F.col("rank").alias("right"), F.col("rank").alias("left"), *same[3:])
-    for k, (side, _, _, reach) in enumerate(steps):
-        nxt = f"next{k}"
-        ranked = open_.where(F.col(side).isNotNull() & F.col(nxt).isNotNull()).groupBy(side, nxt)
-        ranked = ranked.agg(F.sum("n").alias("_n"), F.min("around").alias("_rank"))
-        ranked = ranked.where("_n > 1").select(F.col(side).alias("_a"), F.col(nxt).alias("_b"), "_rank")
-        joined = open_.join(ranked, (open_[side] == ranked["_a"]) & (open_[nxt] == ranked["_b"]), "left")
-        unique = F.col("_rank").isNull()
-        near = F.when(unique, F.greatest("near", F.lit(length - reach + 1))).otherwise(F.col("near"))
-        far = F.when(unique, F.least("far", F.lit(reach - 1))).otherwise(F.col("far"))
-        changed = {"near": near} if side == "right" else {"far": far}
-        open_ = joined.withColumns({**changed, side: F.col("_rank")}).drop("_a", "_b", "_rank", nxt).where("near <= far")
-        open_ = durable(open_)
+    for h in sorted({-b if side == "left" else b for side, b, _, _ in steps}):
+        # Both sides of one length are ranked from the same table.
+        ranked = open_
+        for k, (side, at, _, reach) in enumerate(steps):
+            if abs(at) != h:
+                continue
+            nxt = f"next{k}"
+            pairs = open_.where(F.col(side).isNotNull() & F.col(nxt).isNotNull()).groupBy(side, nxt)
+            pairs = pairs.agg(F.sum("n").alias("_n"), F.min("around").alias("_rank"))
+            pairs = pairs.where("_n > 1").select(F.col(side).alias("_a"), F.col(nxt).alias("_b"), "_rank")
+            ranked = ranked.join(pairs, (ranked[side] == pairs["_a"]) & (ranked[nxt] == pairs["_b"]), "left")
+            unique = F.col("_rank").isNull()
+            near = F.when(unique, F.greatest("near", F.lit(length - reach + 1))).otherwise(F.col("near"))
+            far = F.when(unique, F.least("far", F.lit(reach - 1))).otherwise(F.col("far"))
+            changed = {"near": near} if side == "right" else {"far": far}
+            ranked = ranked.withColumns({**changed, side: F.col("_rank")}).drop("_a", "_b", "_rank", nxt)
+        open_ = _stored(ranked.where("near <= far"), f"{folder}/open{h}")
     left = open_.select(F.col("around").alias("_around"), F.col("near").alias("_near"), F.col("far").alias("_far"), F.col("whole").alias("_whole"), "n")
     covers = anchors.where(F.col("cover").isNotNull()).select("around", "cover")
     covers = covers.join(left, covers["around"] == left["_around"]).groupBy("around").agg(
@@ -223,10 +241,13 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
     )
     covers.write.parquet(f"{folder}/covers")
     covers = spark.read.schema("around bigint, n bigint, whole int, near int, far int, cover binary").parquet(f"{folder}/covers")
-    windows = covers.mapInArrow(lambda b: _windows(b, length), "window bigint, around bigint, d int, n bigint")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("_n")).where("_n > 1").select("window")
+    kind = "window bigint, around bigint, d int, n bigint"
+    twice = covers.mapInArrow(lambda b: _windows(b, length, None), kind).groupBy("window").agg(F.sum("n").alias("_n"))
+    twice = _stored(twice.where("_n > 1").select("window"), f"{folder}/twice")
+    names = spark.sparkContext.broadcast(bitmap(twice, twice.count(), "window"))
     # A cover that occurs twice needs no look at its windows.
-    single = windows.where("n = 1").join(twice, "window").groupBy("around").agg(F.collect_set("d").alias("ds"))
+    windows = covers.where("n = 1").mapInArrow(lambda b: _windows(b, length, names), kind).select("window", "around", "d")
+    single = windows.join(twice, "window").groupBy("around").agg(F.collect_set("d").alias("ds"))
     ends = F.transform(F.filter("ds", lambda d: ~F.array_contains("ds", d + 1)), lambda d: d)
     begins = F.filter("ds", lambda d: ~F.array_contains("ds", d - 1))
     runs = F.arrays_zip(F.array_sort(begins).alias("near"), F.array_sort(ends).alias("far"))
