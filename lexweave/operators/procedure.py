@@ -42,6 +42,15 @@ def business_calendar(bounds: DataFrame, holidays: list[tuple[int, int]] = fixed
     return flagged.withColumn("business_no", F.sum(F.col("is_business").cast("bigint")).over(upto))
 
 
+def _span(business_days: Column, holidays: list[tuple[int, int]]) -> Column:
+    """Calendar days that hold so many business days wherever they begin: a holiday costs at most one day a year."""
+    yearly = len(set(holidays))
+    share = 5 / 7 - yearly / 365
+    if share < 0.01:
+        raise ValueError(f"{yearly} holidays a year leave no business days to count")
+    return F.ceil((business_days + 2 * yearly + 10) / share).cast("int")
+
+
 def deadline_schedule(triggers: DataFrame, rules: DataFrame, holidays: list[tuple[int, int]] = fixed.HOLIDAYS) -> DataFrame:
     """Deadline of every trigger (trigger_id, rule_key, trigger_date) under its rule, with certainty and reason.
 
@@ -52,8 +61,8 @@ def deadline_schedule(triggers: DataFrame, rules: DataFrame, holidays: list[tupl
     reach = F.max(F.abs(F.coalesce("base_days", F.lit(0))))
     bounds = joined.filter("calculate_mode = 'business_days'").agg(
         F.min("trigger_date").alias("lo"), F.max("trigger_date").alias("hi"), reach.alias("n")
-    ).filter("lo IS NOT NULL").select(
-        F.date_sub("lo", (F.col("n") * 2 + 30).cast("int")).alias("first"), F.date_add("hi", (F.col("n") * 2 + 30).cast("int")).alias("last")
+    ).filter("lo IS NOT NULL").withColumn("_span", _span(F.col("n"), holidays)).select(
+        F.date_sub("lo", F.col("_span")).alias("first"), F.date_add("hi", F.col("_span")).alias("last")
     )
     calendar = business_calendar(bounds, holidays)
     start = calendar.select(
@@ -95,5 +104,5 @@ def deadline_schedule(triggers: DataFrame, rules: DataFrame, holidays: list[tupl
     return dated.select(
         "trigger_id", "rule_key", "trigger_date", deadline.alias("deadline"),
         F.when(deadline.isNull(), REVIEW_REQUIRED).otherwise("DETERMINED").alias("certainty"), reason.alias("reason"),
-        F.coalesce("source_note", "law_ref").alias("source"), "limit_type",
+        F.when(unsure | deadline.isNotNull(), F.coalesce("source_note", "law_ref")).otherwise(F.col("source_note")).alias("source"), "limit_type",
     )

@@ -108,7 +108,7 @@ def compare_cases(pairs: DataFrame, cases: DataFrame, paragraphs: DataFrame, cit
     ]
     names = F.explode(F.array(*[F.lit(n) for n, _ in explained])).alias("dimension")
     rows = pairs.select("pair_id", "a_id", "b_id", "_ca", "_cb", names).join(measured, ["pair_id", "dimension"], "left")
-    same_court = F.when(F.col("_ca") == F.col("_cb"), 1.0).otherwise(0.0)
+    same_court = F.when((F.col("_ca") == F.col("_cb")) & (F.col("_ca") != ""), 1.0).otherwise(0.0)
     base = F.round(F.coalesce("score", F.lit(0.0)), 3)
     score = F.when(F.col("dimension") == "PROCEDURAL_SIMILARITY", F.round(0.5 * same_court + 0.5 * base, 3)).otherwise(base)
     explanation = F.coalesce(*[F.when(F.col("dimension") == n, e) for n, e in explained])

@@ -164,8 +164,6 @@ def extractive_summary(paragraphs: DataFrame, cases: DataFrame, key: str, limit:
     return found.unionByName(missing)
 
 
-SECTION_PARAGRAPHS = 100_000
-
 CHUNK_COLUMNS = [
     "chunk_id", "document_type", "document_key", "version_id", "chunk_type", "text", "hierarchy_context",
     "article_number", "paragraph_number", "section_type", "content_hash",
@@ -202,35 +200,33 @@ def provision_chunks(wording: DataFrame) -> DataFrame:
 def judgment_chunks(paragraphs: DataFrame, judgments: DataFrame, key: str) -> DataFrame:
     """One chunk per section (its paragraphs joined) and one per paragraph.
 
-    Takes the output of segment_judgments; judgments hold key, title, version_id. A section
-    beyond SECTION_PARAGRAPHS continues in further chunks, so no task joins an unbounded one.
+    Takes the output of segment_judgments; judgments hold key, title, version_id. A section is
+    one text, so its paragraphs meet in one row.
     """
     named = paragraphs.join(judgments.select(key, "title", "version_id"), key)
     context = F.concat(F.coalesce("title", F.lit("")), F.lit("\nSection: "), F.col("section_type"))
     none = F.lit(None).cast("string")
-    piece = F.floor((F.col("para_in_section") - 1) / SECTION_PARAGRAPHS)
     sections = (
-        named.withColumn("piece", piece)
-        .groupBy(key, "title", "version_id", "section_no", "section_type", "piece")
+        named.groupBy(key, "title", "version_id", "section_no", "section_type")
         .agg(F.sort_array(F.collect_list(F.struct("para_number", "text"))).alias("_p"))
         .withColumn("text", F.array_join(F.transform("_p", lambda p: p["text"]), "\n"))
         .filter(F.length("text") > 0)
         .select(
-            key, "version_id", "section_no", "piece", "section_type", "text", context.alias("hierarchy_context"),
+            key, "version_id", "section_no", "section_type", "text", context.alias("hierarchy_context"),
             F.lit("section").alias("chunk_type"), none.alias("paragraph_number"),
         )
     )
     single = named.select(
-        key, "version_id", "section_no", F.lit(0).cast("bigint").alias("piece"), "section_type", "text",
+        key, "version_id", "section_no", "section_type", "text",
         context.alias("hierarchy_context"), F.lit("paragraph").alias("chunk_type"), F.col("para_number").cast("string").alias("paragraph_number"),
     )
     rows = sections.unionByName(single).select(
         F.lit("judgment").alias("document_type"), F.col(key).alias("document_key"), "version_id", "chunk_type", "text",
-        "hierarchy_context", none.alias("article_number"), "paragraph_number", "section_type", "section_no", "piece",
+        "hierarchy_context", none.alias("article_number"), "paragraph_number", "section_type", "section_no",
     )
     seed = F.concat_ws(
         ":", F.lit("J"), "document_key", "version_id", "chunk_type", F.coalesce("paragraph_number", F.lit("sec")),
-        F.col("section_no").cast("string"), F.when(F.col("piece") > 0, F.col("piece").cast("string")),
+        F.col("section_no").cast("string"),
     )
     return _finish_chunks(rows, seed)
 

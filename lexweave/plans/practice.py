@@ -40,7 +40,7 @@ SELECT day, open, sum(CASE WHEN open THEN 1 ELSE 0 END) OVER (ORDER BY day) AS n
 
 @query("deadline_schedule", """
 SELECT trigger_id, rule_key, CASE WHEN deadline IS NULL THEN 'REVIEW_REQUIRED' ELSE 'DETERMINED' END AS certainty, strftime(deadline, '%Y-%m-%d') AS deadline,
-  CASE WHEN ambiguous THEN 'Rule is ambiguous; review required before computing a deadline.' WHEN calculate_mode = 'lunar' THEN 'Unsupported calculate_mode ''lunar''' END AS reason, coalesce(source_note, law_ref) AS source
+  CASE WHEN ambiguous THEN 'Rule is ambiguous; review required before computing a deadline.' WHEN calculate_mode = 'lunar' THEN 'Unsupported calculate_mode ''lunar''' END AS reason, CASE WHEN ambiguous OR deadline IS NOT NULL THEN coalesce(source_note, law_ref) ELSE source_note END AS source
 FROM (SELECT x.*, CASE WHEN ambiguous THEN NULL WHEN calculate_mode = 'calendar_days' THEN t + step WHEN calculate_mode = 'business_days' THEN CASE WHEN step = 0 THEN t ELSE b.day END
     WHEN calculate_mode = 'day_of_month' THEN CASE WHEN (inm < t OR step >= 0 AND direction = 'after') AND inm <= t THEN CAST(nm + (least(dom, day(last_day(nm))) - 1)::INT AS DATE) ELSE inm END
     WHEN calculate_mode = 'last_day_month' THEN CASE WHEN direction = 'after' THEN last_day(t) ELSE last_day(CAST(t - INTERVAL 1 MONTH AS DATE)) END END AS deadline

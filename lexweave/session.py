@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,23 +27,12 @@ def build_session(master: str | None = None, app: str = "lexweave", **extra: str
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: `spark.checkpoint.dir`.
-
-    Where it is unset a local session gets one temporary folder; a cluster without it is an error.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
+    """The folder every executor can read: `spark.checkpoint.dir`. Without it there is nowhere to cut a plan: an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if sc.applicationId not in _local_folders:
-        _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="lexweave-")
-    return _local_folders[sc.applicationId]
+    return folder
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -67,7 +68,7 @@ def main() -> int:
     from lexweave.session import build_session
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session("local[8]", **{"spark.checkpoint.dir": Path(tempfile.mkdtemp()).as_uri(), "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

@@ -207,3 +207,32 @@ def test_word_helpers(spark):
     df = spark.createDataFrame([("Élan Ναός α_1",)], ["t"])
     assert df.select(T.folded_tokens("t")).first()[0] == ["elan", "ναος", "α_1"]
     assert df.select(T.slug(F.lit(" Law 68/82 π "))).first()[0] == "law-68-82-p"
+
+
+RULE = "rule_key string, calculate_mode string, base_days int, day_of_month int, direction string, ambiguous boolean, limit_type string, source_note string, law_ref string"
+
+
+def test_deadline_source_and_long_closures(spark):
+    rules = spark.createDataFrame(
+        [
+            ("lunar", "lunar", 3, None, "after", False, "maximum", None, "law-9"),
+            ("unsure", "calendar_days", 3, None, "after", True, "maximum", None, "law-9"),
+            ("plain", "calendar_days", 3, None, "after", False, "maximum", None, "law-9"),
+            ("closed", "business_days", 1, None, "after", False, "maximum", "note", "law-9"),
+        ], RULE,
+    )
+    triggers = spark.createDataFrame([(k, k, dt.date(2021, 7, 30)) for k in ("lunar", "unsure", "plain", "closed")],
+                                     "trigger_id string, rule_key string, trigger_date date")
+    closed = [((dt.date(2021, 7, 31) + dt.timedelta(days=k)).month, (dt.date(2021, 7, 31) + dt.timedelta(days=k)).day) for k in range(50)]
+    got = {r.rule_key: r for r in P.deadline_schedule(triggers, rules, closed).collect()}
+    assert got["lunar"].source is None and got["unsure"].source == "law-9" and got["plain"].source == "law-9"
+    assert got["closed"].deadline == dt.date(2021, 9, 20) and got["closed"].certainty == "DETERMINED"
+
+
+def test_empty_courts_are_not_the_same_court(spark):
+    cases = spark.createDataFrame([("a", ""), ("b", ""), ("c", "X"), ("d", "X")], "id string, court string")
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "pair_id int, a_id string, b_id string")
+    paragraphs = spark.createDataFrame([], "id string, section_type string, para_number bigint, text string")
+    citations = spark.createDataFrame([], "id string, target_key string")
+    rows = S.compare_cases(pairs, cases, paragraphs, citations).where("dimension = 'PROCEDURAL_SIMILARITY'").collect()
+    assert {r.pair_id: r.score for r in rows} == {1: 0.0, 2: 0.5}

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from lexweave import plans
 from oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,14 +14,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, con, name):
     ok, note = compare(spark, con, SF, name)
     assert ok, note
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(plans.oracles()) == set(plans.QUERIES)
 
 
 def test_entry(spark):
