@@ -170,7 +170,9 @@ def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(*[F.col(c).alias(v) for c, v in named.items()])
     rows = with_rates(rows, mix, named[text_col])
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col(named[id_col]), F.col(named[text_col])), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(F.col("rate") + draw).cast("int")
+    # The partition's number, times zero, keeps the optimizer from moving the filter below, with a copy of the whole
+    # classifier for every use of a column, to the scan.
+    times = F.floor(F.col("rate") + draw).cast("int") + F.spark_partition_id() * 0
     rows = rows.withColumn("_mx_times", times).where("_mx_times > 0")
     rows = rows.withColumn("_mx_time", F.explode(F.sequence(F.lit(1), F.col("_mx_times"))))
     return rows.select(*[F.col(v).alias(c) for c, v in named.items()])
