@@ -21,9 +21,9 @@ def bitmap(names: DataFrame, count: int, name: str = "name") -> np.ndarray:
     places = F.array(*[F.expr(f"shiftrightunsigned({name}, {s}) & {(1 << width) - 1}L") for s in _SHIFTS])
     placed = names.select(F.explode(places).alias("place"))
     bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
-    words = placed.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = placed.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (width - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 

@@ -367,10 +367,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("t"))
     words = spark.read.schema("name bigint, n bigint").parquet(model.words)
     is_common = F.col("n") * FREQUENT >= F.lit(model.n)
-    common = words.where(is_common).toPandas()
-    names = common["name"].to_numpy(np.int64).view(np.uint64)
+    common = words.where(is_common).toArrow()
+    names = common["name"].to_numpy().view(np.uint64)
     order = np.argsort(names)
-    frequent = spark.sparkContext.broadcast((names[order], common["n"].to_numpy(np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((names[order], common["n"].to_numpy()[order]))
     *_, (last, sent) = _levels(rows, model)
     kind = docs.schema[id_col].dataType.simpleString()
     scored = last.select("id", "key", "t", *(["lv"] if "lv" in last.columns else [])).mapInArrow(
