@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, fixed, text as T
-from ..scale import top_per_key
+from ..scale import position_block, sequence_in_blocks, top_per_key
 from ..session import durable
 from .graph import adverse_authorities, resolve_authorities, validate_citations
 from .retrieval import search
@@ -101,10 +101,26 @@ def chronology(events: DataFrame, matter: str = "matter_id") -> DataFrame:
 def suggest_issues(facts: DataFrame, existing: DataFrame) -> DataFrame:
     """Issues the accepted facts of a matter point to, flagged `created` unless the matter has them.
 
-    Facts hold matter_id, text, status; existing issues matter_id, text, status. Keywords are looked for
-    fact by fact, so no matter's text is gathered in one place.
+    Facts hold matter_id, fact_id, text, status; existing issues matter_id, text, status. Keywords are looked for in
+    the accepted facts in order of fact_id, joined by a space. A keyword of n words spans n facts at most, so each fact is
+    searched with the ends of the n - 1 before it and no matter's text is gathered in one place.
     """
-    text = F.lower("text")
+    keywords = [w for words, _ in fixed.ISSUE_RULES for w in words]
+    accepted = facts.filter("status = 'accepted'").select(
+        "matter_id", "fact_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text")
+    )
+    longest = max(map(len, keywords))
+    # What was cut off leaves a line break, which no keyword has, so that no keyword runs over the cut.
+    end = F.when(F.length("_text") > longest, F.concat(F.lit("\n"), F.right("_text", F.lit(longest)))).otherwise(F.col("_text"))
+    facts_before, last = [], "_end"
+    accepted = accepted.withColumn(last, end)
+    for k in range(max(w.count(" ") for w in keywords)):
+        facts_before.insert(0, f"_before{k}")
+        accepted = sequence_in_blocks(
+            accepted, ["matter_id"], ["fact_id"], position_block("fact_id"), previous={facts_before[0]: last}
+        )
+        last = facts_before[0]
+    text = F.concat_ws(" ", *facts_before, "_text")
 
     def found(words: list[str], issue: str) -> Column:
         hit = F.lit(False)
@@ -113,8 +129,7 @@ def suggest_issues(facts: DataFrame, existing: DataFrame) -> DataFrame:
         return F.when(hit, F.lit(issue))
 
     rules = F.array_compact(F.array(*[found(words, issue) for words, issue in fixed.ISSUE_RULES]))
-    hits = facts.filter("status = 'accepted'").select("matter_id", F.explode_outer(rules).alias("text"))
-    wanted = hits.filter("text IS NOT NULL").distinct()
+    wanted = accepted.select("matter_id", F.explode(rules).alias("text")).distinct()
     known = existing.groupBy("matter_id", "text").agg(F.min("status").alias("_status"))
     return wanted.join(known, ["matter_id", "text"], "left").select(
         "matter_id", "text", F.coalesce("_status", F.lit("proposed")).alias("status"), F.col("_status").isNull().alias("created")

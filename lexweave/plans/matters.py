@@ -78,8 +78,8 @@ def chronology(src):
 
 
 INPUTS["issue_facts"] = """
-SELECT o_custkey AS matter_id, CASE CAST(o_orderkey % 9 AS INT) WHEN 0 THEN 'Company became INSOLVENT' WHEN 1 THEN 'owed a Duty of Care' WHEN 2 THEN 'failed to pay'
-    WHEN 3 THEN 'claims Damages' WHEN 4 THEN 'is liable' WHEN 5 THEN 'time-barred claim' WHEN 6 THEN 'έχει δικαιοδοσία' WHEN 7 THEN 'wants an injunction' ELSE 'nothing here' END AS text,
+SELECT o_custkey AS matter_id, o_orderkey AS fact_id, CASE CAST(o_orderkey % 11 AS INT) WHEN 0 THEN 'Company became INSOLVENT' WHEN 1 THEN 'owed a Duty of Care' WHEN 2 THEN 'failed to pay'
+    WHEN 3 THEN 'claims Damages' WHEN 4 THEN 'is liable' WHEN 5 THEN 'time-barred claim' WHEN 6 THEN 'έχει δικαιοδοσία' WHEN 7 THEN 'wants an injunction' WHEN 8 THEN 'he had a duty' WHEN 9 THEN 'of care for her' ELSE 'nothing here' END AS text,
   CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'proposed' ELSE 'rejected' END AS status FROM {orders}
 """
 INPUTS["issues_now"] = """
@@ -87,14 +87,17 @@ SELECT c_custkey AS matter_id, 'Is the defendant liable to the claimant and on w
 """
 
 
+ORACLE_PARTS["issue_words"] = "SELECT * FROM (VALUES " + ", ".join(
+    "('{}', '{}')".format(word, issue.replace("'", "''")) for words, issue in fixed.ISSUE_RULES for word in words
+) + ") r(word, issue)"
+
+
 @query("suggest_issues", """
-SELECT matter_id, text, coalesce(e.status, 'proposed') AS status, e.status IS NULL AS created FROM (
-  SELECT DISTINCT matter_id, CASE text WHEN 'Company became INSOLVENT' THEN 'Is the company insolvent and therefore liable to be wound up by the court?'
-      WHEN 'owed a Duty of Care' THEN 'Did the defendant owe and breach a duty of care towards the claimant?' WHEN 'failed to pay' THEN 'Was there a breach of the parties'' contractual obligations?'
-      WHEN 'claims Damages' THEN 'What damages or compensation is the claimant entitled to recover?' WHEN 'is liable' THEN 'Is the defendant liable to the claimant and on what legal basis?'
-      WHEN 'time-barred claim' THEN 'Is the claim barred by the applicable limitation period?' WHEN 'έχει δικαιοδοσία' THEN 'Does the court have jurisdiction to hear and determine the claim?'
-      WHEN 'wants an injunction' THEN 'Is an equitable remedy (specific performance / injunction) available and appropriate?' END AS text
-  FROM {issue_facts} WHERE status = 'accepted') LEFT JOIN {issues_now} e USING (matter_id, text) WHERE text IS NOT NULL""")
+SELECT i.matter_id, i.issue AS text, coalesce(e.status, 'proposed') AS status, e.status IS NULL AS created FROM (
+  SELECT DISTINCT matter_id, issue FROM (
+    SELECT matter_id, lower(string_agg(text, ' ' ORDER BY fact_id)) AS body FROM {issue_facts} WHERE status = 'accepted' GROUP BY matter_id)
+  JOIN {issue_words} ON contains(body, word)) i
+LEFT JOIN {issues_now} e ON e.matter_id = i.matter_id AND e.text = i.issue""")
 def suggest_issues(src):
     return M.suggest_issues(src.issue_facts, src.issues_now)
 
@@ -161,7 +164,7 @@ def notifications(src):
 
 
 INPUTS["new_items"] = """
-SELECT concat('k', CAST(event_id % 500 AS STRING)) AS follow_key, concat('ref-', CAST(event_id AS STRING)) AS reference, ts FROM {events} WHERE event_type = 'purchase'
+SELECT concat('k', CAST(event_id % 500 AS STRING)) AS follow_key, concat('ref-', CAST(event_id AS STRING)) AS reference, ts FROM {events}
 """
 INPUTS["follows"] = """
 SELECT c_nationkey AS org_id, concat('k', CAST(c_custkey % 300 AS STRING)) AS follow_key FROM {customer}
@@ -238,7 +241,7 @@ def attach_evidence(src):
 
 
 INPUTS["law_titles"] = "SELECT law, min(title) AS title, min(jurisdiction) AS jurisdiction FROM {law_source} GROUP BY law"
-INPUTS["judgment_treatments"] = "SELECT concat(CAST(conv_id AS STRING), '/2019') AS source_key, 'OVERRULES' AS treatment FROM {conversations} WHERE role = 'user'"
+INPUTS["judgment_treatments"] = "SELECT concat(CAST(conv_id AS STRING), '/2019') AS source_key, 'OVERRULES' AS treatment FROM {conversations}"
 
 
 @query("authority_detail", """

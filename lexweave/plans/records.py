@@ -70,7 +70,7 @@ SELECT p_partkey AS dataset_key, concat('Supplier#', lpad(CAST(p_partkey % 120 A
   CASE WHEN p_size = 4 THEN '' ELSE concat('https://example.org/', CAST(p_partkey AS STRING)) END AS download_url
 FROM {part}
 """
-INPUTS["dataset_records"] = "SELECT l_partkey AS dataset_key, l_orderkey AS record FROM {lineitem} WHERE l_returnflag = 'R'"
+INPUTS["dataset_records"] = "SELECT l_partkey AS dataset_key, l_orderkey AS record FROM {lineitem}"
 
 
 @query("dataset_status", """

@@ -140,7 +140,7 @@ INPUTS["raw_treatments"] = """
 SELECT concat('judgment-', CAST(l_orderkey AS STRING)) AS source_key, concat('judgment-', CAST(l_partkey AS STRING)) AS target_key,
   'CY' AS target_jurisdiction,
   CASE l_returnflag WHEN 'A' THEN 'FOLLOWS' WHEN 'N' THEN 'OVERRULES' ELSE 'MENTIONS' END AS treatment,
-  CASE WHEN l_linestatus = 'F' THEN 'validated' ELSE NULL END AS review_status FROM {lineitem} WHERE l_linenumber < 3
+  CASE WHEN l_linestatus = 'F' THEN 'validated' ELSE NULL END AS review_status FROM {lineitem}
 """
 INPUTS["law_links"] = """
 SELECT concat('judgment-', CAST(l_orderkey AS STRING)) AS judgment_key, 'APPLIES' AS relationship,
@@ -150,7 +150,7 @@ SELECT concat('judgment-', CAST(l_orderkey AS STRING)) AS judgment_key, 'APPLIES
 INPUTS["provision_refs"] = """
 SELECT concat('law-', CAST(l_suppkey AS STRING), '-art-', CAST(l_linenumber AS STRING)) AS source_key,
   concat('law-', CAST(l_partkey % 100 AS STRING), '-art-1') AS target_key, 'REFERENCES' AS relationship
-FROM {lineitem} WHERE l_returnflag = 'R'
+FROM {lineitem}
 """
 INPUTS["case_keys"] = """
 SELECT concat('judgment-', CAST(p_partkey AS STRING)) AS case_key FROM {part}

@@ -454,11 +454,12 @@ def letter_vector(texts: list[str]) -> list[list[float]]:
 
 
 @query("embed_column", """
-SELECT doc_id, CAST(v[1] AS DOUBLE) AS d1, CAST(v[4] AS DOUBLE) AS d4, 4 AS dimensions, 'letters' AS model, 'run-1' AS model_run_id FROM (
+SELECT doc_id, CAST(v[1] AS DOUBLE) AS d1, CAST(v[2] AS DOUBLE) AS d2, CAST(v[3] AS DOUBLE) AS d3, CAST(v[4] AS DOUBLE) AS d4, 4 AS dimensions, 'letters' AS model, 'run-1' AS model_run_id FROM (
   SELECT doc_id, list_transform(['a', 'e', 'i', 'u'], lambda c: len(text) - len(replace(text, c, ''))) AS v FROM {documents})""")
 def embed_column(src):
     out = R.embed_column(
         spread(src.documents.select("doc_id", "text")), letter_vector, provider="local", model="letters", version="1",
         dimensions=4, run_id="run-1",
     )
-    return out.select("doc_id", F.get("vector", F.lit(0)).alias("d1"), F.get("vector", F.lit(3)).alias("d4"), "dimensions", "model", "model_run_id")
+    parts = [F.get("vector", F.lit(k)).alias(f"d{k + 1}") for k in range(4)]
+    return out.select("doc_id", *parts, "dimensions", "model", "model_run_id")

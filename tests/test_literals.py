@@ -236,3 +236,14 @@ def test_empty_courts_are_not_the_same_court(spark):
     citations = spark.createDataFrame([], "id string, target_key string")
     rows = S.compare_cases(pairs, cases, paragraphs, citations).where("dimension = 'PROCEDURAL_SIMILARITY'").collect()
     assert {r.pair_id: r.score for r in rows} == {1: 0.0, 2: 0.5}
+
+
+def test_issue_words_over_several_facts(spark):
+    facts = [
+        (1, 1, "he owed a Duty", "accepted"), (1, 2, "another matter", "proposed"), (1, 3, "of", "accepted"), (1, 9000, "care to her", "accepted"),
+        (2, 1, "a duty", "accepted"), (2, 2, "", "accepted"), (2, 3, "of care", "accepted"), (3, 1, "duty", "accepted"), (4, 1, "of care", "accepted"),
+        (5, 1, None, "accepted"), (5, 2, "insolvency", "accepted"),
+    ]
+    existing = spark.createDataFrame([], "matter_id int, text string, status string")
+    got = M.suggest_issues(spark.createDataFrame(facts, "matter_id int, fact_id long, text string, status string"), existing)
+    assert rows(got, "matter_id", "text") == [(1, fixed.ISSUE_RULES[1][1]), (5, fixed.ISSUE_RULES[0][1])]
