@@ -1,10 +1,14 @@
 """Repeated passages by MinHash banding of paragraphs.
 
 Units are compared. One kind is a paragraph (a line) of at least `MIN_WORDS`
-words. The other is a passage inside a paragraph: paragraphs are cut where a hash
-of the words is smallest among its neighbours, so the same words are cut alike
-wherever they stand, and a run of pieces that also occur elsewhere is a unit if
-it has `MIN_WORDS` words.
+words. The other is a passage inside a paragraph: paragraphs are cut where a hash of the
+words is smallest among its neighbours, so the same words are cut alike wherever
+they stand. A run of pieces each of which occurs again beside the same neighbour
+is a unit if it has `MIN_WORDS` words; a piece that is repeated by itself, beside
+other words, does not lengthen the run. Which pairs of pieces occur
+again is decided exactly: a bitmap is asked first, and those that pass it but
+occur once are named to the texts, all of them up to `MOST_WRONG`, beyond that to
+each text its own by a join.
 
 Equal units are one. Every distinct unit gets MinHash bands; rows and bands are
 chosen so that units of the threshold's similarity collide with `RECALL` or more.
@@ -20,7 +24,7 @@ Of each component the first unit stays, by document and place.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ RECALL = 0.999
 BAND_ROWS = 4
 #: A word begins a piece if its hash is smallest among so many on either side.
 REACH = 4
+#: Pairs wrongly held for repeated that are broadcast, 32 MB of names.
+MOST_WRONG = 1 << 22
 #: Units of a bucket that meet in one task.
 BLOCK = 512
 
@@ -81,27 +87,71 @@ class Words:
         ends = np.r_[starts[1:], len(self.names)] if len(starts) else starts
         return starts, ends, self.spans(starts, ends) if len(starts) else np.empty(0, np.uint64)
 
-    def units(self, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of paragraphs, and of runs of pieces that may be repeated and are not a whole paragraph."""
+    def links(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and name of neighbouring pieces of a line, and of single pieces of `min_words`."""
+        pieces, ends, _ = self.of(self.pieces)
+        beside = np.flatnonzero(~np.isin(pieces[1:], self.lines))
+        long = ends - pieces >= min_words
+        begin, end = np.r_[pieces[beside], pieces[long]], np.r_[ends[beside + 1], ends[long]] if len(pieces) else pieces
+        return begin, end, self.spans(begin, end) if len(begin) else np.empty(0, np.uint64)
+
+    def units(self, words: np.ndarray, wrong: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of paragraphs, and of runs of repeated pieces that are not a whole paragraph."""
         lines, line_ends, _ = self.of(self.lines)
-        pieces, piece_ends, names = self.of(self.pieces)
+        begin, end, names = self.links(min_words)
         again = may_hold(words, names) if len(names) else np.empty(0, bool)
-        fresh = np.isin(pieces, lines)
-        head = again.copy()
-        head[1:] &= ~again[:-1] | fresh[1:]
-        tail = again.copy()
-        tail[:-1] &= ~again[1:] | fresh[1:]
-        begin, end = pieces[head], piece_ends[tail]
+        again[again] = ~_holds(wrong, names[again])
+        order = np.argsort(begin[again], kind="stable")
+        begin, end = begin[again][order], np.maximum.accumulate(end[again][order])
+        begin, end = _runs(begin, end, begin[1:] >= end[:-1])
         inner = ~(np.isin(begin, lines) & np.isin(end, line_ends))
         begin, end = np.r_[lines, begin[inner]], np.r_[line_ends, end[inner]]
         long = end - begin >= min_words
         return begin[long], end[long]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(begin: np.ndarray, end: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending spans joined but where one is `apart` from that before it."""
+    if not len(begin):
+        return begin, end
+    return begin[np.r_[True, apart]], end[np.r_[apart, True]]
+
+
+def _holds(ordered: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names are in an ascending array."""
+    if not len(ordered):
+        return np.zeros(len(names), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, names), len(ordered) - 1)] == names
+
+
+def _wrong(batch: pa.RecordBatch, everywhere: np.ndarray) -> np.ndarray:
+    """Names of the batch that the bitmap wrongly holds for repeated, ascending; they occur nowhere else."""
+    if "wrong" not in batch.schema.names:
+        return everywhere
+    return np.unique(batch.column(batch.schema.get_field_index("wrong")).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _passing(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The names that the bitmap holds for repeated."""
+    for batch in batches:
+        names = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(names[may_hold(shared.value, names.view(np.uint64))])], ["name"])
+
+
+def _passing_pieces(batches: Iterator[pa.RecordBatch], shared, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Key of the text and each name that the bitmap holds for repeated."""
+    for batch in batches:
+        for i, _, data, offsets in tx.texts(batch, "t"):
+            w = Words(data, offsets)
+            begin, _, names = w.links(min_words)
+            mine = may_hold(shared.value, names) if len(names) else np.empty(0, bool)
+            row = np.searchsorted(np.cumsum(w.counts), begin[mine], "right")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(tx.signed(names[mine]))], ["key", "name"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [Words(data, offsets) for _, _, data, offsets in tx.texts(batch, "t")]
-        names = [w.of(w.pieces)[2] for w in found]
+        names = [Words(data, offsets).links(min_words)[2] for _, _, data, offsets in tx.texts(batch, "t")]
         names, counts = np.unique(np.concatenate(names), return_counts=True) if names else (np.empty(0, np.uint64), np.empty(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(tx.signed(names)), pa.array(counts)], ["name", "n"])
 
@@ -126,35 +176,50 @@ def _unit_shingles(w: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return every[at], counts
 
 
-def _units(batches: Iterator[pa.RecordBatch], shared, min_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _bands(w: Words, begin: np.ndarray, end: np.ndarray, names: np.ndarray, bands: int, rows: int, threshold: float) -> pa.ListArray:
+    """The bands of each unit at its first place among these, no bands at others."""
+    _, first = np.unique(names, return_index=True)
+    first.sort()
+    shingles, counts = _unit_shingles(w, begin[first], end[first])
+    least = _min_hashes(shingles, counts, bands * rows).reshape(len(first), bands, rows)
+    keys = np.zeros((len(first), bands), np.uint64)
+    for r in range(rows):
+        keys = tx.mix(keys + least[:, :, r])
+    keys = tx.mix(keys + np.arange(bands, dtype=np.uint64))
+    many = np.full(len(first), bands)
+    size = np.zeros(len(names), np.int64)
+    size[first] = many
+    keys = keys[np.arange(bands) < many[:, None]]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(tx.signed(keys)))
+
+
+def _units(batches: Iterator[pa.RecordBatch], shared, min_words: int, bands: int, rows: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    pieces, everywhere = shared.value
     for batch in batches:
+        wrong = _wrong(batch, everywhere)
         for i, _, data, offsets in tx.texts(batch, "t"):
             w = Words(data, offsets)
-            begin, end = w.units(shared.value, min_words)
+            begin, end = w.units(pieces, wrong, min_words)
             if not len(begin):
                 continue
             row = np.searchsorted(np.cumsum(w.counts), begin, "right")
-            least = _min_hashes(*_unit_shingles(w, begin, end), bands * rows).reshape(len(begin), bands, rows)
-            keys = np.zeros((len(begin), bands), np.uint64)
-            for r in range(rows):
-                keys = tx.mix(keys + least[:, :, r])
-            keys = tx.mix(keys + np.arange(bands, dtype=np.uint64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * bands), pa.array(tx.signed(keys.ravel())))
+            names = w.spans(begin, end)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(i + row)), pa.array(tx.signed(w.spans(begin, end))),
-                    pa.array(w.starts[begin] - offsets[row]), pa.array(w.ends[end - 1] - offsets[row]), pa.array(end - begin), lists,
+                    batch.column(0).take(pa.array(i + row)), pa.array(tx.signed(names)), pa.array(w.starts[begin] - offsets[row]),
+                    pa.array(w.ends[end - 1] - offsets[row]), pa.array(end - begin), _bands(w, begin, end, names, bands, rows, threshold),
                 ], ["id", "unit", "begin", "end", "n_words", "bands"],
             )
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], shared, min_words: int) -> Iterator[pa.RecordBatch]:
     """Sorted distinct shingles of the units that may be asked for."""
-    pieces, asked = shared.value
+    pieces, everywhere, asked = shared.value
     for batch in batches:
+        wrong = _wrong(batch, everywhere)
         for _, _, data, offsets in tx.texts(batch, "t"):
             w = Words(data, offsets)
-            begin, end = w.units(pieces, min_words)
+            begin, end = w.units(pieces, wrong, min_words)
             names = w.spans(begin, end) if len(begin) else np.empty(0, np.uint64)
             names, first = np.unique(names, return_index=True)
             mine = may_hold(asked, names)
@@ -208,30 +273,13 @@ def _settle(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def repeated_units(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block: int = BLOCK
-) -> DataFrame:
-    """A row for every unit of a component of two or more occurrences.
+def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], folder: str, threshold: float, block: int) -> DataFrame:
+    """`node`, `component` of the `units` (`unit`, `bands`) that are similar to another.
 
-    `id_col`, `begin`, `end` (bytes in the text), `n_words`, `component` (name of its smallest unit), `members`,
-    `kept_id` and `removed`: whether the unit is not its component's first by id, place and name. Null ids come last.
-    Null and empty texts have no units; repeated rows have units each.
+    `shingles_of` gives `unit` and `shingles` of the units in a bitmap; `folder` takes what is written on the way.
     """
-    if min_words < max(SHINGLE_WORDS, 1):
-        raise ValueError(f"a unit has {SHINGLE_WORDS} words at least")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    pieces = rows.select("t").mapInArrow(_pieces, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
-    pieces = durable(pieces.where("n > 1").select("name"))
-    words = bitmap(pieces, pieces.count())
-    shared = spark.sparkContext.broadcast(words)
-    bands = tuned_bands(threshold)
-    folder = fresh_folder(spark, "passages")
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}, unit bigint, begin bigint, end bigint, n_words bigint, bands array<bigint>"
-    rows.mapInArrow(lambda b: _units(b, shared, min_words, bands, BAND_ROWS), kind).write.parquet(f"{folder}/units")
-    units = spark.read.schema(kind).parquet(f"{folder}/units")
-
-    buckets = units.groupBy("unit").agg(F.first("bands").alias("bands")).select("unit", F.explode("bands").alias("bucket"))
+    spark = units.sparkSession
+    buckets = units.where("size(bands) > 0").groupBy("unit").agg(F.first("bands").alias("bands")).select("unit", F.explode("bands").alias("bucket"))
     buckets.write.parquet(f"{folder}/buckets")
     buckets = spark.read.schema("unit bigint, bucket bigint").parquet(f"{folder}/buckets")
     stars = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("unit").alias("first")).where("size > 1")
@@ -239,9 +287,7 @@ def repeated_units(
     pairs = durable(members.where("unit > first").select(F.col("first").alias("a"), F.col("unit").alias("b")).distinct())
 
     asked = members.select(F.col("unit").alias("name")).distinct()
-    both = spark.sparkContext.broadcast((words, bitmap(asked, asked.count())))
-    sets = rows.select("t").mapInArrow(lambda b: _shingles(b, both, min_words), "unit bigint, shingles array<bigint>")
-    sets = sets.groupBy("unit").agg(F.first("shingles").alias("shingles"))
+    sets = shingles_of(bitmap(asked, asked.count())).groupBy("unit").agg(F.first("shingles").alias("shingles"))
     sets.join(asked, sets["unit"] == asked["name"], "left_semi").write.parquet(f"{folder}/shingles")
     sets = spark.read.schema("unit bigint, shingles array<bigint>").parquet(f"{folder}/shingles")
 
@@ -269,7 +315,58 @@ def repeated_units(
     more = durable(more.distinct())
     if not more.isEmpty():
         parts = connected_components(verified.union(more))
-    parts = durable(parts)
+    return durable(parts)
+
+
+def _marked(rows: DataFrame, folder: str, min_words: int, most_wrong: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """`rows`, the bitmap of what is repeated and what it wrongly holds; above `most_wrong` names these go with the rows as `wrong`."""
+    spark = rows.sparkSession
+    pieces = rows.select("t").mapInArrow(lambda b: _pieces(b, min_words), "name bigint, n bigint").groupBy("name").agg((F.sum("n") > 1).alias("again"))
+    pieces.write.parquet(f"{folder}/pieces")
+    pieces = spark.read.schema("name bigint, again boolean").parquet(f"{folder}/pieces")
+    repeated = pieces.where("again").select("name")
+    words = bitmap(repeated, repeated.count())
+    shared = spark.sparkContext.broadcast(words)
+    single = pieces.where("not again").select("name")
+    single.mapInArrow(lambda b: _passing(b, shared), "name bigint").write.parquet(f"{folder}/wrong")
+    wrong = spark.read.schema("name bigint").parquet(f"{folder}/wrong")
+    if wrong.count() <= most_wrong:
+        return rows, words, np.sort(wrong.toArrow()["name"].to_numpy().view(np.uint64))
+    keyed = rows.withColumn("key", F.xxhash64("t"))
+    held = keyed.select("key", "t").mapInArrow(lambda b: _passing_pieces(b, shared, min_words), "key bigint, name bigint")
+    held = held.join(wrong, "name", "left_semi")
+    held.groupBy("key").agg(F.collect_list("name").alias("wrong")).write.parquet(f"{folder}/wrong-by-text")
+    lists = spark.read.schema("key bigint, wrong array<bigint>").parquet(f"{folder}/wrong-by-text")
+    return keyed.join(lists, "key", "left").select("id", "t", "wrong"), words, np.empty(0, np.uint64)
+
+
+def repeated_units(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS,
+    block: int = BLOCK, most_wrong: int = MOST_WRONG,
+) -> DataFrame:
+    """A row for every unit of a component of two or more occurrences.
+
+    `id_col`, `begin`, `end` (bytes in the text), `n_words`, `component` (name of its smallest unit), `members`,
+    `kept_id` and `removed`: whether the unit is not its component's first by id, place and name. Null ids come last.
+    Null and empty texts have no units; repeated rows have units each.
+    """
+    if min_words < max(SHINGLE_WORDS, 1):
+        raise ValueError(f"a unit has {SHINGLE_WORDS} words at least")
+    spark = docs.sparkSession
+    folder = fresh_folder(spark, "passages")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows, words, wrong = _marked(rows, folder, min_words, most_wrong)
+    shared = spark.sparkContext.broadcast((words, wrong))
+    bands = tuned_bands(threshold)
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, unit bigint, begin bigint, end bigint, n_words bigint, bands array<bigint>"
+    rows.mapInArrow(lambda b: _units(b, shared, min_words, bands, BAND_ROWS, threshold), kind).write.parquet(f"{folder}/units")
+    units = spark.read.schema(kind).parquet(f"{folder}/units")
+
+    def sets(asked: np.ndarray) -> DataFrame:
+        both = spark.sparkContext.broadcast((words, wrong, asked))
+        return rows.drop("id").mapInArrow(lambda b: _shingles(b, both, min_words), "unit bigint, shingles array<bigint>")
+
+    parts = linked(units, sets, folder, threshold, block)
 
     classed = units.drop("bands").join(parts, units["unit"] == parts["node"], "left")
     classed = classed.select("id", "begin", "end", "n_words", "unit", F.coalesce("component", "unit").alias("component"))

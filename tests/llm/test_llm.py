@@ -367,6 +367,23 @@ def test_passages_components(docs, texts):
     assert want and found >= 0.999 * len(want)
 
 
+def test_passages_exact(spark, monkeypatch):
+    """A bitmap that holds everything for repeated lengthens no run, whichever way its errors reach the texts."""
+    rng = np.random.default_rng(18)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)]
+    shared, chance = fresh(60), [fresh(30) for _ in range(8)]
+    rows = [(i, " ".join(fresh(80) + chance[i] + shared + chance[7 - i] + fresh(80))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(tuple, passages.repeated_units(df).collect()))
+    by = {}
+    for r in want:
+        by.setdefault(r[4], set()).add(r[0])
+    assert set(range(8)) in by.values()
+    monkeypatch.setattr(passages, "bitmap", lambda names, count: np.full(1 << 10, 2**64 - 1, np.uint64))
+    assert sorted(map(tuple, passages.repeated_units(df).collect())) == want
+    assert sorted(map(tuple, passages.repeated_units(df, most_wrong=0).collect())) == want
+
+
 def brute_repeats(texts, length=200):
     seen = Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
     out = []
