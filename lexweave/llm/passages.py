@@ -1,17 +1,19 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-Units are compared. One kind is a paragraph (a line) of at least `MIN_WORDS`
-words. The other is a passage inside a paragraph: paragraphs are cut where a hash of the
+Units are compared. One kind is a paragraph (a line) of at least one shingle. The
+other is a passage inside a paragraph: paragraphs are cut where a hash of the
 words is smallest among its neighbours, so the same words are cut alike wherever
 they stand. A run of pieces each of which occurs again beside the same neighbour
 is a unit if it has `MIN_WORDS` words; a piece that is repeated by itself, beside
-other words, does not lengthen the run. Which pairs of pieces occur
+other words, does not lengthen the run. Runs that stand at most `GAP_WORDS` apart,
+as an edit leaves them, are also a unit together. Which pairs of pieces occur
 again is decided exactly: a bitmap is asked first, and those that pass it but
 occur once are named to the texts, all of them up to `MOST_WRONG`, beyond that to
 each text its own by a join.
 
 Equal units are one. Every distinct unit gets MinHash bands; rows and bands are
 chosen so that units of the threshold's similarity collide with `RECALL` or more.
+Units so short that only equal shingles reach the threshold need one band.
 In every bucket each unit is paired with the smallest one, pairs are verified by
 the exact Jaccard similarity of their five-word shingles, and verified pairs are
 joined into components. A bucket that still holds several components is settled
@@ -41,6 +43,8 @@ RECALL = 0.999
 BAND_ROWS = 4
 #: A word begins a piece if its hash is smallest among so many on either side.
 REACH = 4
+#: Words between runs of repeated pieces that are also taken together: a changed word and the pieces cut anew around it.
+GAP_WORDS = 24
 #: Pairs wrongly held for repeated that are broadcast, 32 MB of names.
 MOST_WRONG = 1 << 22
 #: Units of a bucket that meet in one task.
@@ -104,9 +108,14 @@ class Words:
         order = np.argsort(begin[again], kind="stable")
         begin, end = begin[again][order], np.maximum.accumulate(end[again][order])
         begin, end = _runs(begin, end, begin[1:] >= end[:-1])
+        line = np.searchsorted(lines, begin, "right")
+        first, last = _runs(begin, end, (line[1:] != line[:-1]) | (begin[1:] - end[:-1] > GAP_WORDS))
+        several = last > end[np.searchsorted(begin, first)]
+        begin, end = np.r_[begin, first[several]], np.r_[end, last[several]]
         inner = ~(np.isin(begin, lines) & np.isin(end, line_ends))
+        least = np.repeat([SHINGLE_WORDS, min_words], [len(lines), inner.sum()])
         begin, end = np.r_[lines, begin[inner]], np.r_[line_ends, end[inner]]
-        long = end - begin >= min_words
+        long = end - begin >= least
         return begin[long], end[long]
 
 
@@ -186,7 +195,8 @@ def _bands(w: Words, begin: np.ndarray, end: np.ndarray, names: np.ndarray, band
     for r in range(rows):
         keys = tx.mix(keys + least[:, :, r])
     keys = tx.mix(keys + np.arange(bands, dtype=np.uint64))
-    many = np.full(len(first), bands)
+    # One shingle more or less is already too far.
+    many = np.where(counts / (counts + 1) < threshold - 1e-9, 1, bands)
     size = np.zeros(len(names), np.int64)
     size[first] = many
     keys = keys[np.arange(bands) < many[:, None]]
@@ -348,7 +358,7 @@ def repeated_units(
 
     `id_col`, `begin`, `end` (bytes in the text), `n_words`, `component` (name of its smallest unit), `members`,
     `kept_id` and `removed`: whether the unit is not its component's first by id, place and name. Null ids come last.
-    Null and empty texts have no units; repeated rows have units each.
+    Null and empty texts have no units; repeated rows have units each. Passages inside paragraphs have `min_words`.
     """
     if min_words < max(SHINGLE_WORDS, 1):
         raise ValueError(f"a unit has {SHINGLE_WORDS} words at least")

@@ -384,6 +384,27 @@ def test_passages_exact(spark, monkeypatch):
     assert sorted(map(tuple, passages.repeated_units(df, most_wrong=0).collect())) == want
 
 
+def test_passages_short_and_edited(spark):
+    """Paragraphs from five words on, and a passage with an edit in its middle."""
+    rng = np.random.default_rng(19)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)]
+    lines = {n: fresh(n) for n in (4, 5, 7, 8, 19)}
+    rows = [(10 * n + i, " ".join(fresh(30)) + "\n" + " ".join(w)) for n, w in lines.items() for i in range(2)]
+    rows += [(198, " ".join(lines[19] + fresh(1)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    by = {}
+    for r in passages.repeated_units(df).collect():
+        by.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(map(sorted, by.values())) == [[50, 51], [70, 71], [80, 81], [190, 191, 198]]
+    rows = []
+    for k in range(10):
+        passage = fresh(80)
+        edited = passage[:40] + fresh(1) + passage[41:]
+        rows += [(2 * k + i, " ".join(fresh(50) + p + fresh(50))) for i, p in enumerate((passage, edited))]
+    got = passages.repeated_units(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len({r.doc_id // 2 for r in got if r.n_words > 50}) >= 8
+
+
 def brute_repeats(texts, length=200):
     seen = Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
     out = []
