@@ -59,9 +59,9 @@ def tuned_bands(threshold: float = THRESHOLD, rows: int = BAND_ROWS, recall: flo
 class Words:
     """Words of a run of texts with their line, names and pieces."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = tx.ALPHANUMERIC):
         data = tx.LOWER[data]
-        self.starts, self.ends, self.counts = tx.words(data, offsets, tx.ALPHANUMERIC)
+        self.starts, self.ends, self.counts = tx.words(data, offsets, kind)
         n = len(self.starts)
         self.names = tx.Names(data).of(self.starts, self.ends) if n else np.empty(0, np.uint64)
         breaks = np.union1d(np.flatnonzero(data == 10), offsets[1:-1])
@@ -177,7 +177,7 @@ def _min_hashes(shingles: np.ndarray, counts: np.ndarray, many: int) -> np.ndarr
     return out
 
 
-def _unit_shingles(w: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_shingles(w: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All shingles of the units one behind another, and how many each has."""
     every, _ = tx.shingles(w.names, np.array([len(w.names)]), SHINGLE_WORDS)
     counts = end - begin - SHINGLE_WORDS + 1
@@ -185,11 +185,11 @@ def _unit_shingles(w: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return every[at], counts
 
 
-def _bands(w: Words, begin: np.ndarray, end: np.ndarray, names: np.ndarray, bands: int, rows: int, threshold: float) -> pa.ListArray:
+def unit_bands(w: Words, begin: np.ndarray, end: np.ndarray, names: np.ndarray, bands: int, rows: int, threshold: float) -> pa.ListArray:
     """The bands of each unit at its first place among these, no bands at others."""
     _, first = np.unique(names, return_index=True)
     first.sort()
-    shingles, counts = _unit_shingles(w, begin[first], end[first])
+    shingles, counts = unit_shingles(w, begin[first], end[first])
     least = _min_hashes(shingles, counts, bands * rows).reshape(len(first), bands, rows)
     keys = np.zeros((len(first), bands), np.uint64)
     for r in range(rows):
@@ -217,7 +217,7 @@ def _units(batches: Iterator[pa.RecordBatch], shared, min_words: int, bands: int
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(i + row)), pa.array(tx.signed(names)), pa.array(w.starts[begin] - offsets[row]),
-                    pa.array(w.ends[end - 1] - offsets[row]), pa.array(end - begin), _bands(w, begin, end, names, bands, rows, threshold),
+                    pa.array(w.ends[end - 1] - offsets[row]), pa.array(end - begin), unit_bands(w, begin, end, names, bands, rows, threshold),
                 ], ["id", "unit", "begin", "end", "n_words", "bands"],
             )
 
@@ -236,7 +236,7 @@ def _shingles(batches: Iterator[pa.RecordBatch], shared, min_words: int) -> Iter
             names, begin, end = names[mine], begin[first[mine]], end[first[mine]]
             if not len(names):
                 continue
-            every, counts = _unit_shingles(w, begin, end)
+            every, counts = unit_shingles(w, begin, end)
             sets = [tx.signed(np.unique(x)) for x in np.split(every, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(names)), pa.array(sets, pa.list_(pa.int64()))], ["unit", "shingles"])
 

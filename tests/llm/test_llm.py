@@ -465,3 +465,25 @@ def test_pipeline_awkward(spark, awkward, nothing, tmp_path):
             assert n <= rows.count() * 4
             if name != "sharding":
                 assert out.columns == rows.columns, name
+
+
+def test_pipeline_near_duplicates(spark):
+    """Planted copies of similarity 0.8 to 0.95 go, texts below 0.8 stay, and one document of a group stays."""
+    rng = np.random.default_rng(21)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)]
+    shingled = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near = [], {}
+    for k in range(150):
+        words = fresh(int(rng.integers(100, 600)))
+        share = rng.uniform(0.7, 0.97)
+        copy = words[: int(len(words) * share)] + (fresh(3) if k % 2 else [])
+        a, b = shingled(words), shingled(copy)
+        near[2 * k + 1] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, "  ".join(copy))]
+    rows += [(1000, None), (1001, " \n"), (1002, "one two"), (1003, "One  two"), (1004, "!!! ?"), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()}
+    assert {2 * k for k in range(150)} | {1000, 1002, 1004} <= kept and not kept & {1001, 1003, None}
+    assert all(d in kept for d, j in near.items() if j < 0.8)
+    close = [d for d, j in near.items() if 0.8 <= j <= 0.95]
+    assert len(close) > 50 and sum(d in kept for d in close) <= 1
