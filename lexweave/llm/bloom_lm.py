@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import fresh_folder
 from . import text as tx
 
-BASE = 1.5
-BITS_PER_ITEM, PROBES = 6, 4
+BASE = 1.3
+BITS_PER_ITEM, PROBES = 8, 5
 #: Names a segment holds, about.
 SEGMENT_NAMES = 250_000
 #: Filter bytes broadcast at a time.

@@ -206,6 +206,19 @@ def test_bloom_lm(docs, texts):
     assert sum(r.score for r in held_rows) >= 1.02 * sum(r.base_score for r in held_rows)
 
 
+def test_bloom_lm_filter():
+    """One absent name in 40 or fewer passes a level, and a level spans a factor of 1.3."""
+    rng = np.random.default_rng(22)
+    names, absent = rng.integers(0, 2**64, (2, 100_000), dtype=np.uint64)
+    counts = rng.integers(1, 50, len(names))
+    raw = bloom_lm.segment(names, counts).tobytes()
+    held = bloom_lm.Filter(np.zeros(1, np.int64), np.array([len(raw) * 8], np.uint64), raw)
+    assert (held.levels(absent) > 0).mean() < 1 / 40
+    level = held.levels(names)
+    assert (level >= bloom_lm.levels_of(counts)).all() and (level == bloom_lm.levels_of(counts)).mean() > 0.97
+    assert (bloom_lm.most(level) <= 1.3001 * bloom_lm.least(level)).all()
+
+
 def test_bloom_lm_awkward(awkward, nothing):
     model = bloom_lm.train(awkward)
     got = bloom_lm.score(awkward, model).collect()
