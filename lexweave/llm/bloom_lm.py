@@ -13,8 +13,9 @@ A word's probability after another is smoothed towards its own,
     p(w | v) = (c(v w) + k p(w)) / (c(v) + k),    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 
 with all counts read from the filter, the upper one rounded down and the lower
-one up, and k chosen on a small sample of training texts with their own
-occurrences taken off. Texts begin after a word of their own and end with `END`.
+one up, and k the strength under which all training texts are likeliest, each
+token with one occurrence taken off for its text and for each exact copy of it.
+Tokens of equal levels are counted together, so every strength is tried at once. Texts begin after a word of their own and end with `END`.
 
 The base score uses exact counts. Words of at least N / `FREQUENT` occurrences,
 of which there are at most `FREQUENT`, are broadcast; the others are joined.
@@ -40,7 +41,6 @@ SEGMENT_NAMES = 250_000
 #: Filter bytes broadcast at a time.
 ROUND_BYTES = 128 << 20
 FREQUENT = 1 << 21
-SAMPLE_DOCS = 200
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 1e6)
 _BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -285,7 +285,7 @@ def _round(sent):
     return run
 
 
-def log_probabilities(level: np.ndarray, begins: np.ndarray, model: Model, strength: float, own: int = 0) -> np.ndarray:
+def log_probabilities(level: np.ndarray, begins: np.ndarray, model: Model, strength: float, own: int | np.ndarray = 0) -> np.ndarray:
     """log10 p of every token from the levels of itself, what it follows and both; `own` occurrences are taken off."""
     word, before, pair = level.reshape(3, -1)
     alone = (np.maximum(least(word) - own, 0) + 0.1) / (model.n + 0.1 * (model.v + 1))
@@ -294,24 +294,21 @@ def log_probabilities(level: np.ndarray, begins: np.ndarray, model: Model, stren
     return np.log10((above + strength * alone) / (np.maximum(below - own, above) + strength))
 
 
-def _scorer(sent, model: Model, strengths: tuple[float, ...], own: int, frequent=None):
-    """Sums of log probabilities, and with `frequent` also the base score of frequent words and the other words."""
+def _scorer(sent, model: Model, frequent):
+    """Sums of log probabilities, the base score of frequent words and the other words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Filter(*sent.value)
-        common, occurs = frequent.value if frequent is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        common, occurs = frequent.value
         whole = model.n + 0.1 * (model.v + 1)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(len(strengths) + 5)]
+            cols: list[list] = [[] for _ in range(6)]
             for i, _, data, offsets in tx.texts(batch, "t"):
                 names, counts = tokens(data, offsets)
                 begin = np.cumsum(counts) - counts
                 level = np.maximum(held.asked(names, counts), _known_levels(batch, i, counts))
                 first = np.zeros(len(names), bool)
                 first[begin] = True
-                for k, s in enumerate(strengths):
-                    cols[k].append(np.add.reduceat(log_probabilities(level, first, model, s, own), begin))
-                if frequent is None:
-                    continue
+                cols[0].append(np.add.reduceat(log_probabilities(level, first, model, model.strength), begin))
                 distinct, back = np.unique(names, return_inverse=True)
                 at = np.minimum(np.searchsorted(common, distinct), max(0, len(common) - 1))
                 held_here = common[at] == distinct if len(common) else np.zeros(len(distinct), bool)
@@ -331,14 +328,10 @@ def _scorer(sent, model: Model, strengths: tuple[float, ...], own: int, frequent
                 cut = np.cumsum(np.bincount(row[start], minlength=len(counts)))[:-1]
                 cols[-2] += np.split(tx.signed(rare[start]), cut)
                 cols[-1] += np.split(times, cut)
-            sums = [np.concatenate(c) if c else np.empty(0) for c in cols[: len(strengths)]]
-            if frequent is None:
-                yield pa.RecordBatch.from_arrays([pa.array(s) for s in sums], [f"s{k}" for k in range(len(strengths))])
-                continue
-            counts, base, known = (np.concatenate(c) if c else np.empty(0) for c in cols[-5:-2])
+            sums, counts, base, known = (np.concatenate(c) if c else np.empty(0) for c in cols[:4])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(sums[0]), pa.array(counts.astype(np.int64)), pa.array(base),
+                    batch.column(0), batch.column(1), pa.array(sums), pa.array(counts.astype(np.int64)), pa.array(base),
                     pa.array(known.astype(np.int64)), pa.array(cols[-2], pa.list_(pa.int64())), pa.array(cols[-1], pa.list_(pa.int32())),
                 ], ["id", "key", "score", "n_tokens", "base", "known", "rare", "times"],
             )
@@ -346,13 +339,55 @@ def _scorer(sent, model: Model, strengths: tuple[float, ...], own: int, frequent
     return run
 
 
+def _tally(sent):
+    """How many tokens have the same levels, place at a text's begin and copies of their text, all in one number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Filter(*sent.value)
+        for batch in batches:
+            copies = batch.column(batch.schema.get_field_index("copies")).to_numpy(zero_copy_only=False)
+            found = []
+            for i, j, data, offsets in tx.texts(batch, "t"):
+                names, counts = tokens(data, offsets)
+                level = np.maximum(held.asked(names, counts), _known_levels(batch, i, counts)).reshape(3, -1).astype(np.int64)
+                code = level[0] | level[1] << 8 | level[2] << 16 | np.repeat(copies[i:j].astype(np.int64), counts) << 25
+                code[np.cumsum(counts) - counts] |= 1 << 24
+                found.append(np.unique(code, return_counts=True))
+            if found:
+                codes, which = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                n = np.bincount(which, weights=np.concatenate([f[1] for f in found])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+
+    return run
+
+
+def _likelihoods(model: Model):
+    """For tallied tokens the sum of their log probabilities under each strength."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            level = np.concatenate([code >> shift & 255 for shift in (0, 8, 16)])
+            begins, own = (code >> 24 & 1).astype(bool), code >> 25
+            sums = [(n * log_probabilities(level, begins, model, s, own)).sum() for s in STRENGTHS]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{k}" for k in range(len(STRENGTHS))])
+
+    return run
+
+
 def _best_strength(rows: DataFrame, model: Model) -> float:
-    """The strength under which a sample of training texts, bounded in number, is likeliest without its own occurrences."""
-    sample = rows.orderBy(F.xxhash64("t")).limit(SAMPLE_DOCS)
-    *_, (last, sent) = _levels(sample, model)
+    """The strength under which all training texts are likeliest without the occurrences of a token in its text and its copies."""
+    spark = rows.sparkSession
+    keyed = rows.withColumn("key", F.xxhash64(F.coalesce("t", F.lit(""))))
+    folder = fresh_folder(spark, "lm-copies")
+    keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").write.parquet(folder)
+    # Read from files, so Spark knows their size when it picks the join.
+    copied = spark.read.schema("key bigint, copies bigint").parquet(folder)
+    keyed = keyed.join(copied, "key", "left").select("t", F.coalesce("copies", F.lit(1)).alias("copies"))
+    *_, (last, sent) = _levels(keyed, model)
+    tallied = last.mapInArrow(_tally(sent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     kind = ", ".join(f"s{k} double" for k in range(len(STRENGTHS)))
-    scored = last.mapInArrow(_scorer(sent, model, STRENGTHS, 1), kind)
-    totals = scored.agg(*[F.sum(f"s{k}") for k in range(len(STRENGTHS))]).first()
+    totals = tallied.mapInArrow(_likelihoods(model), kind).agg(*[F.sum(f"s{k}") for k in range(len(STRENGTHS))]).first()
     sent.unpersist()
     return max(zip(totals, STRENGTHS, strict=True), key=lambda x: x[0])[1] if totals[0] is not None else STRENGTHS[3]
 
@@ -374,7 +409,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     *_, (last, sent) = _levels(rows, model)
     kind = docs.schema[id_col].dataType.simpleString()
     scored = last.select("id", "key", "t", *(["lv"] if "lv" in last.columns else [])).mapInArrow(
-        _scorer(sent, model, (model.strength,), 0, frequent),
+        _scorer(sent, model, frequent),
         f"id {kind}, key bigint, score double, n_tokens bigint, base double, known bigint, rare array<bigint>, times array<int>",
     )
     folder = fresh_folder(spark, "lm-scored")

@@ -219,6 +219,36 @@ def test_bloom_lm_filter():
     assert (bloom_lm.most(level) <= 1.3001 * bloom_lm.least(level)).all()
 
 
+def test_bloom_lm_strength(spark):
+    """All texts choose the strength, with the copies of a text taken off; copies do not look well predicted."""
+    rng = np.random.default_rng(23)
+
+    def draw(n):
+        words = [0]
+        for jump, to in zip(rng.random(n), rng.integers(0, 300, n), strict=True):
+            words.append(int(to) if jump < 0.5 else (7 * words[-1] + 1) % 300)
+        return " ".join(f"w{i}" for i in words)
+
+    texts = [draw(80) for _ in range(250)]
+    # The text of the smallest hash, which a sample by hash would take with all its copies.
+    copied = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text")).first().text
+    texts = [t for t in texts if t != copied] + [copied] * 600
+    model = bloom_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    split = [["<", *t.split(), None] for t in texts]
+    words, pairs = Counter(w for t in split for w in t[1:]), Counter(p for t in split for p in zip(t, t[1:], strict=False))
+    level = lambda c: 0 if c <= 0 else int(1 + np.floor(np.log(c) / np.log(bloom_lm.BASE) + 1e-9))
+    total = dict.fromkeys(bloom_lm.STRENGTHS, 0.0)
+    for t, own in [*((t, 1) for t in split[:249]), *((t, 600) for t in split[249:])]:
+        for v, w in zip(t, t[1:], strict=False):
+            lv = np.array([level(words[w]), 0 if v == "<" else level(words[v]), level(pairs[v, w])])
+            for k in total:
+                total[k] += bloom_lm.log_probabilities(lv, np.array([v == "<"]), model, k, own)[0]
+    # The filter's few wrong answers may move the choice to a neighbour.
+    ks = list(bloom_lm.STRENGTHS)
+    want = ks.index(max(total, key=total.get))
+    assert want > 1 and abs(ks.index(model.strength) - want) <= 1
+
+
 def test_bloom_lm_awkward(awkward, nothing):
     model = bloom_lm.train(awkward)
     got = bloom_lm.score(awkward, model).collect()
