@@ -1,7 +1,8 @@
 """Benchmark items inside documents by size-partitioned MinHash containment.
 
 An item is contained in a document that holds at least `threshold` of its
-distinct five-word shingles, wherever they stand. Items are partitioned by size;
+distinct five-word shingles, wherever they stand; an item of fewer words is one
+shingle of all its words. Items are partitioned by size;
 in a partition of items of up to `u` shingles every item is sketched by its
 `floor((1 - threshold) * u) + 1` smallest shingle hashes. A document that
 contains the item misses fewer shingles than that, so it holds at least one of
@@ -42,10 +43,10 @@ def shingle_set(words: list[bytes], n: int = SHINGLE_WORDS) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = tx.LOWER[data]
     starts, ends, counts = tx.words(data, offsets, tx.ALPHANUMERIC)
-    return tx.shingles(tx.Names(data).of(starts, ends), counts, SHINGLE_WORDS)
+    return tx.Names(data).of(starts, ends), counts
 
 
 def sketch_size(shingles: int, threshold: float) -> int:
@@ -55,31 +56,38 @@ def sketch_size(shingles: int, threshold: float) -> int:
 
 
 class _Items:
-    """A block of items: sorted sketch hashes with their items, sizes, and the items' shingles."""
+    """A block of items: by shingle width sorted sketch hashes with their items; sizes, and the items' shingles."""
 
     def __init__(self, raw: list[bytes], threshold: float):
-        self.sets = [shingle_set(plain_words(r)) for r in raw]
-        hashes, owner = [], []
-        for k, r in enumerate(raw):
-            found = np.unique(_hashes(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0])
-            part = found[: sketch_size(len(self.sets[k]), threshold)] if self.sets[k] else found[:0]
-            hashes.append(part)
-            owner.append(np.full(len(part), k))
-        hashes, owner = np.concatenate(hashes), np.concatenate(owner)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], owner[order]
+        words = [plain_words(r) for r in raw]
+        widths = [min(len(w), SHINGLE_WORDS) for w in words]
+        self.sets = [shingle_set(w, n) if n else set() for w, n in zip(words, widths, strict=True)]
         self.need = np.array([math.ceil(threshold * len(s) - 1e-9) for s in self.sets])
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.hashes & np.uint64((1 << _FILTER_BITS) - 1)] = True
-
-    def candidates(self, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Distinct (row, item) whose row has a sketch hash of the item and as many shingles as it needs."""
-        maybe = np.flatnonzero(self.filter[names & np.uint64((1 << _FILTER_BITS) - 1)])
-        low = np.searchsorted(self.hashes, names[maybe], "left")
-        many = np.searchsorted(self.hashes, names[maybe], "right") - low
+        self.tables = {}
+        for n in sorted(set(widths) - {0}, reverse=True):
+            hashes, owner = [], []
+            for k, r in enumerate(raw):
+                if widths[k] != n:
+                    continue
+                found = np.unique(tx.shingles(*_words(np.frombuffer(r, np.uint8), np.array([0, len(r)])), n)[0])
+                part = found[: sketch_size(len(self.sets[k]), threshold)]
+                hashes.append(part)
+                owner.append(np.full(len(part), k))
+            hashes, owner = np.concatenate(hashes), np.concatenate(owner)
+            order = np.argsort(hashes, kind="stable")
+            maybe = np.zeros(1 << _FILTER_BITS, bool)
+            maybe[hashes & np.uint64((1 << _FILTER_BITS) - 1)] = True
+            self.tables[n] = hashes[order], owner[order], maybe
+
+    def candidates(self, n: int, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Distinct (row, item) whose row has a sketch hash of the item of width `n` and as many shingles as it needs."""
+        hashes, owner, held = self.tables[n]
+        maybe = np.flatnonzero(held[names & np.uint64((1 << _FILTER_BITS) - 1)])
+        low = np.searchsorted(hashes, names[maybe], "left")
+        many = np.searchsorted(hashes, names[maybe], "right") - low
         row = np.searchsorted(np.cumsum(counts), maybe, "right")
         at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        pairs = np.stack([np.repeat(row, many), self.owner[at]], 1)
+        pairs = np.stack([np.repeat(row, many), owner[at]], 1)
         pairs = pairs[counts[pairs[:, 0]] >= self.need[pairs[:, 1]]]
         return np.unique(pairs, axis=0)
 
@@ -95,8 +103,7 @@ def contained_items(
 ) -> DataFrame:
     """`doc_id`, `item_id`, `shared`, `item_shingles`, `containment` of every item a document contains.
 
-    Repeated items count once, repeated documents each. Null and empty texts, and items of fewer than five words,
-    take no part. A null id stays null. No items or no documents give no rows. Runs one count and one collect of the
+    Repeated items count once, repeated documents each. Texts without words take no part. A null id stays null. No items or no documents give no rows. Runs one count and one collect of the
     items while the plan is built.
     """
     spark = docs.sparkSession
@@ -136,14 +143,15 @@ def _searcher(shared, item_kind: T.DataType):
         for batch in batches:
             hits: list[tuple[int, int, int]] = []
             for i, _, data, offsets in tx.texts(batch, "t") if items is not None else ():
-                pairs = items.candidates(*_hashes(data, offsets))
-                at, have = -1, set()
-                for row, item in pairs:
-                    if row != at:
-                        at, have = row, shingle_set(plain_words(data[offsets[row] : offsets[row + 1]].tobytes()))
-                    n = len(items.sets[item] & have)
-                    if n >= items.need[item]:
-                        hits.append((i + row, item, n))
+                names, counts = _words(data, offsets)
+                for width in items.tables:
+                    at, have = -1, set()
+                    for row, item in items.candidates(width, *tx.shingles(names, counts, width)):
+                        if row != at:
+                            at, have = row, shingle_set(plain_words(data[offsets[row] : offsets[row + 1]].tobytes()), width)
+                        n = len(items.sets[item] & have)
+                        if n >= items.need[item]:
+                            hits.append((i + row, item, n))
             rows, which, n = (np.array(x, np.int64) for x in zip(*hits, strict=True)) if hits else [np.empty(0, np.int64)] * 3
             sizes = np.array([len(items.sets[k]) for k in which], np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -99,6 +99,14 @@ def test_decontamination_awkward(spark, awkward, nothing):
     assert decontaminate.contained_items(awkward, items.limit(0)).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    """An item of fewer than five words is found where its words stand together."""
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "x Mary, Smith! y"), (3, "smith mary"), (4, "one"), (5, None)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "mary smith"), (2, "ONE?"), (3, "b c d e"), (4, ""), (5, "a b c d e")], "item_id int, text string")
+    got = decontaminate.contained_items(df, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 3), (1, 5), (2, 1), (4, 2)]
+
+
 def test_simhash(docs, texts):
     def fingerprint(text):
         words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
