@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import balltree, bloom_lm, decontaminate, line_crf, mixing, passages, prefix_doubling, reshard, simhash, url_rules
+from . import (
+    balltree, bloom_lm, decontaminate, line_crf, mixing, passages, prefix_doubling, prefix_trie, repair, reshard, secrets, simhash, url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +138,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_passages")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_units(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_secrets")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda p: p["certain"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda p: p["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"),
+    )
+
+
+@_query("op12_prefix_trie")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), grafted=True)
+
+
+@_query("op13_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = repair.repair(repair.damage(conversations))
+    every = conversations.select("conv_id").distinct().withColumn("key", repair.keyed(F.col("conv_id")))
+    both = every.join(repaired.figures, "key", "left").join(repaired.digests(), "key", "left")
+    figures = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return both.select(
+        "conv_id", *figures, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
