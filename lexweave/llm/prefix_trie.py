@@ -33,7 +33,7 @@ from . import ordered
 from .ordered import longs
 
 #: A subtree with more than the SHARDS-th part of all turns, and than LEAST of them, is divided.
-SHARDS, LEAST = 4096, 1 << 16
+SHARDS, LEAST = 4096, 1 << 10
 #: Messages that a queue holds in memory, and messages read at a time from a written run.
 MOST_HELD, READ = 1 << 20, 1 << 14
 #: Turns of a conversation that one task joins to what is known of the conversation.
