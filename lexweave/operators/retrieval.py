@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions import dates as D, fixed, text as T, vectors as VF
 from ..scale import first_per_key, query_batches, sequence_in_blocks, top_per_key
-from ..session import durable
+from ..session import durable, fresh_folder
 from .graph import entry_keys, with_citation
+from .index import indexed_scores, write_index
 from .temporal import annotate_temporal
 
 ENTRY_COLUMNS = [
@@ -48,111 +49,25 @@ def postings(entries: DataFrame, text: str = "body") -> DataFrame:
     return words.filter("term IS NOT NULL").groupBy("term", "canonical_ref").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_postings(postings_df: DataFrame, table: str, buckets: int) -> None:
-    """Store postings bucketed by term, so term joins need no shuffle of the index."""
-    postings_df.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(table)
-
-
-def _query_features(queries: DataFrame) -> DataFrame:
-    """(query_id, feature, term, weight): words as typed with repeats, folded words once, and the query itself."""
-    words = queries.select("query_id", F.explode("tokens").alias("term"))
-    typed = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    folded = words.select("query_id", F.explode(T.folded_tokens("term")).alias("term")).distinct()
-    own = queries.select("query_id", F.col("query_id").cast("string").alias("term"))
-    return (
-        typed.select("query_id", F.lit("part").alias("feature"), "term", "weight")
-        .unionByName(folded.select("query_id", F.lit("hit").alias("feature"), "term", F.lit(1).cast("bigint").alias("weight")))
-        .unionByName(own.select("query_id", F.lit("bonus").alias("feature"), "term", F.lit(1).cast("bigint").alias("weight")))
-    )
-
-
-def lexical_scores(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, kind, canonical_ref, score, phrase) of every matching entry.
+def lexical_scores(queries: DataFrame, entries: DataFrame, index: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, kind, canonical_ref, score, phrase) of every matching entry, or of those that may be among the best `k`.
 
     An entry matches when one folded query word is one of its folded words. With two or more query
     words at least two must occur in the lower-case body as substrings. score = occurring words
     + 0.1 per matching position + 3 if the body holds the whole query + 2 if the title does
     + 4 per identifier holding it.
 
-    Each entry is reduced to its features inside its row, before anything is shuffled: a query
-    word lies in the body exactly if it equals a piece of a body word. Only the features
-    are partitioned by entry; joining them with the query words and summing needs no second shuffle.
+    `index` is a stored index of `entries` (see `index.write_index`); without it one is made for this call.
     """
-    asked = queries.select("query_id", T.strip(F.lower("query")).alias("q")).withColumn("tokens", T.tokens("q"))
-    asked = asked.filter(F.size("tokens") > 0)
-    scored = [_batch_scores(b, entries) for b in query_batches(asked, "query_id")]
-    return reduce(DataFrame.unionByName, scored)
-
-
-def _batch_scores(asked: DataFrame, entries: DataFrame) -> DataFrame:
-    words = asked.select(F.explode("tokens").alias("t"))
-    typed = words.agg(F.collect_set("t")).scalar()
-    folded = words.select(F.explode(T.folded_tokens("t")).alias("t")).agg(F.collect_set("t")).scalar()
-    lengths = words.agg(F.collect_set(F.length("t"))).scalar()
-    longest = F.array_max(F.transform("tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    whole = asked.select(F.struct("query_id", "q", longest.alias("anchor")).alias("s")).agg(F.collect_list("s")).scalar()
-
-    rows = entries.select("kind", "canonical_ref", "title", "body", "ref_article", "ref_law", "ecli", "case_number")
-    rows = rows.withColumn("_lower", F.lower(F.coalesce("body", F.lit("")))).select(
-        "kind", "canonical_ref", "_lower",
-        F.lower(F.coalesce("title", F.lit(""))).alias("_title"),
-        F.array_compact(F.transform(F.array("ref_article", "ref_law", "ecli", "case_number"), lambda c: F.lower(c))).alias("_ids"),
-        F.array_distinct(T.tokens("_lower")).alias("_words"),
-        T.folded_tokens("body").alias("_folded"),
-        typed.alias("_typed"), folded.alias("_fold"), lengths.alias("_lengths"), whole.alias("_whole"),
-    )
-
-    def pieces(word: Column) -> Column:
-        sizes = F.filter("_lengths", lambda n: n <= F.length(word))
-        return F.flatten(F.transform(
-            sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda at: F.substr(word, at, n))
-        ))
-
-    rows = rows.withColumn(
-        "_parts", F.array_intersect(F.array_distinct(F.flatten(F.transform("_words", pieces))), F.col("_typed"))
-    ).withColumn("_hits", F.array_intersect("_folded", "_fold"))
-
-    def feature(name: str, term: Column, n: Column) -> Column:
-        return F.struct(F.lit(name).alias("feature"), term.alias("term"), n.cast("double").alias("n"))
-
-    def bonus(q: Column) -> Column:
-        in_body = F.array_contains(F.col("_parts"), q["anchor"]) & F.contains(F.col("_lower"), q["q"])
-        in_ids = F.size(F.filter("_ids", lambda c: F.contains(c, q["q"])))
-        return F.when(in_body, 3.0).otherwise(0.0) + F.when(F.contains(F.col("_title"), q["q"]), 2.0).otherwise(0.0) + 4.0 * in_ids
-
-    def count_of(term: Column) -> Column:
-        return F.size("_folded") - F.size(F.array_remove(F.col("_folded"), term))
-
-    features = F.concat(
-        F.transform("_parts", lambda t: feature("part", t, F.lit(1))),
-        F.transform("_hits", lambda t: feature("hit", t, count_of(t))),
-        F.filter(
-            F.transform("_whole", lambda q: feature("bonus", q["query_id"].cast("string"), bonus(q))),
-            lambda f: f["n"] > 0,
-        ),
-    )
-    per_entry = rows.select("kind", "canonical_ref", features.alias("_features"))
-    placed = per_entry.repartition("canonical_ref").select("kind", "canonical_ref", F.inline_outer("_features"))
-    met = placed.join(_query_features(asked), ["feature", "term"])
-
-    def total(name: str) -> Column:
-        return F.sum(F.when(F.col("feature") == name, F.col("n") * F.col("weight")).otherwise(0.0))
-
-    sums = met.groupBy("canonical_ref", "kind", "query_id").agg(
-        total("part").alias("overlap"), total("hit").alias("hits"), total("bonus").alias("bonus")
-    )
-    sizes = asked.select("query_id", F.size("tokens").alias("n_tokens"))
-    kept = sums.filter("hits > 0").join(sizes, "query_id").filter("n_tokens < 2 OR overlap >= 2")
-    return kept.select(
-        "query_id", "kind", "canonical_ref",
-        F.round(F.col("overlap") + F.col("hits") * 0.1 + F.col("bonus"), 6).alias("score"),
-        (F.col("bonus") % 2 == 1).alias("phrase"),
-    )
+    if index is None:
+        index = write_index(entries, fresh_folder(entries.sparkSession, "index"))
+    return indexed_scores(queries, entries, index, k)
 
 
-def lexical_search(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+def lexical_search(queries: DataFrame, entries: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
     """The best `k` entries per query by score, then reference."""
-    return top_per_key(lexical_scores(queries, entries), ["query_id"], [F.desc("score"), "canonical_ref", "kind"], k)
+    scores = lexical_scores(queries, entries, index, k)
+    return top_per_key(scores, ["query_id"], [F.desc("score"), "canonical_ref", "kind"], k)
 
 
 def exact_lookup(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -187,8 +102,8 @@ def exact_lookup(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("canonical_ref")))
 
 
-def search(queries: DataFrame, entries: DataFrame, k: int, mode: str = "hybrid") -> DataFrame:
-    """Exact references at 100, then lexical hits without repeats, best `k` with a reason."""
+def search(queries: DataFrame, entries: DataFrame, k: int, mode: str = "hybrid", index: DataFrame | None = None) -> DataFrame:
+    """Exact references at 100, then lexical hits without repeats, best `k` with a reason; `index` as in `lexical_scores`."""
     parsed = with_citation(queries, "query").withColumn("_key", T.reference_key(F.col("_c")))
     named = parsed.filter(F.col("_c.kind").isin("legislation_article", "judgment")).select(
         "query_id", "_key",
@@ -201,7 +116,7 @@ def search(queries: DataFrame, entries: DataFrame, k: int, mode: str = "hybrid")
         .select("query_id", "kind", "canonical_ref", F.lit(fixed.EXACT_SCORE).alias("score"), "reason")
     )
     asked = parsed if mode in ("lexical", "hybrid", "semantic") else parsed.filter("_c.kind = 'unknown'")
-    lexical = lexical_search(asked.select(*queries.columns), entries, k).select(
+    lexical = lexical_search(asked.select(*queries.columns), entries, k, index).select(
         "query_id", "kind", "canonical_ref", "score",
         F.when(F.col("phrase"), "Exact phrase match in text").otherwise("Lexical match (tf/word overlap)").alias("reason"),
     )
@@ -409,9 +324,9 @@ def hybrid_search(
     queries: DataFrame, entries: DataFrame, versions: DataFrame, k: int, *, mode: str = "hybrid",
     query_vectors: DataFrame | None = None, chunks: DataFrame | None = None, aliases: DataFrame | None = None,
     citations: DataFrame | None = None, links: DataFrame | None = None, scores: DataFrame | None = None,
-    disjoint: bool = False,
+    disjoint: bool = False, index: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused, dated, reranked and explained results of every query in one plan.
+    """Fused, dated, reranked and explained results of every query.
 
     Lists: exact references, lexical (3k), dense (2k, modes hybrid and semantic), the law tree of those, the
     citation graph. Queries hold query_id, query and optionally as_of, which overrides the date found in
@@ -421,7 +336,7 @@ def hybrid_search(
     dated = queries.withColumn("query_date", F.coalesce(given, D.detect_query_date("query")))
     # Candidate lists hold a few k rows per query and are read several times: each is computed once.
     exact = durable(exact_lookup(queries, entries))
-    lists = [durable(lexical_search(queries, entries, 3 * k).select("query_id", "canonical_ref", "rank"))]
+    lists = [durable(lexical_search(queries, entries, 3 * k, index).select("query_id", "canonical_ref", "rank"))]
     if chunks is not None and query_vectors is not None and mode in ("hybrid", "semantic"):
         hits = dense_topk(query_vectors, chunks, 2 * k).join(chunks.drop("vector"), "chunk_id")
         refs = chunk_refs(hits)

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E, retrieval as R, similarity as M
-from ..scale import spread
 from ..session import durable
 from .base import INPUTS, ORACLE_PARTS, Source, query
 from .documents import paragraphs
+from .search import index_of
 
 # Gold: good documents belong to the query of their number; bad ones are its hard negatives.
 INPUTS["gold"] = """
@@ -34,7 +34,7 @@ FROM (SELECT a.query_id, coalesce(g.rel, 0) AS rel, h10, h50, first, dcg, n FROM
 
 
 def ranked(src: Source):
-    return R.lexical_search(src.search_queries, spread(src.doc_entries), 50).select("query_id", "canonical_ref", "rank")
+    return R.lexical_search(src.search_queries, src.doc_entries, 50, index_of(src, "doc_entries")).select("query_id", "canonical_ref", "rank")
 
 
 @query("ranking_metrics", "SELECT query_id, recall_10, recall_50, mrr, ndcg_10, precision_10 FROM {metrics}")

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text as T
 from ..operators import graph as G, retrieval as R
+from ..operators.index import read_index, write_index
 from ..scale import spread
-from ..session import durable
+from ..session import durable, fresh_folder
 from .base import INPUTS, ORACLE_PARTS, Source, query
 from .documents import chain, day
 
@@ -67,6 +68,20 @@ WHERE n < 2 OR overlap >= 2
 """
 
 
+#: Where the indexes of this session's inputs are stored, by application, directory and input.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def index_of(src: Source, name: str):
+    """The stored index of an input: written by the first query that needs it, read by the others."""
+    key = src.spark.sparkContext.applicationId, src.sf_dir, name
+    if key not in _INDEXES:
+        folder = fresh_folder(src.spark, f"index-{name}")
+        write_index(spread(getattr(src, name)), folder)
+        _INDEXES[key] = folder
+    return read_index(src.spark, _INDEXES[key])
+
+
 ORACLE_PARTS["doc_scores"] = lexical_sql("search_queries", "doc_entries")
 ORACLE_PARTS["question_scores"] = lexical_sql("questions", "entries")
 
@@ -83,7 +98,7 @@ def postings(src):
 SELECT query_id, kind, canonical_ref, score, phrase, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_ref) AS rank
 FROM {doc_scores} QUALIFY rank <= 10""")
 def lexical_search(src):
-    return R.lexical_search(src.search_queries, spread(src.doc_entries), 10)
+    return R.lexical_search(src.search_queries, src.doc_entries, 10, index_of(src, "doc_entries"))
 
 
 # Two batches of arriving entries: the provisions, then the judgments and changed provisions.
@@ -143,7 +158,7 @@ SELECT query_id, kind, canonical_ref, score, reason, row_number() OVER (PARTITIO
   FROM {question_lexical} WHERE rank <= 10 AND (query_id, canonical_ref) NOT IN (SELECT query_id, canonical_ref FROM {found}))
 QUALIFY rank <= 10""")
 def search(src):
-    return R.search(src.questions, src.entries, 10)
+    return R.search(src.questions, src.entries, 10, index=index_of(src, "entries"))
 
 
 INPUTS["dated_texts"] = """
@@ -370,7 +385,7 @@ def hybrid(src: Source):
     # The search projection and the version history are stored tables in use; here they are made once.
     return R.hybrid_search(
         src.questions, durable(src.entries), durable(chain(src).drop("raw_text")), 10, query_vectors=question_vectors(src), chunks=src.chunk_vectors,
-        aliases=aliases(src), citations=src.judgment_citations, links=src.judgment_links, disjoint=True,
+        aliases=aliases(src), citations=src.judgment_citations, links=src.judgment_links, disjoint=True, index=index_of(src, "entries"),
     )
 
 
