@@ -1,4 +1,4 @@
-"""Column functions over text: folding, tokens, pattern spans, references."""
+"""Column functions over text: folding, tokens, references."""
 
 from __future__ import annotations
 
@@ -61,96 +61,6 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-# Noncharacters set around matches; a text that holds one takes the slower way.
-OPEN, CLOSE = "\ufdd0", "\ufdd1"
-
-
-def pattern_spans(c: Column | str, pattern: str, groups: int = 0, flags: str = fixed.FLAGS) -> Column:
-    """All matches of `pattern` as array<struct<start, end, text, g1..gn>>, 0-based, end-exclusive.
-
-    One replacement marks every match, and the lengths of the pieces between the marks give the offsets, so
-    the text is searched once. Groups are read from the short matches; those that did not take part are null.
-    """
-    text, pat = _col(c), flags + pattern
-    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
-    found = F.when(marked, _spans_by_split(text, pat, pattern, flags)).otherwise(_spans_by_marks(text, pat))
-
-    def shape(m: Column) -> Column:
-        fields = [m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("text")]
-        fields += [blank_to_null(F.regexp_extract(m["text"], pat, g)).alias(f"g{g}") for g in range(1, groups + 1)]
-        return F.struct(*fields)
-
-    return F.transform(found, shape)
-
-
-SPANS = "array<struct<start:int,text:string>>"
-
-
-def _collect_spans(steps: Column, first: Column) -> Column:
-    """Spans from (text, gap after it) steps, the first one starting at `first`."""
-    state = F.struct(first.alias("at"), F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(
-        steps,
-        state,
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["text"]) + s["gap"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), s["text"].alias("text")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-
-
-def _spans_by_marks(text: Column, pat: str) -> Column:
-    pieces = F.split(F.regexp_replace(text, pat, f"{OPEN}$0{CLOSE}"), OPEN, -1)
-    steps = F.transform(
-        F.slice(pieces, F.lit(2), F.size(pieces) - 1),
-        lambda p: F.struct(
-            F.substring_index(p, CLOSE, 1).alias("text"), F.length(F.substring_index(p, CLOSE, -1)).alias("gap")
-        ),
-    )
-    return _collect_spans(steps, F.length(F.get(pieces, F.lit(0))))
-
-
-def _spans_by_split(text: Column, pat: str, pattern: str, flags: str) -> Column:
-    whole = F.regexp_extract_all(text, F.lit(pat if _has_group(pattern) else f"{flags}({pattern})"), F.lit(0))
-    gaps = F.transform(F.split(text, pat, -1), lambda p: F.length(p))
-    after = F.slice(gaps, F.lit(2), F.size(whole))
-    steps = F.zip_with(whole, after, lambda h, g: F.struct(h.alias("text"), g.alias("gap")))
-    return _collect_spans(steps, F.get(gaps, F.lit(0)))
-
-
-def _has_group(pattern: str) -> bool:
-    return "(" in pattern.replace("(?:", "").replace(r"\(", "")
-
-
-def keyword_spans(lowered: Column | str, words: list[str]) -> Column:
-    """Occurrences of each word in a lower-case text as array<struct<start, end, word>>.
-
-    Words are plain substrings searched one at a time: different words may overlap, repeats of one may not.
-    """
-
-    def found(word: str) -> Column:
-        gaps = F.transform(F.split(_col(lowered), _quote(word), -1), lambda p: F.length(p))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(
-            F.slice(gaps, F.lit(1), F.size(gaps) - 1),
-            start,
-            lambda acc, g: F.struct(
-                (acc["at"] + g + len(word)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + g)).alias("starts")
-            ),
-            lambda acc: acc["starts"],
-        )
-        return F.transform(
-            starts, lambda at: F.struct(at.alias("start"), (at + len(word)).alias("end"), F.lit(word).alias("word"))
-        )
-
-    return F.concat(*[found(w) for w in words])
-
-
-def _quote(word: str) -> str:
-    return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in word)
-
-
 def citation(c: Column | str) -> Column:
     """First reference in the text as struct<kind, article, law, year, case_number, ecli, confidence>.
 
@@ -195,40 +105,6 @@ def reference_key(cite: Column) -> Column:
     )
 
 
-def mentions(c: Column | str) -> Column:
-    """All references of five kinds as one array of structs with exact spans."""
-    none = F.lit(None).cast("string")
-
-    def shaped(spans, kind, **fields):
-        return F.transform(
-            spans,
-            lambda m: F.struct(
-                F.lit(kind).alias("kind"),
-                m["start"].alias("start"),
-                m["end"].alias("end"),
-                m["text"].alias("text"),
-                *[
-                    (fields[n](m) if n in fields else none).alias(n)
-                    for n in ("article", "sub", "para", "chapter", "law", "roman", "year", "ecli", "case_number")
-                ],
-            ),
-        )
-
-    def group(n):
-        return lambda m: m[f"g{n}"]
-
-    return F.concat(
-        shaped(pattern_spans(c, fixed.MENTION_ARTICLE, 3), "article", article=group(1), sub=group(2), para=group(3)),
-        shaped(pattern_spans(c, fixed.MENTION_CHAPTER, 1), "chapter", chapter=group(1)),
-        shaped(pattern_spans(c, fixed.MENTION_LAW, 3), "law", law=group(1), roman=group(2), year=group(3)),
-        shaped(pattern_spans(c, fixed.ECLI, 0), "judgment_ecli", ecli=lambda m: m["text"]),
-        shaped(
-            pattern_spans(c, fixed.MENTION_CASE, 2), "judgment_case",
-            case_number=lambda m: F.concat_ws("/", m["g1"], m["g2"]),
-        ),
-    )
-
-
 def ref_law(ref: Column | str) -> Column:
     """Law key of a `law-{key}-art-{n}` reference, else null."""
     r = _col(ref)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed, text as T
+from ..functions import fixed, scan, text as T
 from ..scale import first_per_key
 
 
 def reference_mentions(df: DataFrame, text: str) -> DataFrame:
     """One row per reference in the text: kind, its parts, exact span. All inside the row, no shuffle."""
-    # Outer, then filtered: a plain inline makes Spark scan the text a second time to test for emptiness.
-    kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.inline_outer(T.mentions(text))).filter("kind IS NOT NULL")
+    return scan.scanned(df, text, scan.mentions, scan.MENTION_TYPE)
 
 
 def with_citation(df: DataFrame, text: str, name: str = "_c") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import dates as D, fixed, text as T
+from ..functions import dates as D, fixed, scan, text as T
 from ..scale import position_block, sequence_in_blocks, top_per_key
 from ..session import durable
 from .graph import adverse_authorities, resolve_authorities, validate_citations
@@ -14,83 +14,22 @@ from .temporal import resolve_as_of
 FACT = ("kind", "text", "char_start", "char_end", "confidence")
 
 
-def _slice(text: Column, start: Column, end: Column) -> Column:
-    """Characters [start, end), 0-based; empty when end does not lie after start."""
-    return F.when(end > start, F.substr(text, start + 1, end - start)).otherwise("")
-
-
 def extract_facts(df: DataFrame, text: str) -> DataFrame:
     """Money amounts (0.9), obligation phrases with 40 characters around (0.6) and capitalised names (0.7) with spans.
 
     Everything happens inside the row; a name counts once per text, at its first place.
     """
-    body = F.col(text)
-
-    def fact(kind: str, content: Column, start: Column, end: Column, confidence: float) -> Column:
-        values = (F.lit(kind), content, start, end, F.lit(confidence))
-        return F.struct(*[v.alias(n) for v, n in zip(values, FACT)])
-
-    amounts = F.transform(
-        T.pattern_spans(body, fixed.AMOUNT, flags=""), lambda m: fact("amount", m["text"], m["start"], m["end"], 0.9)
-    )
-
-    def obligation(m: Column) -> Column:
-        start, end = F.greatest(F.lit(0), m["start"] - 40), m["start"] + 40
-        return fact("obligation", T.strip(_slice(body, start, end)), start, end, 0.6)
-
-    names = F.transform(
-        T.pattern_spans(body, fixed.CAPITALISED_NAME, flags="(?U)"),
-        lambda m: F.struct(T.strip(m["text"]).alias("name"), m["start"].alias("start"), m["end"].alias("end")),
-    )
-    proper = F.filter(
-        names,
-        lambda n: ~n["name"].isin(fixed.NAME_STOP) & F.substr(n["name"], F.lit(2)).rlike(r"\p{Ll}") & (T.word_count(n["name"]) <= 3),
-    )
-    rows = df.withColumn("_names", proper).withColumn("_text", F.lower(body))
-    lowered = F.transform("_names", lambda n: F.lower(n["name"]))
-    rows = rows.withColumn("_lower", lowered)
-    first = F.filter("_names", lambda n, i: F.array_position(F.col("_lower"), F.lower(n["name"])) == i + 1)
-    parties = F.transform(first, lambda n: fact("party", n["name"], n["start"], n["end"], 0.7))
-    found = F.concat(amounts, F.transform(T.keyword_spans("_text", fixed.OBLIGATIONS), obligation), parties)
-    kept = [c for c in df.columns if c != text]
-    return rows.select(*kept, F.inline_outer(found)).filter("kind IS NOT NULL")
+    return scan.scanned(df, text, scan.facts, scan.FACT_TYPE)
 
 
 def extract_events(df: DataFrame, text: str) -> DataFrame:
     """Dated events (0.9) with the text up to the next stop, and event verbs without a near date (0.5)."""
-    body = F.col(text)
-
-    def event(date: Column, description: Column, start: Column, end: Column, confidence: float) -> Column:
-        return F.struct(
-            date.alias("event_date"), F.substr(description, F.lit(1), F.lit(160)).alias("description"),
-            start.alias("char_start"), end.alias("char_end"), F.lit(confidence).alias("confidence"),
-        )
-
-    def dated(m: Column) -> Column:
-        window = T.strip(_slice(body, m["start"], m["end"] + 40))
-        snippet = F.get(F.split(window, "[.;]", -1), F.lit(0))
-        return event(D.safe_date(m["g3"], m["g2"], m["g1"]), snippet, m["start"], m["end"], 0.9)
-
-    dates = F.filter(
-        F.transform(T.pattern_spans(body, fixed.SLASH_DATE, 3, flags="(?U)"), dated), lambda e: e["event_date"].isNotNull()
-    )
-
-    def undated(m: Column) -> Column:
-        at = m["start"]
-        # Within the first 40 characters the window starts that far from the end of the text.
-        start = F.when(at >= 40, at - 40).otherwise(F.greatest(F.lit(0), F.length(body) + at - 40))
-        return event(
-            F.lit(None).cast("date"), T.strip(_slice(body, start, at + 40)), F.greatest(F.lit(0), at - 40), at + 40, 0.5
-        )
-
-    verbs = F.filter(
-        T.keyword_spans("_text", fixed.EVENT_VERBS),
-        lambda m: ~_slice(body, F.greatest(F.lit(0), m["start"] - 30), m["start"]).rlike("(?U)" + fixed.SLASH_DATE),
-    )
+    found = scan.scanned(df, text, scan.events, scan.EVENT_TYPE)
+    dated = found.withColumn("event_date", D.safe_date(F.col("year"), F.col("month"), F.col("day")))
     kept = [c for c in df.columns if c != text]
-    lowered = df.withColumn("_text", F.lower(body))
-    found = lowered.select(*kept, F.inline_outer(F.concat(dates, F.transform(verbs, undated))))
-    return found.filter("char_start IS NOT NULL")
+    return dated.filter("event_date IS NOT NULL OR year IS NULL").select(
+        *kept, "event_date", "description", "char_start", "char_end", "confidence"
+    )
 
 
 def chronology(events: DataFrame, matter: str = "matter_id") -> DataFrame:

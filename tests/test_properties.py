@@ -179,3 +179,29 @@ def test_rrf_ignores_list_order(spark):
     f = lambda d: sorted((r[1], round(r[2], 12)) for r in R.rrf_fuse(d).collect())
     assert f(one) == f(two)
     assert dict(f(one))["r0"] == round(3 * (1 / 61 + 1 / 66), 12)
+
+
+def test_spans_brute_force(spark):
+    """Mentions, facts and events of random Greek and Latin texts: the same as each pattern over the whole text."""
+    import regex
+
+    rng = random.Random(15)
+    words_ = ["Άρθρο", "ΆΡΘΡΟ", "Article", "αρ.", "ΑΡ.", " ", "  ", " ", "5", "IV", "vi", "(2a)", "(α)", "(Σ)", "ΚΕΦ.", "κεφάλαιο", "Chapter", "Ν. ", "Law ", "νόμοσ ",
+              "123", "(I)", "/", " / ", "2020", "20201", "ECLI:CY:AD:2019:A1", "xECLI:cy:AD:2019:A1", "45/2018", ".", "\n", "𝒳", "€5,000.50", "$ 12", "shall", "shall pay",
+              "SHALL", "agrees to", "Delivered", "signed on", "1/2/2020", "31/02/2020", "John Smith", "John Smith Brown Doe", "The", "Εταιρεία", "Mary Ann", "ABC", "İ "]
+    texts = ["".join(rng.choice(words_) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 40))) for _ in range(800)] + [""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(-1, None, "x")], "i int, t string, kind2 string")
+    flags = regex.I | regex.U
+    kinds = {"article": fixed.MENTION_ARTICLE, "chapter": fixed.MENTION_CHAPTER, "law": fixed.MENTION_LAW, "judgment_ecli": fixed.ECLI, "judgment_case": fixed.MENTION_CASE}
+    from lexweave.operators import graph as G, matter as M
+
+    got = sorted((r.i, r.kind, r.start, r.end) for r in G.reference_mentions(df, "t").collect())
+    assert got == sorted((i, k, *m.span()) for i, t in enumerate(texts) for k, p in kinds.items() for m in regex.finditer(p, t, flags))
+    facts = M.extract_facts(df, "t")
+    assert facts.columns == ["i", "kind2", "kind", "text", "char_start", "char_end", "confidence"]
+    duties = sorted((r.i, r.char_end - 40) for r in facts.collect() if r.kind == "obligation")
+    assert duties == sorted((i, m.start()) for i, t in enumerate(texts) for w in fixed.OBLIGATIONS for m in regex.finditer(regex.escape(w), t.lower()))
+    names = [(r.i, r.text.lower()) for r in facts.collect() if r.kind == "party"]
+    assert len(names) == len(set(names)) > 100
+    days = sorted((r.i, r.char_start) for r in M.extract_events(df, "t").collect() if r.event_date)
+    assert days == sorted((i, m.start()) for i, t in enumerate(texts) for m in regex.finditer(fixed.SLASH_DATE, t, regex.U) if m.group() == "1/2/2020")
