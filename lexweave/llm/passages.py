@@ -17,8 +17,10 @@ Units so short that only equal shingles reach the threshold need one band.
 In every bucket each unit is paired with the smallest one, pairs are verified by
 the exact Jaccard similarity of their five-word shingles, and verified pairs are
 joined into components. A bucket that still holds several components is settled
-in full: its units meet in blocks of bounded size, and every pair of different
-components is verified, so a star loses no link of a bucket.
+in full: the units outside its largest component are indexed by their shingles, as many
+at a time as have `ROOM` shingles, and all units of the bucket pass by the index once for
+each such part. So a star loses no link of a bucket, and a bucket's rows are
+not repeated but for what is outside its largest component beyond one part.
 
 Of each component the first unit stays, by document and place.
 """
@@ -47,8 +49,8 @@ REACH = 4
 GAP_WORDS = 24
 #: Pairs wrongly held for repeated that are broadcast, 32 MB of names.
 MOST_WRONG = 1 << 22
-#: Units of a bucket that meet in one task.
-BLOCK = 512
+#: Shingles of a bucket that are indexed at a time, 16 MB of names.
+ROOM = 1 << 21
 
 
 def tuned_bands(threshold: float = THRESHOLD, rows: int = BAND_ROWS, recall: float = RECALL) -> int:
@@ -246,44 +248,67 @@ def _similar(threshold: float):
     return common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9
 
 
+class _Held:
+    """Units of a bucket by shingle, and the components that links found so far have joined."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], root: dict[int, int]):
+        self.units, self.parts = [r[0] for r in rows], np.array([r[1] for r in rows])
+        self.sizes = np.array([len(r[2]) for r in rows])
+        names = np.concatenate([r[2] for r in rows])
+        order = np.argsort(names, kind="stable")
+        self.of = np.repeat(np.arange(len(rows)), self.sizes)[order]
+        self.names, first = np.unique(names[order], return_index=True)
+        self.at = np.r_[first, len(names)]
+        self.root = root
+
+    def find(self, c: int) -> int:
+        while self.root.setdefault(c, c) != c:
+            c = self.root[c]
+        return c
+
+    def links(self, unit: int, part: int, shingles: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """Links of a passing unit that join two components."""
+        i = np.minimum(np.searchsorted(self.names, shingles), len(self.names) - 1)
+        i = i[self.names[i] == shingles]
+        size = self.at[i + 1] - self.at[i]
+        at = np.repeat(self.at[i] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        common = np.bincount(self.of[at], minlength=len(self.units))
+        near = (common >= threshold * (self.sizes + len(shingles) - common) - 1e-9) & (self.parts != part)
+        out = []
+        for k in np.flatnonzero(near).tolist():
+            x, y = self.find(int(self.parts[k])), self.find(part)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                out.append((unit, self.units[k]))
+        return out
+
+
 def _settle(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links between different components among rows (bucket, i, j, side, unit, component, shingles) sorted by their first three."""
-    held: list[tuple] = []
-
-    def links() -> list[tuple[int, int]]:
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while root.setdefault(c, c) != c:
-                c = root[c]
-            return c
-
-        found = []
-        left = [r for r in held if r[3] == 0]
-        right = [r for r in held if r[3] == 1] or left
-        for a in left:
-            for b in right:
-                x, y = find(a[5]), find(b[5])
-                if x == y:
-                    continue
-                common = len(a[6] & b[6])
-                if common >= threshold * (len(a[6]) + len(b[6]) - common) - 1e-9:
-                    root[max(x, y)] = min(x, y)
-                    found.append((a[4], b[4]))
-        return found
-
-    out: list[tuple[int, int]] = []
+    """Links between components; rows (bucket, chunk, side, unit, component, shingles) by the first three, side 0 is held."""
+    key: tuple[int, int] | None = None
+    rows: list[tuple[int, int, np.ndarray]] = []
+    held: _Held | None = None
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and held[0][:3] != row[:3]:
-                out += links()
-                held = []
-            held.append((*row[:6], frozenset(row[6])))
-    out += links() if held else []
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+        out: list[tuple[int, int]] = []
+        plain = [c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[:5]]
+        lists = batch.column(5)
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for r, (bucket, chunk, side, unit, part) in enumerate(zip(*plain, strict=True)):
+            shingles = values[ends[r] : ends[r + 1]]
+            if key != (bucket, chunk):
+                key, rows, held = (bucket, chunk), [], None
+            if side == 0:
+                rows.append((unit, part, shingles.copy()))
+                continue
+            if held is None and rows:
+                held, rows = _Held(rows, {}), []
+            if held is None:
+                continue
+            out += held.links(unit, part, shingles, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], folder: str, threshold: float, block: int) -> DataFrame:
+def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], folder: str, threshold: float, room: int = ROOM) -> DataFrame:
     """`node`, `component` of the `units` (`unit`, `bands`) that are similar to another.
 
     `shingles_of` gives `unit` and `shingles` of the units in a bitmap; `folder` takes what is written on the way.
@@ -307,20 +332,17 @@ def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], fol
     verified = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_similar(threshold)).select("a", "b")
     parts = connected_components(verified)
     held = members.where("size > 2").join(parts, members["unit"] == parts["node"], "left")
-    held = held.select("bucket", "unit", F.coalesce("component", "unit").alias("component"))
-    mixed = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = mixed.where("lo < hi").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    held = durable(held.join(mixed, "bucket"))
-    placed = held.withColumn("at", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
-    meet = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j"), (F.col("at") > o).cast("int").alias("side")),
-    )
-    placed = placed.select("bucket", "unit", "component", F.explode(meet).alias("m"))
-    placed = placed.join(side("unit", "shingles"), "unit").select(
-        "bucket", "m.i", "m.j", "m.side", "unit", F.col("component").alias("c"), "shingles"
-    )
-    settled = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    held = held.select("bucket", "unit", F.coalesce("component", "unit").alias("c"))
+    held = held.join(sets.select(F.col("unit").alias("u"), F.size("shingles").alias("many")), F.col("unit") == F.col("u")).drop("u")
+    sizes = held.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("many").alias("many"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("many").alias("all"),
+                                        F.max_by("many", F.struct("n", "c")).alias("most"))
+    chunks = F.ceil((F.col("all") - F.col("most")) / room).cast("int").alias("chunks")
+    held = durable(held.join(mixed.where("parts > 1").select("bucket", "main", chunks), "bucket"))
+    few = held.where("c != main").select("bucket", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("side"), "unit", "c")
+    every = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"), "unit", "c")
+    settled = few.union(every).join(side("unit", "shingles"), "unit").select("bucket", "chunk", "side", "unit", "c", "shingles")
+    settled = settled.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "side")
     more = settled.mapInArrow(lambda b: _settle(b, threshold), "a bigint, b bigint")
     more = durable(more.distinct())
     if not more.isEmpty():
@@ -352,7 +374,7 @@ def _marked(rows: DataFrame, folder: str, min_words: int, most_wrong: int) -> tu
 
 def repeated_units(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS,
-    block: int = BLOCK, most_wrong: int = MOST_WRONG,
+    room: int = ROOM, most_wrong: int = MOST_WRONG,
 ) -> DataFrame:
     """A row for every unit of a component of two or more occurrences.
 
@@ -376,7 +398,7 @@ def repeated_units(
         both = spark.sparkContext.broadcast((words, wrong, asked))
         return rows.drop("id").mapInArrow(lambda b: _shingles(b, both, min_words), "unit bigint, shingles array<bigint>")
 
-    parts = linked(units, sets, folder, threshold, block)
+    parts = linked(units, sets, folder, threshold, room)
 
     classed = units.drop("bands").join(parts, units["unit"] == parts["node"], "left")
     classed = classed.select("id", "begin", "end", "n_words", "unit", F.coalesce("component", "unit").alias("component"))

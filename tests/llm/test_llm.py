@@ -391,7 +391,7 @@ def test_passages(spark):
     rows += [(200, " ".join(fresh(40)) + "\n" + " ".join(para)), (201, " ".join(near) + "\n" + " ".join(fresh(40)))]
     rows += [(300, "few words here"), (301, "few words here"), (302, None), (303, ""), (None, " ".join(para))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = passages.repeated_units(df, block=2).collect()
+    got = passages.repeated_units(df, room=50).collect()
     by = {}
     for r in got:
         by.setdefault(r.component, set()).add(r.doc_id)
