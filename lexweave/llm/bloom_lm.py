@@ -15,7 +15,8 @@ A word's probability after another is smoothed towards its own,
 with all counts read from the filter, the upper one rounded down and the lower
 one up, and k the strength under which all training texts are likeliest, each
 token with one occurrence taken off for its text and for each exact copy of it.
-Tokens of equal levels are counted together, so every strength is tried at once. Texts begin after a word of their own and end with `END`.
+Tokens of equal levels are one kind, so every strength is tried, and every text scored under each, in the one pass in which
+texts ask the filter. Texts begin after a word of their own and end with `END`.
 
 The base score uses exact counts. Words of at least N / `FREQUENT` occurrences,
 of which there are at most `FREQUENT`, are broadcast; the others are joined.
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import fresh_folder
 from . import text as tx
@@ -41,6 +42,8 @@ SEGMENT_NAMES = 250_000
 #: Filter bytes broadcast at a time.
 ROUND_BYTES = 128 << 20
 FREQUENT = 1 << 21
+#: Texts that ask the filter together, each distinct name once.
+ASK_BYTES = 8 << 20
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 1e6)
 _BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -123,7 +126,7 @@ class Filter:
     def levels(self, names: np.ndarray) -> np.ndarray:
         """Level of each name; 0 where the filter lacks it or its segment is not here."""
         out = np.zeros(len(names), np.uint8)
-        part = (names % np.uint64(len(self.bits))).astype(np.int64)
+        part = ((names >> np.uint64(32)) * np.uint64(len(self.bits)) >> np.uint64(32)).astype(np.int64)
         left = np.flatnonzero(self.bits[part] > 0)
         names, bits, first = names[left], self.bits[part[left]], self.begin[part[left]].astype(np.uint64) << np.uint64(3)
         level = 0
@@ -197,13 +200,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["part", "bits"])
 
 
-def train(docs: DataFrame, text_col: str = "text", segment_names: int = SEGMENT_NAMES, round_bytes: int = ROUND_BYTES) -> Model:
-    """The model of all rows of `docs`; null and empty texts are texts of the end alone.
-
-    Writes the word counts and the filter below the shared folder.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("t"))
+def _filled(rows: DataFrame, segment_names: int, round_bytes: int) -> Model:
+    """The counts of the texts `t` and the filter, without a strength."""
+    spark = rows.sparkSession
     words, segments = fresh_folder(spark, "lm-words"), fresh_folder(spark, "lm-filter")
     counted = rows.mapInArrow(lambda b: _count(b, False), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
     counted.write.parquet(words)
@@ -214,11 +213,10 @@ def train(docs: DataFrame, text_col: str = "text", segment_names: int = SEGMENT_
     n, v, texts = n or 0, v, texts or 0
     # A pair has a pair of tokens, so the tokens bound the names; half of them is the usual share.
     parts = max(1, -(-(v + n // 2) // segment_names))
-    pairs = rows.mapInArrow(lambda b: _count(b, True), "name bigint, n bigint").select("name", F.col("n").cast("int"))
-    whole = known.select("name", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).union(pairs)
-    # The name's remainder as an unsigned number.
-    part = F.pmod(F.pmod("name", F.lit(parts)) + F.when(F.col("name") < 0, F.lit(2**64 % parts)).otherwise(F.lit(0)), F.lit(parts))
-    whole = whole.withColumn("part", part.cast("int")).repartition(-(-parts // 4), "part")
+    pairs = rows.mapInArrow(lambda b: _count(b, True), "name bigint, n bigint")
+    # Ascending names go from segment to segment, so a task that asks them in order stays in one that its cache holds.
+    part = F.shiftright(F.shiftrightunsigned("name", 32) * F.lit(parts).cast("bigint"), 32).cast("int")
+    whole = known.union(pairs).withColumn("part", part).repartition(-(-parts // 4), "part")
     summed = whole.groupBy("part", "name").agg(F.sum("n").alias("n"))
     summed.mapInArrow(_segments, "part int, bits binary").write.parquet(segments)
     sizes = spark.read.schema("part int, bits binary").parquet(segments).select("part", F.octet_length("bits").alias("size"))
@@ -229,8 +227,18 @@ def train(docs: DataFrame, text_col: str = "text", segment_names: int = SEGMENT_
             held = 0
         rounds[-1].append(r["part"])
         held += r["size"]
-    model = Model(parts, rounds, segments, words, n, v, texts)
-    model.strength = _best_strength(rows, model)
+    return Model(parts, rounds, segments, words, n, v, texts)
+
+
+def train(docs: DataFrame, text_col: str = "text", segment_names: int = SEGMENT_NAMES, round_bytes: int = ROUND_BYTES) -> Model:
+    """The model of all rows of `docs`; null and empty texts are texts of the end alone.
+
+    Writes the word counts and the filter below the shared folder.
+    """
+    rows = docs.select(F.col(text_col).cast("string").alias("t"))
+    model = _filled(rows, segment_names, round_bytes)
+    read = _read(_with_copies(rows.select(F.lit(0).alias("id"), F.lit(0).cast("bigint").alias("key"), "t", F.lit(True).alias("training"))), model, STRENGTHS)
+    model.strength = _likeliest(read)
     return model
 
 
@@ -294,29 +302,60 @@ def log_probabilities(level: np.ndarray, begins: np.ndarray, model: Model, stren
     return np.log10((above + strength * alone) / (np.maximum(below - own, above) + strength))
 
 
-def _scorer(sent, model: Model, frequent):
-    """Sums of log probabilities, the base score of frequent words and the other words."""
+def _codes(level: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels and begins of the distinct kinds of tokens, and the kind of each token."""
+    word, before, pair = level.reshape(3, -1).astype(np.int64)
+    m = int(level.max(initial=0)) + 1
+    code = ((pair * m + before) * m + word) * 2 + begins
+    if m**3 > 1 << 22:
+        kinds, at = np.unique(code, return_inverse=True)
+    else:
+        here = np.zeros(2 * m**3, bool)
+        here[code] = True
+        kinds = np.flatnonzero(here)
+        at = (np.cumsum(here) - 1)[code]
+    rest = kinds >> 1
+    return np.concatenate([rest % m, rest // m % m, rest // (m * m)]), (kinds & 1).astype(bool), at
+
+
+def _reader(sent, model: Model, frequent, strengths: tuple[float, ...]):
+    """Of each text the sum of log probabilities under each strength, the base score of frequent words and the other words.
+
+    `trained` stands with the first text of a run: the sums of all its training tokens, each without the occurrences
+    in its text and the copies of that.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Filter(*sent.value)
         common, occurs = frequent.value
         whole = model.n + 0.1 * (model.v + 1)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for i, _, data, offsets in tx.texts(batch, "t"):
+            cols: list[list] = [[] for _ in range(7)]
+            copies = batch.column(batch.schema.get_field_index("copies")).to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in tx.texts(batch, "t", ASK_BYTES):
                 names, counts = tokens(data, offsets)
                 begin = np.cumsum(counts) - counts
                 level = np.maximum(held.asked(names, counts), _known_levels(batch, i, counts))
                 first = np.zeros(len(names), bool)
                 first[begin] = True
-                cols[0].append(np.add.reduceat(log_probabilities(level, first, model, model.strength), begin))
+                kinds, begins, at = _codes(level, first)
+                own = np.repeat(copies[i:j].astype(np.int64), counts)
+                trained = np.zeros(len(strengths))
+                for c in np.unique(copies[i:j]).tolist():
+                    if c:
+                        times = np.bincount(at[own == c], minlength=len(begins))
+                        trained += [(times * log_probabilities(kinds, begins, model, s, c)).sum() for s in strengths]
+                sums = [np.add.reduceat(log_probabilities(kinds, begins, model, s)[at], begin) for s in strengths]
+                cols[0].append(np.stack(sums, 1))
+                cols[1] += [trained, *[None] * (j - i - 1)]
                 distinct, back = np.unique(names, return_inverse=True)
                 at = np.minimum(np.searchsorted(common, distinct), max(0, len(common) - 1))
                 held_here = common[at] == distinct if len(common) else np.zeros(len(distinct), bool)
                 base = np.where(held_here, np.log10((occurs[at] if len(common) else 0) + 0.1) - np.log10(whole), 0.0)
                 is_common, base = held_here[back], base[back]
-                cols[-5].append(counts)
-                cols[-4].append(np.add.reduceat(base, begin))
-                cols[-3].append(np.add.reduceat(is_common.astype(np.int64), begin))
+                cols[2].append(counts)
+                cols[3].append(np.add.reduceat(base, begin))
+                cols[4].append(np.add.reduceat(is_common.astype(np.int64), begin))
                 row = np.repeat(np.arange(len(counts)), counts)[~is_common]
                 rare = names[~is_common]
                 order = np.lexsort((rare, row))
@@ -326,70 +365,76 @@ def _scorer(sent, model: Model, frequent):
                 start = np.flatnonzero(new)
                 times = np.diff(np.r_[start, len(rare)]).astype(np.int32)
                 cut = np.cumsum(np.bincount(row[start], minlength=len(counts)))[:-1]
-                cols[-2] += np.split(tx.signed(rare[start]), cut)
-                cols[-1] += np.split(times, cut)
-            sums, counts, base, known = (np.concatenate(c) if c else np.empty(0) for c in cols[:4])
+                cols[5] += np.split(tx.signed(rare[start]), cut)
+                cols[6] += np.split(times, cut)
+            scores = np.concatenate(cols[0]) if cols[0] else np.empty((0, len(strengths)))
+            counts, base, known = (np.concatenate(c) if c else np.empty(0) for c in cols[2:5])
+            size = np.arange(len(scores) + 1, dtype=np.int32) * len(strengths)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(sums), pa.array(counts.astype(np.int64)), pa.array(base),
-                    pa.array(known.astype(np.int64)), pa.array(cols[-2], pa.list_(pa.int64())), pa.array(cols[-1], pa.list_(pa.int32())),
-                ], ["id", "key", "score", "n_tokens", "base", "known", "rare", "times"],
+                    batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(size), pa.array(scores.ravel())),
+                    pa.array(cols[1], pa.list_(pa.float64())), pa.array(counts.astype(np.int64)), pa.array(base), pa.array(known.astype(np.int64)),
+                    pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.list_(pa.int32())),
+                ], ["id", "key", "scores", "trained", "n_tokens", "base", "known", "rare", "times"],
             )
 
     return run
 
 
-def _tally(sent):
-    """How many tokens have the same levels, place at a text's begin and copies of their text, all in one number."""
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """`rows` (`id`, `key`, `t`, `training`) with `copies`: of a training text how many there are of it, else 0."""
+    spark = rows.sparkSession
+    keyed = rows.withColumn("text_key", F.xxhash64(F.coalesce("t", F.lit(""))))
+    folder = fresh_folder(spark, "lm-copies")
+    keyed.where("training").groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1").write.parquet(folder)
+    # Read from files, so Spark knows their size when it picks the join.
+    copied = spark.read.schema("text_key bigint, copies bigint").parquet(folder)
+    copies = F.when(F.col("training"), F.coalesce("copies", F.lit(1))).otherwise(0).alias("copies")
+    return keyed.join(copied, "text_key", "left").select("id", "key", "t", copies)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Filter(*sent.value)
-        for batch in batches:
-            copies = batch.column(batch.schema.get_field_index("copies")).to_numpy(zero_copy_only=False)
-            found = []
-            for i, j, data, offsets in tx.texts(batch, "t"):
-                names, counts = tokens(data, offsets)
-                level = np.maximum(held.asked(names, counts), _known_levels(batch, i, counts)).reshape(3, -1).astype(np.int64)
-                code = level[0] | level[1] << 8 | level[2] << 16 | np.repeat(copies[i:j].astype(np.int64), counts) << 25
-                code[np.cumsum(counts) - counts] |= 1 << 24
-                found.append(np.unique(code, return_counts=True))
-            if found:
-                codes, which = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                n = np.bincount(which, weights=np.concatenate([f[1] for f in found])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
-    return run
+def _read(rows: DataFrame, model: Model, strengths: tuple[float, ...]) -> DataFrame:
+    """What `_reader` finds of the rows (`id`, `key`, `t`, `copies`): each text asks the filter once."""
+    spark = rows.sparkSession
+    words = spark.read.schema("name bigint, n bigint").parquet(model.words)
+    common = words.where(F.col("n") * FREQUENT >= F.lit(model.n)).toArrow()
+    names = common["name"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    frequent = spark.sparkContext.broadcast((names[order], common["n"].to_numpy()[order]))
+    *_, (last, sent) = _levels(rows, model)
+    kind = (
+        f"id {rows.schema['id'].dataType.simpleString()}, key bigint, scores array<double>, trained array<double>, n_tokens bigint, "
+        "base double, known bigint, rare array<bigint>, times array<int>"
+    )
+    folder = fresh_folder(spark, "lm-scored")
+    last.mapInArrow(_reader(sent, model, frequent, strengths), kind).write.parquet(folder)
+    sent.unpersist()
+    return spark.read.schema(kind).parquet(folder)
 
 
-def _likelihoods(model: Model):
-    """For tallied tokens the sum of their log probabilities under each strength."""
+def _likeliest(read: DataFrame) -> float:
+    """The strength under which all training texts are likeliest without the occurrences of a token in its text and its copies."""
+    totals = read.agg(*[F.sum(F.get("trained", F.lit(k))) for k in range(len(STRENGTHS))]).first()
+    return max(zip(totals, STRENGTHS, strict=True), key=lambda x: x[0])[1] if totals[0] is not None else STRENGTHS[3]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            level = np.concatenate([code >> shift & 255 for shift in (0, 8, 16)])
-            begins, own = (code >> 24 & 1).astype(bool), code >> 25
-            sums = [(n * log_probabilities(level, begins, model, s, own)).sum() for s in STRENGTHS]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{k}" for k in range(len(STRENGTHS))])
 
-    return run
+def _keyed(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("t"), training.alias("training"))
 
 
-def _best_strength(rows: DataFrame, model: Model) -> float:
-    """The strength under which all training texts are likeliest without the occurrences of a token in its text and its copies."""
-    spark = rows.sparkSession
-    keyed = rows.withColumn("key", F.xxhash64(F.coalesce("t", F.lit(""))))
-    folder = fresh_folder(spark, "lm-copies")
-    keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").write.parquet(folder)
-    # Read from files, so Spark knows their size when it picks the join.
-    copied = spark.read.schema("key bigint, copies bigint").parquet(folder)
-    keyed = keyed.join(copied, "key", "left").select("t", F.coalesce("copies", F.lit(1)).alias("copies"))
-    *_, (last, sent) = _levels(keyed, model)
-    tallied = last.mapInArrow(_tally(sent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    kind = ", ".join(f"s{k} double" for k in range(len(STRENGTHS)))
-    totals = tallied.mapInArrow(_likelihoods(model), kind).agg(*[F.sum(f"s{k}") for k in range(len(STRENGTHS))]).first()
-    sent.unpersist()
-    return max(zip(totals, STRENGTHS, strict=True), key=lambda x: x[0])[1] if totals[0] is not None else STRENGTHS[3]
+def train_and_score(
+    docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", segment_names: int = SEGMENT_NAMES, round_bytes: int = ROUND_BYTES
+) -> DataFrame:
+    """As `score` of all `docs` by the model of those that `training` names; every text asks the filter once for both.
+
+    Null and empty texts are texts of the end alone.
+    """
+    rows = _keyed(docs, training, id_col, text_col)
+    model = _filled(rows.where("training").select("t"), segment_names, round_bytes)
+    read = _read(_with_copies(rows), model, STRENGTHS)
+    model.strength = _likeliest(read)
+    return _summed(read.withColumn("score", F.get("scores", F.lit(STRENGTHS.index(model.strength)))), model, id_col)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,24 +442,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Repeated rows get a row each. Without training texts every word has probability one.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("t"))
+    rows = _keyed(docs, F.lit(False), id_col, text_col).select("id", "key", "t", F.lit(0).cast("bigint").alias("copies"))
+    read = _read(rows, model, (model.strength,))
+    return _summed(read.withColumn("score", F.get("scores", F.lit(0))), model, id_col)
+
+
+def _summed(scored: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """The result rows, with the base score of words that are not frequent by a join."""
+    spark = scored.sparkSession
     words = spark.read.schema("name bigint, n bigint").parquet(model.words)
     is_common = F.col("n") * FREQUENT >= F.lit(model.n)
-    common = words.where(is_common).toArrow()
-    names = common["name"].to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    frequent = spark.sparkContext.broadcast((names[order], common["n"].to_numpy()[order]))
-    *_, (last, sent) = _levels(rows, model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = last.select("id", "key", "t", *(["lv"] if "lv" in last.columns else [])).mapInArrow(
-        _scorer(sent, model, frequent),
-        f"id {kind}, key bigint, score double, n_tokens bigint, base double, known bigint, rare array<bigint>, times array<int>",
-    )
-    folder = fresh_folder(spark, "lm-scored")
-    scored.write.parquet(folder)
-    scored = spark.read.schema(scored.schema).parquet(folder)
     # Equal rows have equal words, so one of each key is enough.
     rare = scored.where(F.size("rare") > 0).select("key", F.explode(F.arrays_zip("rare", "times")).alias("w"))
     rare = rare.select("key", F.col("w.rare").alias("name"), F.col("w.times").alias("times"))
@@ -426,7 +463,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         F.sum(each).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
     )
     summed = copies.join(summed, "key", "left")
-    done = scored.drop("rare", "times").join(summed, "key")
+    done = scored.drop("rare", "times", "scores", "trained").join(summed, "key")
     return done.select(
         F.col("id").alias(id_col), "n_tokens",
         (F.col("known") + F.coalesce(F.expr("rare_known div copies"), F.lit(0))).alias("n_known"),

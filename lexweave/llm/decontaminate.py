@@ -24,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import fresh_folder
 from . import text as tx
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Of all items in one block; an item that has more travels alone.
+#: Of all items in one block, about: items are dealt to blocks by hash.
 BLOCK_SHINGLES = 1_000_000
 _FILTER_BITS = 20
 
@@ -120,14 +121,19 @@ def contained_items(
         ]
     )
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text_col).cast("string").alias("t"))
-    found = None
+    folder, found = fresh_folder(spark, "contained"), None
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        part = some.orderBy("item", "t").toPandas() if blocks == 1 else some.toPandas()
-        if not len(part) and found is not None:
+        part = some.toArrow()
+        if not len(part) and blocks > 1:
             continue
-        shared = spark.sparkContext.broadcast(([t.encode() for t in part["t"]], part["item"].tolist(), threshold))
+        shared = spark.sparkContext.broadcast(([t.encode() for t in part["t"].to_pylist()], part["item"].to_pylist(), threshold))
         matches = rows.mapInArrow(_searcher(shared, item_kind), out)
+        if blocks > 1:
+            # One block of items at a time lies on the driver and the executors.
+            matches.write.parquet(f"{folder}/{k}")
+            shared.unpersist()
+            matches = spark.read.schema(out).parquet(f"{folder}/{k}")
         found = matches if found is None else found.unionByName(matches)
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "shared", "item_shingles", "containment")
 
@@ -156,7 +162,7 @@ def _searcher(shared, item_kind: T.DataType):
             sizes = np.array([len(items.sets[k]) for k in which], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(rows)), pa.array([ids[k] if ids[k] == ids[k] else None for k in which], item_type),
+                    batch.column(0).take(pa.array(rows)), pa.array([ids[k] for k in which], item_type),
                     pa.array(n), pa.array(sizes), pa.array(n / np.maximum(sizes, 1)),
                 ],
                 ["doc", "item", "shared", "item_shingles", "containment"],
@@ -167,8 +173,10 @@ def _searcher(shared, item_kind: T.DataType):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that contain no item; the same columns. Rows are decided by their text alone."""
-    hashed = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    keyed = docs.select(hashed.alias("_text"), F.col(text_col).alias("t"))
-    bad = contained_items(keyed, items.withColumnRenamed(text_col, "t"), threshold, "_text", text_col="t")
-    bad = bad.select("_text").distinct()
-    return docs.withColumn("_text", hashed).join(bad, "_text", "left_anti").select(*docs.columns)
+    # Names of their own for all columns, so that none of the caller's can clash.
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    hashed = F.xxhash64(F.coalesce(F.col(f"c{docs.columns.index(text_col)}").cast("string"), F.lit("")))
+    keyed = own.select(hashed.alias("hash"), F.col(f"c{docs.columns.index(text_col)}").alias("t"))
+    bad = contained_items(keyed, items.withColumnRenamed(text_col, "t"), threshold, "hash", text_col="t")
+    bad = bad.select(F.col("hash").alias("bad")).distinct()
+    return own.join(bad, hashed == F.col("bad"), "left_anti").toDF(*docs.columns)

@@ -124,8 +124,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 10) == 0
-    model = bloom_lm.train(docs.where(~held_out))
-    scored = bloom_lm.score(docs, model)
+    scored = bloom_lm.train_and_score(docs, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
