@@ -43,7 +43,7 @@ SEGMENT_NAMES = 250_000
 ROUND_BYTES = 128 << 20
 FREQUENT = 1 << 21
 #: Texts that ask the filter together, each distinct name once.
-ASK_BYTES = 8 << 20
+ASK_BYTES = 1 << 20
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 1e6)
 _BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
