@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed, text as T
+from ..functions import fixed, lines, text as T
 from ..scale import first_per_key, last_known_in_blocks, month_block, sequence_in_blocks
 from ..session import durable
 
@@ -138,47 +138,120 @@ def annotate_temporal(
     return dated.unionByName(rest, allowMissingColumns=True)
 
 
+NODE = ["law", "node_type", "number"]
+
+
+def _start() -> list[Column]:
+    """The place of what is there before every event."""
+    return [F.lit("1000-01-01").cast("date").alias("effective_date"), F.lit(-1).cast("bigint").alias("event_id")]
+
+
+def _base_key() -> Column:
+    return F.concat_ws("|", F.lit("base"), *NODE)
+
+
+def _moves(events: DataFrame) -> DataFrame:
+    return events.filter("operation = 'RENUMBER' AND node_type IS NOT NULL AND number IS NOT NULL AND renumber_to <> number")
+
+
+def identify(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(law, event_id, identity): the provision each event names, null where its number stands for none at that time.
+
+    A provision is known under its first number until it is renumbered, then under the next; whoever took a number last
+    has it, and a number whose provision has left it is free. INSERT on a free number makes a new provision.
+
+    Only numbers that a renumbering leaves or takes need a time line. Whether a renumbering finds a provision
+    depends on earlier ones: all are taken for granted at first, and those that find none are taken out until none is left. What
+    an event finds then points to what was found there before, and the pointers are followed two steps at a time.
+    """
+    named = events.filter(F.col("operation").isin(fixed.AMENDMENT_OPERATIONS) & F.col("node_type").isNotNull() & F.col("number").isNotNull())
+    moves = _moves(named)
+    source, target = moves.select(*NODE), moves.select("law", "node_type", F.col("renumber_to").alias("number"))
+    touched = durable(source.union(target).distinct())
+    base = nodes.select(*NODE).distinct()
+    order = F.struct("effective_date", "event_id")
+
+    # Numbers no renumbering touches: the provision is there from the start, or from the first INSERT on.
+    plain = named.join(touched, NODE, "left_anti")
+    first = plain.filter("operation = 'INSERT'").groupBy(*NODE).agg(F.min(order).alias("_first"))
+    plain = plain.join(base.withColumn("_base", F.lit(True)), NODE, "left").join(first, NODE, "left")
+    there = F.col("_base").isNotNull() | (F.col("_first") <= order)
+    plain = plain.select("law", "event_id", F.when(there, _base_key()).alias("identity"))
+
+    def row(kind: str, of: DataFrame, number: str = "number") -> DataFrame:
+        key = _base_key() if kind == "A" else F.concat_ws("|", F.lit(kind), "law", F.col("event_id").cast("string"))
+        return of.select("law", "node_type", F.col(number).alias("number"), "effective_date", "event_id", F.lit(kind).alias("kind"), key.alias("key"))
+
+    rest = named.join(touched, NODE, "left_semi").join(moves.select("law", "event_id"), ["law", "event_id"], "left_anti")
+    line = row("A", base.join(touched, NODE, "left_semi").select("*", *_start())).union(row("O", moves)).union(row("N", moves, "renumber_to"))
+    line = line.union(row("I", rest.filter("operation = 'INSERT'"))).union(row("P", rest.filter("operation <> 'INSERT'")))
+    line = durable(line)
+    void = None
+    while True:
+        counted = line if void is None else line.join(void, ["law", "event_id"], "left")
+        holds = F.col("kind") != "P" if void is None else (F.col("kind") != "P") & F.col("_void").isNull()
+        found = last_known_in_blocks(
+            counted, NODE, ["effective_date", "event_id"], month_block("effective_date"),
+            {"last": F.when(holds, F.struct("kind", "key"))}, include_current=False,
+        ).select(*line.columns, F.when(F.col("last.kind") != "O", F.col("last.key")).alias("found"))
+        found = durable(found)
+        now = found.filter("kind = 'O' AND found IS NULL").select("law", "event_id", F.lit(True).alias("_void")).distinct()
+        n_now, n_before = now.count(), 0 if void is None else void.count()
+        if n_now == n_before and (void is None or now.join(void, ["law", "event_id"], "left_anti").isEmpty()):
+            break
+        void = now
+
+    # What a key stands for: an INSERT on a held number and a renumbering stand for what they found.
+    left = found.filter("kind = 'O'").select("law", "event_id", F.col("found").alias("carried"))
+    pointers = found.filter("kind IN ('I', 'N')").join(left, ["law", "event_id"], "left")
+    to = F.when(F.col("kind") == "N", F.col("carried")).otherwise(F.coalesce("found", "key"))
+    pointers = durable(pointers.select("key", to.alias("to")).filter("to IS NOT NULL"))
+    while True:
+        further = pointers.select(F.col("key").alias("to"), F.col("to").alias("next")).filter("to <> next")
+        moved = durable(pointers.join(further, "to", "left").select("key", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        pointers = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    asked = found.filter("kind <> 'A' AND kind <> 'N'")
+    asked = asked.withColumn("found", F.when(F.col("kind") == "I", F.coalesce("found", "key")).otherwise(F.col("found")))
+    asked = asked.join(pointers.withColumnsRenamed({"key": "found", "to": "root"}), "found", "left")
+    return plain.unionByName(asked.select("law", "event_id", F.coalesce("root", "found").alias("identity")))
+
+
 def number_amendments(events: DataFrame, laws: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split amendment events into (accepted, rejected).
+    """Split amendment events into (accepted, rejected); accepted ones carry the `identity` of the provision they name.
 
-    Events need law, event_id, operation, effective_date and node_type/number/new_text/renumber_to.
-    Rejected: unknown operation, unknown law, node type without number, provision never seen
-    before (INSERT creates it), anything after a REPEAL. Order is (effective_date, event_id).
+    Events need law, event_id (unique in a law), operation, effective_date and node_type/number/new_text/renumber_to.
+    Rejected: unknown operation, unknown law, node type without number, a number no provision has
+    then (INSERT makes one), anything after a REPEAL. Order is (effective_date, event_id).
     """
     known = F.col("operation").isin(fixed.AMENDMENT_OPERATIONS)
     has_node = F.col("node_type").isNotNull()
     order = F.struct("effective_date", "event_id")
     checked = events.join(laws.select("law", F.lit(True).alias("_law")).distinct(), "law", "left")
-    checked = checked.join(
-        nodes.select("law", "node_type", "number", F.lit(True).alias("_base")).distinct(),
-        ["law", "node_type", "number"], "left",
-    )
-    inserted = events.filter("operation = 'INSERT' AND number IS NOT NULL").groupBy("law", "node_type", "number").agg(
-        F.min(order).alias("_inserted")
-    )
-    checked = checked.join(inserted, ["law", "node_type", "number"], "left")
-    seen = F.col("_base").isNotNull() | (F.col("_inserted") <= order)
+    checked = checked.join(identify(events, nodes), ["law", "event_id"], "left")
     reason = (
         F.when(~known, "unknown operation")
         .when(F.col("_law").isNull(), "legislation not found")
         .when(has_node & F.col("number").isNull(), "node number required")
-        .when(has_node & ~F.coalesce(seen, F.lit(False)), "provision not found")
+        .when(has_node & F.col("identity").isNull(), "provision not found")
     )
     checked = checked.withColumn("reason", reason)
     repeal = checked.filter("reason IS NULL AND operation = 'REPEAL'").groupBy("law").agg(F.min(order).alias("_repeal"))
     checked = checked.join(repeal, "law", "left").withColumn(
         "reason", F.coalesce("reason", F.when(order > F.col("_repeal"), "no current version"))
     )
-    accepted = checked.filter("reason IS NULL").select(*events.columns)
+    accepted = checked.filter("reason IS NULL").select(*events.columns, "identity")
     return accepted, checked.filter("reason IS NOT NULL").select(*events.columns, "reason")
 
 
 def apply_amendments(laws: DataFrame, wording: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per accepted event: the version it makes and the text it replaces.
+    """One row per accepted event: the version it makes, the provision it changes and the text it replaces.
 
     `laws` holds law, version_number (the version amended first). `wording` holds the
     base text per (law, node_type, number). REPLACE needs a live provision, DELETE leaves a
-    tombstone, INSERT adds or revives, RENUMBER/COMMENCE/REPEAL carry every text unchanged.
+    tombstone, INSERT adds or revives, RENUMBER gives the same provision another number, COMMENCE/REPEAL carry
+    every text unchanged.
     """
     accepted, _ = number_amendments(events, laws, wording)
     numbered = sequence_in_blocks(
@@ -190,12 +263,11 @@ def apply_amendments(laws: DataFrame, wording: DataFrame, events: DataFrame) ->
     numbered = durable(numbered)
 
     # One time line per provision: its base text first, then its events.
-    node = ["law", "node_type", "number"]
+    node = ["law", "identity"]
     start = wording.select(
-        *node, F.lit("BASE").alias("operation"), F.col("source_text").alias("new_text"),
-        F.lit("1000-01-01").cast("date").alias("effective_date"), F.lit(-1).cast("bigint").alias("event_id"),
+        "law", _base_key().alias("identity"), F.lit("BASE").alias("operation"), F.col("source_text").alias("new_text"), *_start()
     )
-    touched = numbered.filter("node_type IS NOT NULL")
+    touched = numbered.filter("identity IS NOT NULL")
     steps = start.join(touched.select(*node).distinct(), node, "left_semi").unionByName(
         touched.select(*start.columns)
     )
@@ -224,30 +296,31 @@ def apply_amendments(laws: DataFrame, wording: DataFrame, events: DataFrame) ->
         "superseded"
     )
     return out.select(
-        "law", "version_number", "event_id", "operation", "node_type", "number", "renumber_to",
+        "law", "version_number", "event_id", "operation", "node_type", "number", "renumber_to", "identity",
         F.col("effective_date").alias("effective_from"), "effective_to", status.alias("status"),
         "previous_text", "new_text", "text_after", F.coalesce("changed", F.lit(False)).alias("changed"),
     )
 
 
 def amended_wording(laws: DataFrame, wording: DataFrame, amended: DataFrame) -> DataFrame:
-    """Text of each provision as version ranges: from_version inclusive, to_version exclusive or null.
+    """Number and text of each provision as version ranges: from_version inclusive, to_version exclusive or null.
 
-    Compact form of carrying every provision into every version.
+    Compact form of carrying every provision into every version. A renumbered provision keeps its `identity`.
     """
-    node = ["law", "node_type", "number"]
+    node = ["law", "node_type", "identity"]
     base = wording.join(laws.select("law", F.col("version_number").alias("from_version")), "law").select(
-        *node, "from_version", F.col("source_text").alias("text"), F.lit(False).alias("_gone")
+        "law", "node_type", _base_key().alias("identity"), "number", "from_version", F.col("source_text").alias("text")
     )
-    moved = amended.filter("changed").select(
-        *node, F.col("version_number").alias("from_version"), F.col("text_after").alias("text"),
-        (F.col("operation") == "DELETE").alias("_gone"),
+    renumbered = (F.col("operation") == "RENUMBER") & (F.col("renumber_to") != F.col("number"))
+    moved = amended.filter(F.col("changed") | renumbered).select(
+        *node, F.when(renumbered, F.col("renumber_to")).otherwise(F.col("number")).alias("number"),
+        F.col("version_number").alias("from_version"), F.col("text_after").alias("text"),
     )
     line = sequence_in_blocks(
         base.unionByName(moved), node, ["from_version"], F.floor(F.col("from_version") / 4096),
         following={"to_version": "from_version"},
     )
-    return line.filter(~F.col("_gone")).drop("_gone")
+    return line.filter("text IS NOT NULL")
 
 
 def amendment_history(events: DataFrame, law: str | None = None) -> DataFrame:
@@ -257,9 +330,9 @@ def amendment_history(events: DataFrame, law: str | None = None) -> DataFrame:
 
 
 def diff_versions(pairs: DataFrame, wording: DataFrame) -> DataFrame:
-    """Provisions whose text differs between two versions, with the lines only one side has.
+    """Provisions whose text differs between two versions, with the lines only one side has, in order, repeats kept.
 
-    `pairs` holds pair_id, base_id, target_id.
+    `pairs` holds pair_id, base_id, target_id. The lines are those of a shortest line difference (see `lines`).
     """
     texts = wording.select("version_id", "node_id", "source_text")
     base = pairs.select("pair_id", F.col("base_id").alias("version_id")).join(texts, "version_id").select(
@@ -270,11 +343,14 @@ def diff_versions(pairs: DataFrame, wording: DataFrame) -> DataFrame:
     )
     both = base.join(target, ["pair_id", "node_id"], "full_outer").filter(~F.col("old_text").eqNullSafe(F.col("new_text")))
     empty = F.array().cast("array<string>")
-    old_lines = F.coalesce(T.lines("old_text"), empty)
-    new_lines = F.coalesce(T.lines("new_text"), empty)
-    return both.withColumn("removed_lines", F.array_except(old_lines, new_lines)).withColumn(
-        "added_lines", F.array_except(new_lines, old_lines)
-    )
+    both = both.withColumns({"_old": F.coalesce(T.lines("old_text"), empty), "_new": F.coalesce(T.lines("new_text"), empty)})
+    return lines.with_changes(both, "_old", "_new").drop("_old", "_new")
+
+
+def line_changes(diff: DataFrame) -> DataFrame:
+    """A row per changed line of `diff_versions`: `sign` (- or +), `line_no` (0-based, in the old or new text), `line`, in hunk order `n`."""
+    rows = diff.select("pair_id", "node_id", F.posexplode("changes").alias("n", "c"))
+    return rows.select("pair_id", "node_id", "n", "c.sign", "c.line_no", "c.line")
 
 
 def changed_counts(diff: DataFrame) -> DataFrame:

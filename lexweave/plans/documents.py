@@ -109,27 +109,49 @@ def provisions_as_of(src):
     return out.select("order_key", "line_number", "version_number", "node_type", "number", "source_text", "sort_order")
 
 
+# Lines only one side has, with repeats; kept lines of these texts never change their order.
+ORACLE_PARTS["text_changes"] = """
+SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.node_id, b.node_id) AS node_id, a.t AS old_text, b.t AS new_text
+FROM (SELECT c.version_id AS pair_id, w.node_id, w.source_text AS t FROM {chain} c JOIN {wording} w ON c.supersedes = w.version_id) a
+FULL JOIN (SELECT c.version_id AS pair_id, w.node_id, w.source_text AS t FROM {chain} c JOIN {wording} w ON c.version_id = w.version_id WHERE c.supersedes IS NOT NULL) b
+ON a.pair_id = b.pair_id AND a.node_id = b.node_id WHERE a.t IS DISTINCT FROM b.t
+"""
+ORACLE_PARTS["line_counts"] = """
+SELECT pair_id, node_id, line, sum(old) AS old, sum(new) AS new FROM (
+  SELECT pair_id, node_id, unnest(string_split(old_text, chr(10))) AS line, 1 AS old, 0 AS new FROM {text_changes} WHERE old_text IS NOT NULL
+  UNION ALL SELECT pair_id, node_id, unnest(string_split(new_text, chr(10))), 0, 1 FROM {text_changes} WHERE new_text IS NOT NULL) GROUP BY ALL
+"""
+
+
 @query("diff_versions", """
-SELECT pair_id, node_id, old_text, new_text,
-  len(list_filter(string_split(coalesce(old_text, ''), chr(10)), lambda x: NOT list_contains(string_split(coalesce(new_text, ''), chr(10)), x) AND old_text IS NOT NULL)) AS removed,
-  len(list_filter(string_split(coalesce(new_text, ''), chr(10)), lambda x: NOT list_contains(string_split(coalesce(old_text, ''), chr(10)), x) AND new_text IS NOT NULL)) AS added
-FROM (
-  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.node_id, b.node_id) AS node_id, a.t AS old_text, b.t AS new_text
-  FROM (SELECT c.version_id AS pair_id, w.node_id, w.source_text AS t FROM {chain} c JOIN {wording} w ON c.supersedes = w.version_id) a
-  FULL JOIN (SELECT c.version_id AS pair_id, w.node_id, w.source_text AS t FROM {chain} c JOIN {wording} w ON c.version_id = w.version_id WHERE c.supersedes IS NOT NULL) b
-  ON a.pair_id = b.pair_id AND a.node_id = b.node_id)
-WHERE old_text IS DISTINCT FROM new_text""")
+SELECT pair_id, node_id, old_text, new_text, CAST(coalesce(removed, 0) AS INT) AS removed, CAST(coalesce(added, 0) AS INT) AS added FROM {text_changes}
+LEFT JOIN (SELECT pair_id, node_id, sum(greatest(old - new, 0)) AS removed, sum(greatest(new - old, 0)) AS added FROM {line_counts} GROUP BY ALL) USING (pair_id, node_id)""")
 def diff_versions(src):
-    pairs = chain(src).filter("supersedes IS NOT NULL").select(
-        F.col("version_id").alias("pair_id"), F.col("supersedes").alias("base_id"), F.col("version_id").alias("target_id")
-    )
-    out = V.diff_versions(pairs, durable(wording(src).select("version_id", "node_id", "source_text")))
-    return out.select(
+    return text_diff(src).select(
         "pair_id", "node_id", "old_text", "new_text", F.size("removed_lines").alias("removed"),
         F.size("added_lines").alias("added"),
     )
 
 
+def text_diff(src: Source):
+    pairs = chain(src).filter("supersedes IS NOT NULL").select(
+        F.col("version_id").alias("pair_id"), F.col("supersedes").alias("base_id"), F.col("version_id").alias("target_id")
+    )
+    return V.diff_versions(pairs, durable(wording(src).select("version_id", "node_id", "source_text")))
+
+
+@query("line_changes", """
+SELECT pair_id, node_id, CASE WHEN old > new THEN '-' ELSE '+' END AS sign, line, abs(old - new) AS times FROM {line_counts} WHERE old <> new""")
+def line_changes(src):
+    rows = V.line_changes(text_diff(src))
+    return rows.groupBy("pair_id", "node_id", "sign", "line").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("changed_counts", "SELECT pair_id, count(*) AS changed_nodes FROM {text_changes} GROUP BY pair_id")
+def changed_counts(src):
+    return V.changed_counts(text_diff(src))
+
+
 # Amendments: a part is a law with one article, an order line an event on it, in order of shipping.
 inputs.INPUTS["amendment_base"] = """
 SELECT CAST(p_partkey AS STRING) AS law, 'ARTICLE' AS node_type, CAST(p_size % 7 + 1 AS STRING) AS number,
@@ -140,25 +162,42 @@ inputs.INPUTS["amendment_laws"] = """
 SELECT CAST(p_partkey AS STRING) AS law, 1 AS version_number FROM {part}
 """
 inputs.INPUTS["amendment_events"] = """
-SELECT CAST(l_partkey AS STRING) AS law, l_orderkey * 8 + l_linenumber AS event_id,
+SELECT CAST(l_partkey AS STRING) AS law, (l_orderkey * 8 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS event_id,
   CASE WHEN l_quantity = 50 AND l_linenumber = 1 THEN 'REPEAL' WHEN l_quantity = 49 THEN 'ANNOTATE'
        WHEN l_linenumber = 1 THEN 'REPLACE' WHEN l_linenumber = 2 THEN 'INSERT' WHEN l_linenumber = 3 THEN 'DELETE'
        WHEN l_linenumber = 4 THEN 'RENUMBER' WHEN l_linenumber = 5 THEN 'COMMENCE' ELSE 'REPLACE' END AS operation,
   CAST(l_shipdate AS DATE) AS effective_date,
   CASE WHEN l_linenumber = 5 OR l_quantity = 50 THEN NULL ELSE 'ARTICLE' END AS node_type,
-  CASE WHEN l_linenumber = 5 OR l_quantity = 50 THEN NULL ELSE CAST(l_suppkey % 7 + 1 AS STRING) END AS number,
+  CASE WHEN l_linenumber = 5 OR l_quantity = 50 THEN NULL
+    ELSE CAST(l_suppkey % 7 + CASE WHEN l_quantity % 3 = 0 THEN 100 ELSE 1 END AS STRING) END AS number,
   concat('Text ', CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS new_text,
-  CASE WHEN l_linenumber = 4 THEN CAST(l_suppkey % 7 + 100 AS STRING) ELSE NULL END AS renumber_to
+  CASE WHEN l_linenumber = 4 THEN CAST(l_orderkey % 3 + l_suppkey % 5 + CASE WHEN l_tax > 0.04 THEN 100 ELSE 1 END AS STRING) ELSE NULL END AS renumber_to
 FROM {lineitem}
 """
+# Every law replayed event by event: `slots` are its provisions with the number that each has now.
+ORACLE_PARTS["event_order"] = """
+SELECT *, row_number() OVER (PARTITION BY law ORDER BY effective_date, event_id) AS n FROM {amendment_events} WHERE operation <> 'ANNOTATE'
+"""
+ORACLE_PARTS["replayed"] = """
+WITH RECURSIVE run AS (
+  SELECT law, CAST(0 AS BIGINT) AS n, list({'num': number, 'id': number, 'txt': source_text}) AS slots,
+    CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS before FROM {amendment_base} GROUP BY law
+  UNION ALL
+  SELECT law, n,
+    CASE WHEN node_type IS NULL THEN slots
+      WHEN hit IS NULL AND operation = 'INSERT' THEN list_append(slots, {'num': number, 'id': concat('e', event_id), 'txt': new_text})
+      WHEN hit IS NULL THEN slots
+      WHEN operation = 'RENUMBER' THEN list_transform(slots, lambda s: {'num': CASE WHEN s.num = number THEN renumber_to WHEN s.num = renumber_to THEN NULL ELSE s.num END, 'id': s.id, 'txt': s.txt})
+      WHEN operation IN ('INSERT', 'DELETE', 'REPLACE') THEN list_transform(slots, lambda s: {'num': s.num, 'id': s.id,
+        'txt': CASE WHEN s.num IS DISTINCT FROM number THEN s.txt WHEN operation = 'INSERT' THEN new_text WHEN operation = 'REPLACE' AND s.txt IS NOT NULL THEN new_text END})
+      ELSE slots END,
+    event_id, CASE WHEN node_type IS NULL THEN NULL WHEN hit IS NOT NULL THEN hit.id WHEN operation = 'INSERT' THEN concat('e', event_id) END, hit.txt
+  FROM (SELECT e.*, run.slots, list_filter(run.slots, lambda s: s.num = e.number)[1] AS hit FROM run JOIN {event_order} e ON e.law = run.law AND e.n = run.n + 1))
+SELECT * FROM run WHERE n > 0
+"""
 ORACLE_PARTS["event_reasons"] = """
-SELECT e.*, CASE WHEN operation = 'ANNOTATE' THEN 'unknown operation'
-    WHEN node_type IS NOT NULL AND NOT coalesce(b.known, false) AND (i.first_at IS NULL OR i.first_at > (effective_date, event_id))
-      THEN 'provision not found' END AS reason
-FROM {amendment_events} e
-LEFT JOIN (SELECT DISTINCT law, number, true AS known FROM {amendment_base}) b USING (law, number)
-LEFT JOIN (SELECT law, number, min((effective_date, event_id)) AS first_at FROM {amendment_events}
-           WHERE operation = 'INSERT' AND number IS NOT NULL GROUP BY ALL) i USING (law, number)
+SELECT e.*, r.id, r.before, CASE WHEN e.operation = 'ANNOTATE' THEN 'unknown operation' WHEN e.node_type IS NOT NULL AND r.id IS NULL THEN 'provision not found' END AS reason
+FROM {amendment_events} e LEFT JOIN {replayed} r USING (law, event_id)
 """
 ORACLE_PARTS["event_status"] = """
 SELECT r.*, coalesce(reason, CASE WHEN (effective_date, event_id) > repealed THEN 'no current version' END) AS why
@@ -170,46 +209,32 @@ ORACLE_PARTS["versions_made"] = """
 SELECT *, 1 + row_number() OVER w AS version_number, lead(effective_date) OVER w AS next_date
 FROM {event_status} WHERE why IS NULL WINDOW w AS (PARTITION BY law ORDER BY effective_date, event_id)
 """
-ORACLE_PARTS["alive_line"] = """
-SELECT *, last_value(CASE WHEN operation IN ('BASE', 'INSERT') THEN true WHEN operation = 'DELETE' THEN false END IGNORE NULLS)
-  OVER (PARTITION BY law, number ORDER BY effective_date, event_id ROWS UNBOUNDED PRECEDING) AS alive
-FROM (SELECT law, number, operation, effective_date, event_id, new_text FROM {versions_made} WHERE number IS NOT NULL
-  UNION ALL SELECT law, number, 'BASE', DATE '1000-01-01', -1, source_text FROM {amendment_base})
-"""
-ORACLE_PARTS["text_line"] = """
-SELECT *, CASE WHEN marker <> '' THEN substr(marker, 2) END AS text_after FROM (
-SELECT *, last_value(CASE WHEN operation IN ('BASE', 'INSERT') OR (operation = 'REPLACE' AND alive) THEN concat('+', new_text)
-                          WHEN operation = 'DELETE' THEN '' END IGNORE NULLS)
-  OVER (PARTITION BY law, number ORDER BY effective_date, event_id ROWS UNBOUNDED PRECEDING) AS marker
-FROM {alive_line})
-"""
-ORACLE_PARTS["text_steps"] = """
-SELECT *, lag(text_after) OVER (PARTITION BY law, number ORDER BY effective_date, event_id) AS previous_text FROM {text_line}
-"""
 ORACLE_PARTS["amended"] = """
-SELECT v.law, v.version_number, v.event_id, v.operation, v.number, v.renumber_to,
-  strftime(v.effective_date, '%Y-%m-%d') AS effective_from, strftime(v.next_date, '%Y-%m-%d') AS effective_to,
-  CASE WHEN v.operation = 'REPEAL' THEN 'repealed' WHEN v.next_date IS NULL THEN 'current' ELSE 'superseded' END AS status,
-  t.previous_text, t.text_after,
-  coalesce(t.operation IN ('INSERT', 'DELETE') OR (t.operation = 'REPLACE' AND t.alive), false) AS changed
-FROM {versions_made} v LEFT JOIN {text_steps} t ON v.law = t.law AND v.event_id = t.event_id AND t.operation <> 'BASE'
+SELECT law, version_number, event_id, operation, number, renumber_to, id,
+  strftime(effective_date, '%Y-%m-%d') AS effective_from, strftime(next_date, '%Y-%m-%d') AS effective_to,
+  CASE WHEN operation = 'REPEAL' THEN 'repealed' WHEN next_date IS NULL THEN 'current' ELSE 'superseded' END AS status,
+  before AS previous_text, CASE WHEN id IS NULL OR operation = 'DELETE' THEN NULL WHEN operation = 'INSERT' OR (operation = 'REPLACE' AND before IS NOT NULL) THEN new_text
+    ELSE before END AS text_after,
+  id IS NOT NULL AND (operation IN ('INSERT', 'DELETE') OR (operation = 'REPLACE' AND before IS NOT NULL)) AS changed
+FROM {versions_made}
 """
 
 
-@query("apply_amendments", "SELECT * FROM {amended}")
+@query("apply_amendments", "SELECT law, version_number, event_id, operation, number, renumber_to, effective_from, effective_to, status, previous_text, text_after, changed FROM {amended}")
 def apply_amendments(src):
     out = V.apply_amendments(src.amendment_laws, src.amendment_base, src.amendment_events)
-    return out.drop("node_type", "new_text").withColumn("effective_from", day("effective_from")).withColumn(
+    return out.drop("node_type", "new_text", "identity").withColumn("effective_from", day("effective_from")).withColumn(
         "effective_to", day("effective_to")
     )
 
 
 @query("amended_wording", """
 SELECT law, number, from_version, coalesce(to_version, -1) AS to_version, text FROM (
-  SELECT *, lead(from_version) OVER (PARTITION BY law, number ORDER BY from_version) AS to_version FROM (
-    SELECT law, number, version_number AS from_version, text_after AS text, operation FROM {amended} WHERE changed
-    UNION ALL SELECT law, number, 1, source_text, 'BASE' FROM {amendment_base}))
-WHERE operation <> 'DELETE'""")
+  SELECT *, lead(from_version) OVER (PARTITION BY law, id ORDER BY from_version) AS to_version FROM (
+    SELECT law, CASE WHEN operation = 'RENUMBER' THEN renumber_to ELSE number END AS number, id, version_number AS from_version, text_after AS text
+    FROM {amended} WHERE changed OR (operation = 'RENUMBER' AND id IS NOT NULL AND renumber_to <> number)
+    UNION ALL SELECT law, number, number, 1, source_text FROM {amendment_base}))
+WHERE text IS NOT NULL""")
 def amended_wording(src):
     made = V.apply_amendments(src.amendment_laws, src.amendment_base, src.amendment_events)
     out = V.amended_wording(src.amendment_laws, src.amendment_base, made)

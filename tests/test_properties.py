@@ -75,35 +75,107 @@ def test_version_intervals_never_overlap(spark):
         assert mine[-1].effective_to is None and mine[-1].status == "current"
 
 
+EVENT = "law string, event_id long, operation string, effective_date date, node_type string, number string, new_text string, renumber_to string"
+
+
+def amended(spark, base, events):
+    laws = spark.createDataFrame(sorted({(b[0], 1) for b in base}), ["law", "version_number"])
+    wording = spark.createDataFrame(base, ["law", "node_type", "number", "source_text"])
+    rows = spark.createDataFrame(events, EVENT)
+    made = X.apply_amendments(laws, wording, rows)
+    return made.collect(), X.amended_wording(laws, wording, made).collect(), X.number_amendments(rows, laws, wording)[1].collect()
+
+
 def test_amendments_one_by_one(spark):
+    """Random events, renumberings onto free, taken and left numbers among them, against a replay of one law at a time."""
     rng = random.Random(5)
-    base = [("L", "ARTICLE", str(n), f"base {n}") for n in range(4)]
-    ops = ["REPLACE", "DELETE", "INSERT", "RENUMBER", "COMMENCE"]
+    base = [(law, "ARTICLE", str(n), f"base {n}") for law in "LM" for n in range(4)]
+    ops = ["REPLACE", "DELETE", "INSERT", "RENUMBER", "RENUMBER", "COMMENCE"]
     events = []
-    for i in range(120):
+    for i in range(240):
         op = rng.choice(ops)
-        events.append(("L", i, op, dt.date(2001, 1, 1) + dt.timedelta(days=i), None if op == "COMMENCE" else "ARTICLE",
-                       None if op == "COMMENCE" else str(rng.randrange(7)), f"text {i}", None))
-    made = X.apply_amendments(
-        spark.createDataFrame([("L", 1)], ["law", "version_number"]), spark.createDataFrame(base, ["law", "node_type", "number", "source_text"]),
-        spark.createDataFrame(events, "law string, event_id long, operation string, effective_date date, node_type string, number string, new_text string, renumber_to string"),
-    ).collect()
+        node = (None, None) if op == "COMMENCE" else ("ARTICLE", str(rng.randrange(7)))
+        events.append((rng.choice("LM"), i, op, dt.date(2001, 1, 1) + dt.timedelta(days=i // 2), *node, f"text {i}", str(rng.randrange(9)) if op == "RENUMBER" else None))
+    made, ranges, refused = amended(spark, base, events)
     got = {r.event_id: (r.version_number, r.previous_text, r.text_after) for r in made}
-    state, known, version, want = {n: t for _, _, n, t in base}, {n for _, _, n, _ in base}, 1, {}
-    for _, i, op, _, kind, n, text, _ in events:
-        if kind and n not in known and op != "INSERT":
-            continue
-        version += 1
-        before = state.get(n)
-        if op == "INSERT":
-            known.add(n)
-            state[n] = text
-        elif op == "DELETE":
-            state.pop(n, None)
-        elif op == "REPLACE" and n in state:
-            state[n] = text
-        want[i] = (version, before, state.get(n))
+    want, spans, missing = {}, set(), set()
+    for law in "LM":
+        at, text, version = {}, {}, 1
+        open_: dict = {}
+
+        def say(who, number, now, law=law, open_=open_, text=text):
+            if who in open_:
+                spans.add((law, *open_.pop(who), now))
+            if text[who] is not None:
+                open_[who] = (number, text[who], now)
+
+        for _, _, n, t in (b for b in base if b[0] == law):
+            at[n], text[n] = n, t
+            say(n, n, 1)
+        for _, i, op, _, kind, n, new, to in (e for e in events if e[0] == law):
+            who = at.get(n)
+            if kind and who is None and op != "INSERT":
+                missing.add(i)
+                continue
+            version += 1
+            if who is None and op == "INSERT":
+                who = at[n] = f"e{i}"
+                text[who] = None
+            before = text.get(who)
+            if op == "INSERT" or (op == "REPLACE" and before is not None):
+                text[who] = new
+                say(who, n, version)
+            elif op == "DELETE":
+                text[who] = None
+                say(who, n, version)
+            elif op == "RENUMBER" and to != n:
+                del at[n]
+                at[to] = who
+                say(who, to, version)
+            want[i] = (version, before, text.get(who))
+        spans |= {(law, number, t, since, None) for number, t, since in open_.values()}
     assert got == want
+    assert {r.event_id for r in refused} == missing and missing
+    assert {(r.law, r.number, r.text, r.from_version, r.to_version) for r in ranges} == {(a, n, t, s, e) for a, n, t, s, e in spans}
+
+
+def test_renumbered_provision_is_found(spark):
+    base = [("L", "ARTICLE", "5", "old")]
+    days = [dt.date(2020, 1, 1), dt.date(2021, 1, 1)]
+    made, ranges, refused = amended(spark, base, [
+        ("L", 1, "RENUMBER", days[0], "ARTICLE", "5", None, "50"), ("L", 2, "REPLACE", days[1], "ARTICLE", "50", "new", None)])
+    assert refused == [] and {(r.from_version, r.number, r.text, r.to_version) for r in ranges} == {(1, "5", "old", 2), (2, "50", "old", 3), (3, "50", "new", None)}
+
+
+def test_line_differences(spark):
+    from lexweave.functions import lines
+
+    rng = random.Random(21)
+    for _ in range(400):
+        a, b = (rng.choices("abcde", k=rng.randrange(0, 14)) for _ in range(2))
+        gone, come = lines.changed_lines(a, b)
+        assert [x for i, x in enumerate(a) if i not in gone] == [x for i, x in enumerate(b) if i not in come]
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+        assert len(gone) == len(a) - longest[-1][-1] and len(come) == len(b) - longest[-1][-1]
+        # The hunks in order turn the old lines into the new ones.
+        out, at = [], 0
+        for c in lines.hunks(a, b):
+            keep = (c["line_no"] - at) if c["sign"] == "-" else (c["line_no"] - len(out))
+            out += a[at : at + keep]
+            at += keep
+            if c["sign"] == "-":
+                at += 1
+            else:
+                out.append(c["line"])
+        assert out + a[at:] == b
+    texts = spark.createDataFrame([("1", "n", "x\nx\ny"), ("2", "n", "x\ny"), ("1", "m", "only\nold"), ("2", "k", None)], "version_id string, node_id string, source_text string")
+    pairs = spark.createDataFrame([("p", "1", "2")], ["pair_id", "base_id", "target_id"])
+    diff = X.diff_versions(pairs, texts)
+    assert {(r.node_id, tuple(r.removed_lines), tuple(r.added_lines)) for r in diff.collect()} == {("n", ("x",), ()), ("m", ("only", "old"), ())}
+    assert sorted((r.node_id, r.sign, r.line) for r in X.line_changes(diff).collect()) == [("m", "-", "old"), ("m", "-", "only"), ("n", "-", "x")]
 
 
 def fold(s):
