@@ -330,10 +330,12 @@ def grounded_answer(
     ))
 
 
-def grounded_research(queries: DataFrame, entries: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
+def grounded_research(
+    queries: DataFrame, entries: DataFrame, facts: DataFrame, k: int = 10, index: DataFrame | None = None
+) -> DataFrame:
     """Per query: supported, the answer quoting the top hit, the check of its citation, and numbers of authorities and
     accepted facts. `facts` holds query_id, status."""
-    hits = search(queries, entries, k)
+    hits = search(queries, entries, k, index=index)
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("authorities"))
     detail = entries.select("canonical_ref", "kind", "title", F.substring(F.coalesce("body", F.lit("")), 1, 400).alias("_quote"))
     top = hits.filter("rank = 1").select("query_id", "canonical_ref", "kind").join(detail, ["canonical_ref", "kind"])

@@ -146,6 +146,13 @@ def judgment_segments(paragraphs: DataFrame, current: DataFrame, key: str) -> Da
     return paragraphs.join(current.select(key).distinct(), key, "left_semi")
 
 
+def judgment_sections(paragraphs: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """The sections of the current judgments, each with its paragraphs in order as an array of (para_number, text)."""
+    rows = judgment_segments(paragraphs, current, key)
+    listed = F.array_sort(F.collect_list(F.struct("para_number", "text"))).alias("paragraphs")
+    return rows.groupBy(key, "section_no", "section_type").agg(listed)
+
+
 def extractive_summary(paragraphs: DataFrame, cases: DataFrame, key: str, limit: int = 3) -> DataFrame:
     """Up to three paragraphs of three or more words from the holding, then analysis, then order section.
 

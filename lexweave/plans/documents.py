@@ -298,16 +298,24 @@ def judgment_versions(src):
     return out.select("judgment", "doc_id", "version_number", "supersedes", "status")
 
 
-@query("judgment_segments", """
-SELECT case_id, section_no, section_type, para_number, text FROM {paragraphs}
-WHERE case_id IN (SELECT case_id FROM {judgments} WHERE court <> 'NATION_3')""")
+@query("judgment_segments", "SELECT case_id, section_no, section_type, para_number, text FROM {paragraphs}")
 def judgment_segments(src):
-    current = src.judgments.filter("court <> 'NATION_3'")
-    return S.judgment_segments(paragraphs(src), current, "case_id").select(
+    return S.judgment_segments(paragraphs(src), src.judgments, "case_id").select(
         "case_id", "section_no", "section_type", "para_number", "text"
     )
 
 
+@query("judgment_sections", """
+SELECT case_id, section_no, section_type, count(*) AS n_paragraphs, string_agg(concat(para_number, ':', text), '|' ORDER BY para_number) AS paragraphs
+FROM {paragraphs} GROUP BY ALL""")
+def judgment_sections(src):
+    out = S.judgment_sections(paragraphs(src), src.judgments, "case_id")
+    numbered = F.transform("paragraphs", lambda p: F.concat_ws(":", p["para_number"].cast("string"), p["text"]))
+    return out.select(
+        "case_id", "section_no", "section_type", F.size("paragraphs").cast("bigint").alias("n_paragraphs"), F.array_join(numbered, "|").alias("paragraphs")
+    )
+
+
 @query("extractive_summary", r"""
 SELECT j.case_id, coalesce(s.rank, 1) AS rank, coalesce(s.section_type, 'holding') AS section,
   CAST(s.para_number AS STRING) AS para_number, coalesce(s.text, '(no extractive holding text available)') AS text

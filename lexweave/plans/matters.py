@@ -8,7 +8,7 @@ from ..scale import spread
 from ..session import durable
 from .base import INPUTS, ORACLE_PARTS, Source, query
 from .documents import chain, day, paragraphs, wording
-from .search import aliases, hybrid
+from .search import aliases, hybrid, index_of
 
 INPUTS["matter_texts"] = """
 SELECT o_orderkey AS document_id, o_custkey AS matter_id,
@@ -301,15 +301,22 @@ def grounded_answer(src):
 INPUTS["research_facts"] = "SELECT doc_id % 40 AS query_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'proposed' END AS status FROM {labels}"
 
 
+ORACLE_PARTS["research_top"] = """
+SELECT query_id, count(*) AS n, min_by(canonical_ref, (-score, canonical_ref)) AS canonical_ref FROM (
+  SELECT query_id, canonical_ref, score FROM {found}
+  UNION ALL SELECT l.query_id, l.canonical_ref, l.score FROM {question_lexical} l LEFT JOIN (SELECT DISTINCT query_id, canonical_ref, true AS exact FROM {found}) f
+    ON f.query_id = l.query_id AND f.canonical_ref = l.canonical_ref WHERE f.exact IS NULL)
+GROUP BY query_id
+"""
+
+
 @query("grounded_research", """
 SELECT q.query_id, t.canonical_ref IS NOT NULL AS supported, CASE WHEN t.canonical_ref IS NULL THEN 'No sufficiently supported authority was found for this question in the curated public corpus.'
     ELSE concat('Based on the retrieved authority ''', e.title, ''' (', t.canonical_ref, '), the supporting text states: ', substr(e.body, 1, 400)) END AS answer,
   t.canonical_ref IS NOT NULL AND coalesce(n, 0) > 0 AS has_authorities, coalesce(f.n_facts, 0) AS accepted_facts
-FROM {questions} q LEFT JOIN (SELECT query_id, count(*) AS n, min_by(canonical_ref, (-score, canonical_ref)) AS canonical_ref FROM (
-    SELECT query_id, canonical_ref, score FROM {found} UNION ALL SELECT query_id, canonical_ref, score FROM {question_lexical}
-    WHERE (query_id, canonical_ref) NOT IN (SELECT query_id, canonical_ref FROM {found})) GROUP BY query_id) t USING (query_id)
+FROM {questions} q LEFT JOIN {research_top} t USING (query_id)
 LEFT JOIN {entries} e ON e.canonical_ref = t.canonical_ref
 LEFT JOIN (SELECT query_id, count(*) AS n_facts FROM {research_facts} WHERE status = 'accepted' GROUP BY ALL) f USING (query_id)""")
 def grounded_research(src):
-    out = M.grounded_research(src.questions, src.entries, src.research_facts, 10)
+    out = M.grounded_research(src.questions, src.entries, src.research_facts, 10, index_of(src, "entries"))
     return out.select("query_id", "supported", "answer", (F.col("authorities") > 0).alias("has_authorities"), "accepted_facts")

@@ -19,11 +19,11 @@ FROM {documents}
 """
 # Questions on laws and judgments, four kinds.
 INPUTS["questions"] = """
-SELECT item_id AS query_id, CASE CAST(item_id % 4 AS INT)
-  WHEN 0 THEN concat('Article ', CAST(item_id * 3 % 40 + 1 AS STRING), ' of Law ', CAST(item_id * 3 AS STRING), ' in force on 15/06/1998')
-  WHEN 1 THEN concat('duty under Law ', CAST(item_id AS STRING), ' and ECLI:CY:AD:2019:A', CAST(item_id AS STRING), ' on 1 March 2000')
-  WHEN 2 THEN concat('second party shall pay in case ', CAST(item_id AS STRING), '/2019 ', text)
-  ELSE concat('Ρύθμιση P see Article ', CAST(item_id % 40 + 1 AS STRING)) END AS query
+SELECT item_id AS query_id, concat(CASE CAST(item_id % 4 AS INT)
+  WHEN 0 THEN concat('Article ', CAST(item_id * 3 % 40 + 1 AS STRING), ' of Law ', CAST(item_id * 3 AS STRING), ' in force on 15/06/1998 ')
+  WHEN 1 THEN concat('duty under Law ', CAST(item_id AS STRING), ' and ECLI:CY:AD:2019:A', CAST(item_id AS STRING), ' on 1 March 2000 ')
+  WHEN 2 THEN concat('second party shall pay in case ', CAST(item_id AS STRING), '/2019 ')
+  ELSE concat('Ρύθμιση P see Article ', CAST(item_id % 40 + 1 AS STRING), ' ') END, text) AS query
 FROM {benchmark}
 """
 INPUTS["chunk_vectors"] = """
@@ -111,9 +111,10 @@ SELECT 2, kind, canonical_ref, canonical_id, concat(title, ' (amended)'), concat
 
 
 @query("search_projection", """
-SELECT a.kind, a.canonical_ref, a.canonical_id, b.title, b.body, b.language, coalesce(nullif(b.ref_law, ''), nullif(a.ref_law, '')) AS ref_law,
-  a.ref_article, a.ecli, coalesce(b.case_number, a.case_number) AS case_number, a.court
-FROM {entry_batches} a JOIN {entry_batches} b USING (kind, canonical_ref) WHERE a.batch = 1 AND b.batch = 2""")
+SELECT kind, canonical_ref, max_by(canonical_id, batch) AS canonical_id, max_by(title, batch) AS title, max_by(body, batch) AS body, max_by(language, batch) AS language,
+  max_by(ref_law, batch) FILTER (ref_law <> '') AS ref_law, max_by(ref_article, batch) FILTER (ref_article <> '') AS ref_article,
+  max_by(ecli, batch) FILTER (ecli <> '') AS ecli, max_by(case_number, batch) FILTER (case_number <> '') AS case_number, max_by(court, batch) FILTER (court <> '') AS court
+FROM {entry_batches} GROUP BY kind, canonical_ref""")
 def search_projection(src):
     return R.search_projection(src.entry_batches, ["batch"])
 
@@ -273,7 +274,8 @@ def graph_expand(src):
 
 # Lists to fuse: each order line puts its part on the list of its flag for the supplier's query.
 INPUTS["ranked_lists"] = """
-SELECT CAST(l_suppkey AS BIGINT) AS query_id, l_returnflag AS list_name, concat('judgment-', CAST(l_partkey AS STRING)) AS canonical_ref,
+SELECT CAST(l_suppkey AS BIGINT) AS query_id, l_returnflag AS list_name,
+  concat('judgment-', CASE WHEN l_partkey % 11 = 0 THEN 'none-' ELSE '' END, CAST(l_partkey AS STRING)) AS canonical_ref,
   CAST(l_orderkey % 97 + 1 AS BIGINT) AS rank FROM {lineitem}
 """
 INPUTS["fuse_exact"] = """
@@ -281,7 +283,7 @@ SELECT CAST(s_suppkey AS BIGINT) AS query_id, concat('judgment-', CAST(s_suppkey
 """
 INPUTS["part_entries"] = """
 SELECT 'judgment_node' AS kind, concat('judgment-', CAST(p_partkey AS STRING)) AS canonical_ref, p_name AS title, p_type AS body, 'en' AS language
-FROM {part} WHERE p_partkey % 11 <> 0
+FROM {part}
 """
 ORACLE_PARTS["fused_parts"] = """
 SELECT query_id, canonical_ref, sum(1.0 / (60 + rank)) AS rrf FROM {ranked_lists} GROUP BY ALL
@@ -395,7 +397,7 @@ SELECT query_id, canonical_ref, sum(1.0 / (60 + rank)) AS rrf FROM (
   UNION ALL SELECT query_id, canonical_ref, rank FROM {tree} UNION ALL SELECT query_id, canonical_ref, rank FROM {graph}) GROUP BY ALL
 """
 ORACLE_PARTS["question_dates"] = """
-SELECT query_id, CASE query_id % 4 WHEN 0 THEN DATE '1998-06-15' WHEN 1 THEN DATE '2000-03-01' WHEN 2 THEN
+SELECT query_id, CASE query_id % 4 WHEN 0 THEN DATE '1998-06-15' WHEN 1 THEN DATE '2000-03-01' ELSE
   CASE WHEN regexp_matches(query, '\\b(20\\d{2})\\b') THEN make_date(CAST(regexp_extract(query, '\\b(20\\d{2})\\b', 1) AS INT), 6, 1) END END AS query_date FROM {questions}
 """
 ORACLE_PARTS["hybrid"] = """
@@ -427,15 +429,17 @@ def hybrid_search(src):
     )
 
 
-# Private items: documents belong to an organisation; a query is two words of one of its documents.
+# Private items: documents belong to an organisation; a query is a benchmark text asked by each of three.
 INPUTS["private_items"] = """
-SELECT doc_id % 10 AS org_id, doc_id AS item_id, source AS title, text AS body FROM {documents}
+SELECT doc_id % 3 AS org_id, doc_id AS item_id, source AS title, text AS body FROM {documents}
 """
 INPUTS["private_queries"] = """
-SELECT item_id AS query_id, item_id % 10 AS org_id, CASE WHEN item_id % 2 = 0 THEN 'The, en' ELSE 'de LA' END AS query FROM {benchmark}
+SELECT item_id * 10 + org AS query_id, org AS org_id, text AS query FROM {benchmark} CROSS JOIN (SELECT 0 AS org UNION ALL SELECT 1 UNION ALL SELECT 2)
+"""
+ORACLE_PARTS["private_terms"] = f"""
+SELECT query_id, org_id, terms, unnest(terms) AS term FROM (SELECT query_id, org_id, list_distinct(list_filter(regexp_split_to_array(
+  translate(array_to_string(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda t: t <> '')[1:8], ' '), {FOLD}), {FOLD_SPLIT}), lambda t: t <> '')) AS terms FROM {{private_queries}})
 """
-
-
 ORACLE_PARTS["private_tf"] = f"""
 SELECT org_id, item_id, title, term, count(*) AS n FROM (
   SELECT org_id, item_id, title, unnest(regexp_split_to_array(translate(lower(body), {FOLD}), {FOLD_SPLIT})) AS term FROM {{private_items}}) GROUP BY ALL
@@ -443,11 +447,9 @@ SELECT org_id, item_id, title, term, count(*) AS n FROM (
 
 
 @query("private_search", """
-SELECT q.query_id, q.org_id, a.item_id, a.title, round((a.n + b.n) * 0.1, 6) AS score,
-  row_number() OVER (PARTITION BY q.query_id ORDER BY a.n + b.n DESC, a.item_id) AS rank, true AS internal, false AS primary_authority
-FROM {private_queries} q JOIN {private_tf} a ON a.org_id = q.org_id AND a.term = CASE WHEN q.query_id % 2 = 0 THEN 'the' ELSE 'de' END
-JOIN {private_tf} b ON b.org_id = q.org_id AND b.item_id = a.item_id AND b.term = CASE WHEN q.query_id % 2 = 0 THEN 'en' ELSE 'la' END
-QUALIFY rank <= 10""")
+SELECT query_id, org_id, item_id, title, round(n * 0.1, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, item_id) AS rank, true AS internal, false AS primary_authority
+FROM (SELECT query_id, q.org_id, item_id, title, sum(n) AS n FROM {private_terms} q JOIN {private_tf} t ON t.org_id = q.org_id AND t.term = q.term
+  GROUP BY query_id, q.org_id, item_id, title, len(terms) HAVING count(*) = len(terms)) QUALIFY rank <= 10""")
 def private_search(src):
     return R.private_search(src.private_queries, spread(src.private_items), 10)
 
