@@ -1,7 +1,8 @@
 """Streaming forms of ingest, follow alerts, metering and idempotent requests.
 
-State is bounded by a watermark. A repeat later than the watermark is stopped by the anti-join against the stored
-rows inside `foreachBatch`. Every batch writes its own folder in overwrite mode, so a replayed batch changes nothing.
+What has been seen lies in Spark's state store, one key per content or request, on RocksDB: a batch reads its own rows
+and the state of their keys, never what earlier batches wrote. Running counts are bounded by a watermark. Every
+batch writes its own folder in overwrite mode, and a replayed batch starts from the state before it, so it changes nothing.
 """
 
 from __future__ import annotations
@@ -17,39 +18,39 @@ from ..operators import matter as M
 from ..sources import records as R
 
 
-def table_stream(spark: SparkSession, folder: str, file_name: str, schema: StructType) -> DataFrame:
-    """Files of one name pattern in a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
+#: The state store that keeps its keys on disk.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def new_contents(stream: DataFrame, at: str, delay: str) -> DataFrame:
-    """Arrivals (source, record_id, payload) without repeats of a content inside the watermark."""
-    hashed = stream.withColumn("content_hash", T.sha256("payload"))
-    return hashed.withWatermark(at, delay).dropDuplicatesWithinWatermark(["source", "record_id", "content_hash"])
+def table_stream(spark: SparkSession, folder: str, file_name: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Files of one name pattern in a folder as a stream, so many a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_name)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
-def _batches_before(spark: SparkSession, store: str, batch_id: int, schema: StructType) -> DataFrame:
-    stored = spark.read.schema(schema.add("batch", "long")).option("ignoreMissingFiles", "true")
-    return stored.parquet(store).filter(F.col("batch") < batch_id) if batch_id > 0 else spark.createDataFrame([], schema)
+def new_contents(stream: DataFrame) -> DataFrame:
+    """Arrivals (source, record_id, payload) whose content has not come before for the record."""
+    return stream.withColumn("content_hash", T.sha256("payload")).dropDuplicates(["source", "record_id", "content_hash"])
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(each).start()
     )
 
 
-def ingest_stream(stream: DataFrame, store: str, checkpoint: str, at: str = "ts", delay: str = "1 hour") -> StreamingQuery:
+def ingest_stream(stream: DataFrame, store: str, checkpoint: str, at: str = "ts") -> StreamingQuery:
     """Append snapshots not yet stored to `store`, one folder per batch."""
     keys = StructType().add("source", "string").add("record_id", "string").add("content_hash", "string")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        existing = _batches_before(batch.sparkSession, store, batch_id, keys)
-        fresh = R.snapshot(batch.withColumnRenamed(at, "arrival").drop("content_hash"), existing)
+        nothing = batch.sparkSession.createDataFrame([], keys)
+        fresh = R.snapshot(batch.withColumnRenamed(at, "arrival").drop("content_hash"), nothing)
         fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    return _start(new_contents(stream, at, delay), each, checkpoint, "append")
+    return _start(new_contents(stream), each, checkpoint, "append")
 
 
 def follow_alert_stream(items: DataFrame, follows: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
@@ -81,14 +82,10 @@ def current_usage(spark: SparkSession, store: str) -> DataFrame:
     return rows.groupBy("day", "org_id", "key").agg(F.max_by("used", "batch").alias("used"))
 
 
-def first_request_stream(requests: DataFrame, store: str, checkpoint: str, at: str = "ts", delay: str = "1 hour") -> StreamingQuery:
-    """First request of every (org, idempotency key); replays are dropped."""
-    keys = StructType().add("org_id", "long").add("idempotency_key", "string")
-    once = requests.withWatermark(at, delay).dropDuplicatesWithinWatermark(["org_id", "idempotency_key"])
+def first_request_stream(requests: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """First request of every (org, idempotency key); replays are dropped, however late they come."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        seen = _batches_before(batch.sparkSession, store, batch_id, keys)
-        fresh = batch.join(seen.select("org_id", "idempotency_key"), ["org_id", "idempotency_key"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    return _start(once, each, checkpoint, "append")
+    return _start(requests.dropDuplicates(["org_id", "idempotency_key"]), each, checkpoint, "append")
