@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, scan, text as T
 from ..scale import first_per_key
+from ..session import durable
 
 
 def reference_mentions(df: DataFrame, text: str) -> DataFrame:
@@ -127,18 +128,45 @@ def case_aliases(judgments: DataFrame) -> DataFrame:
     return judgments.select(F.explode(F.array_distinct(names)).alias("alias"), "canonical_id")
 
 
-def expand_cases(keys: DataFrame, citations: DataFrame, treatments: DataFrame, links: DataFrame) -> DataFrame:
+def alias_classes(aliases: DataFrame) -> DataFrame:
+    """(name, case_class): all names of a case, also where alias rows chain, under the least of them.
+
+    `aliases` holds alias, canonical_id; either may stand as the other in a further row. Every name takes the least
+    label around it, then the label of its label, until nothing changes: chains halve with each round.
+    """
+    pairs = aliases.select(F.col("alias").alias("a"), F.col("canonical_id").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    edges = durable(pairs.union(pairs.select("b", "a")).distinct())
+    labels = durable(edges.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    while True:
+        around = edges.join(labels.withColumnsRenamed({"name": "b", "label": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
+        lower = labels.join(around, F.col("name") == F.col("a")).select("name", "label", F.least("label", "near").alias("low"))
+        further = labels.withColumnsRenamed({"name": "low", "label": "lowest"})
+        moved = durable(lower.join(further, "low").select("name", F.least("low", "lowest").alias("label"), F.col("label").alias("before")))
+        labels = moved.select("name", "label")
+        if moved.filter("label <> before").isEmpty():
+            return labels.withColumnRenamed("label", "case_class")
+
+
+def expand_cases(
+    keys: DataFrame, citations: DataFrame, treatments: DataFrame, links: DataFrame, aliases: DataFrame | None = None
+) -> DataFrame:
     """Everything around each case as rows: relation, other key, label, jurisdiction, review status.
 
     Relations: cited, citing, treatment, legislation_link. A much-cited case yields many rows,
-    never one collected group. A null key expands to nothing.
+    never one collected group. A null key expands to nothing. With `aliases` (alias, canonical_id) a case is
+    asked for by any of its names and has the edges of all of them.
     """
-    wanted = keys.select(F.col("case_key").alias("_key")).distinct().filter("_key IS NOT NULL")
+    wanted = keys.select(F.col("case_key").alias("_asked"), F.col("case_key").alias("_key")).distinct().filter("_key IS NOT NULL")
+    if aliases is not None:
+        classes = durable(alias_classes(aliases))
+        others = wanted.join(classes, F.col("_asked") == F.col("name")).select("_asked", "case_class")
+        others = others.join(classes, "case_class").select("_asked", F.col("name").alias("_key"))
+        wanted = wanted.union(others).distinct()
     none = F.lit(None).cast("string")
 
     def side(edges: DataFrame, on: str, relation: str, other: Column, label: str, jurisdiction: Column, status: Column):
         return edges.join(wanted, F.col(on) == F.col("_key")).select(
-            F.col(on).alias("case_key"), F.lit(relation).alias("relation"), other.alias("other_key"),
+            F.col("_asked").alias("case_key"), F.lit(relation).alias("relation"), other.alias("other_key"),
             F.col(label).alias("label"), jurisdiction.alias("jurisdiction"), status.alias("review_status"),
         )
 

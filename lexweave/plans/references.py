@@ -174,6 +174,31 @@ def expand_cases(src):
     return G.expand_cases(src.case_keys, src.case_citations, G.normalize_treatments(src.raw_treatments), src.law_links)
 
 
+# Three names a case in a chain of two rows; every tenth case is also known under a name of the next one.
+INPUTS["case_names"] = """
+SELECT concat('ecli-', CAST(p_partkey AS STRING)) AS alias, concat('judgment-', CAST(p_partkey AS STRING)) AS canonical_id FROM {part}
+UNION ALL SELECT concat('no-', CAST(p_partkey AS STRING)), concat('ecli-', CAST(p_partkey AS STRING)) FROM {part}
+UNION ALL SELECT concat('no-', CAST(p_partkey AS STRING)), concat('ecli-', CAST(p_partkey + 1 AS STRING)) FROM {part} WHERE p_partkey % 10 = 0
+"""
+INPUTS["named_cases"] = "SELECT concat('no-', CAST(p_partkey AS STRING)) AS case_key FROM {part}"
+ORACLE_PARTS["same_case"] = """
+SELECT concat('no-', CAST(a.p_partkey AS STRING)) AS case_key, concat('judgment-', CAST(b.p AS STRING)) AS name FROM {part} a
+JOIN (SELECT p_partkey AS p, p_partkey - CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END AS c FROM {part}
+      UNION SELECT p_partkey + 1, p_partkey FROM {part} WHERE p_partkey % 10 = 0) b ON b.c = a.p_partkey - CASE WHEN a.p_partkey % 10 = 1 THEN 1 ELSE 0 END
+"""
+
+
+@query("expand_cases_by_name", """
+SELECT case_key, relation, count(*) AS n, count(DISTINCT other_key) AS others FROM (
+  SELECT case_key, 'cited' AS relation, target_key AS other_key FROM {same_case} JOIN {case_citations} ON source_key = name
+  UNION ALL SELECT case_key, 'citing', source_key FROM {same_case} JOIN {case_citations} ON target_key = name
+  UNION ALL SELECT case_key, 'treatment', target_key FROM {same_case} JOIN {treatments} ON source_key = name
+  UNION ALL SELECT case_key, 'legislation_link', provision_key FROM {same_case} JOIN {law_links} ON judgment_key = name) GROUP BY ALL""")
+def expand_cases_by_name(src):
+    out = G.expand_cases(src.named_cases, src.case_citations, G.normalize_treatments(src.raw_treatments), src.law_links, src.case_names)
+    return out.groupBy("case_key", "relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("other_key").alias("others"))
+
+
 @query("expand_provisions", """
 SELECT source_key AS provision_key, 'references_out' AS relation, target_key AS other_key, relationship AS label FROM {provision_refs}
 WHERE source_key IN (SELECT provision_key FROM {provision_keys})

@@ -277,3 +277,24 @@ def test_spans_brute_force(spark):
     assert len(names) == len(set(names)) > 100
     days = sorted((r.i, r.char_start) for r in M.extract_events(df, "t").collect() if r.event_date)
     assert days == sorted((i, m.start()) for i, t in enumerate(texts) for m in regex.finditer(fixed.SLASH_DATE, t, regex.U) if m.group() == "1/2/2020")
+
+
+def test_alias_classes(spark):
+    """Names that chain in any direction are one case; a chain of 200 rows too."""
+    from lexweave.operators import graph as G
+
+    rng = random.Random(41)
+    rows = [(f"a{rng.randrange(120)}", f"a{rng.randrange(120)}") for _ in range(70)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)] + [(None, "a1"), ("a2", None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        if a and b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.name: r.case_class for r in G.alias_classes(spark.createDataFrame(rows, "alias string, canonical_id string")).collect()}
+    assert got == {x: find(x) for x in root}
