@@ -283,6 +283,14 @@ class _Held:
         return out
 
 
+def _met(rows: list[tuple[int, int, np.ndarray]], out: list[tuple[int, int]], threshold: float) -> tuple[_Held, list[tuple[int, int]]]:
+    """The index of `rows`, and `out` with the links among them."""
+    held = _Held(rows, {})
+    for row in rows:
+        out += held.links(*row, threshold)
+    return held, out
+
+
 def _settle(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Links between components; rows (bucket, chunk, side, unit, component, shingles) by the first three, side 0 is held."""
     key: tuple[int, int] | None = None
@@ -296,15 +304,20 @@ def _settle(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         for r, (bucket, chunk, side, unit, part) in enumerate(zip(*plain, strict=True)):
             shingles = values[ends[r] : ends[r + 1]]
             if key != (bucket, chunk):
+                # Units may be held that none has passed by.
+                out = _met(rows, out, threshold)[1] if rows else out
                 key, rows, held = (bucket, chunk), [], None
             if side == 0:
                 rows.append((unit, part, shingles.copy()))
                 continue
-            if held is None and rows:
-                held, rows = _Held(rows, {}), []
-            if held is None:
-                continue
-            out += held.links(unit, part, shingles, threshold)
+            if rows:
+                held, out = _met(rows, out, threshold)
+                rows = []
+            if held is not None:
+                out += held.links(unit, part, shingles, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+    if rows:
+        out = _met(rows, [], threshold)[1]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
@@ -333,15 +346,16 @@ def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], fol
     parts = connected_components(verified)
     held = members.where("size > 2").join(parts, members["unit"] == parts["node"], "left")
     held = held.select("bucket", "unit", F.coalesce("component", "unit").alias("c"))
-    held = held.join(sets.select(F.col("unit").alias("u"), F.size("shingles").alias("many")), F.col("unit") == F.col("u")).drop("u")
-    sizes = held.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("many").alias("many"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("many").alias("all"),
-                                        F.max_by("many", F.struct("n", "c")).alias("most"))
-    chunks = F.ceil((F.col("all") - F.col("most")) / room).cast("int").alias("chunks")
-    held = durable(held.join(mixed.where("parts > 1").select("bucket", "main", chunks), "bucket"))
-    few = held.where("c != main").select("bucket", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("side"), "unit", "c")
-    every = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"), "unit", "c")
-    settled = few.union(every).join(side("unit", "shingles"), "unit").select("bucket", "chunk", "side", "unit", "c", "shingles")
+    sizes = held.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"))
+    held = durable(held.join(mixed.where("parts > 1").select("bucket", "main"), "bucket"))
+    weight = sets.select(F.col("unit").alias("u"), F.size("shingles").alias("many"))
+    weight = held.where("c != main").join(weight, F.col("unit") == F.col("u")).groupBy("bucket").agg(F.ceil(F.sum("many") / room).cast("int").alias("chunks"))
+    held = held.join(weight, "bucket").withColumn("own", F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int")))
+    every = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "own", "unit", "c")
+    # A unit outside the largest component is held in a part of its own and passes by the others.
+    every = every.withColumn("side", F.when(F.col("own") == F.col("chunk"), 0).otherwise(1))
+    settled = every.join(side("unit", "shingles"), "unit").select("bucket", "chunk", "side", "unit", "c", "shingles")
     settled = settled.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "side")
     more = settled.mapInArrow(lambda b: _settle(b, threshold), "a bigint, b bigint")
     more = durable(more.distinct())
