@@ -1,18 +1,19 @@
 """Repeated byte strings by distributed prefix doubling.
 
 Positions are ranked by growing prefixes: two positions share a rank of length
-2h if they share the rank of length h and the ranks of what follows, so Spark
-groups (rank, next rank) pairs at doubled offsets and ranks anew. A position
-whose rank is unique leaves; what is left at the threshold is repeated.
+2h if they share the rank of length h at the position and at offset h, so Spark
+groups the pairs of ranks at growing offsets. A position whose pair occurs once
+leaves; what is left at the threshold is repeated. A rank is the 64-bit name of
+its pair, equal for equal pairs, so no numbering has to be joined back.
 
 Not every byte is a position. A window of `LENGTH` bytes is owned by the
 smallest hash among its `START`-byte strings, its anchor; equal windows have
-equal anchors at equal places, so ranking anchors with the windows they own loses
-none. An anchor whose first rank is unique owns only unique windows and is never
-emitted. Occurrences with the same whole surroundings are one row with a count
-from then on. Doubling runs to the right and to the left of the anchors; each
-unique rank takes away the windows that reach so far. Windows that are still
-undecided at the end are compared themselves.
+equal anchors at equal places. An anchor whose first rank is unique owns only
+unique windows and is never emitted. Occurrences with the same whole surroundings
+are one row with a count from then on. Pairs of the anchors' ranks with those
+beside them, right and left, rule out the windows that reach over a unique one.
+The starts of the windows left are doubled from a quarter of the length to the
+half and the whole, which decides them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ LENGTH, START = 200, 32
 _PLACE = np.uint64((1 << 22) - 1)
 #: Bytes around a part of a long text that the ranks of its anchors may read.
 _AROUND = 512
+#: Joins a rank with the rank at the offset.
+_PAIR = np.uint64(0xD1342543DE82EF95)
+#: Surroundings that are sent to all tasks, at most; each has less than 200 pairs of numbers.
+MOST_HOT = 1024
 #: Names a task remembers, so as not to send their surroundings again.
 SEEN = 1 << 20
 
@@ -155,30 +160,41 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared, length: int) -> Itera
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, twice) -> Iterator[pa.RecordBatch]:
-    """A name for every window from distance `near` to `far` before the anchor; `whole` is where the cover begins.
+def _offsets(length: int) -> list[int]:
+    """Offsets of the doubling of a window's prefix: ranks of a quarter join to a half, two halves (overlapping if need be) to the whole."""
+    h = -(-length // 4)
+    return [h, length - 2 * h]
 
-    With a bitmap `twice`, of those that may be in it.
+
+def _ranked(batches: Iterator[pa.RecordBatch], length: int, offsets: list[int], repeated=None, n_known: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rank of every open window's prefix after the doubling steps of `offsets`.
+
+    A step names the pair of a position's rank and the rank at the offset, so equal pairs and only they share a rank.
+    `repeated` is the bitmap of the ranks after `n_known` steps that occur again: a window whose prefix is not in it has left.
     """
+    h = -(-length // 4)
     for batch in batches:
         around, times, whole, near, far = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        data, offsets = batch.column(5), None
-        data = data.cast(pa.large_binary())
-        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-        raw = np.frombuffer(data.buffers()[2], np.uint8)
+        covers = batch.column(5).cast(pa.large_binary())
+        ends = np.frombuffer(covers.buffers()[1], np.int64)[covers.offset : covers.offset + len(covers) + 1]
+        raw = np.frombuffer(covers.buffers()[2], np.uint8)
         size = (far - near + 1).astype(np.int64)
         for s in range(0, len(around), 2000):
             e = min(len(around), s + 2000)
-            names = tx.Names(raw[offsets[s] : offsets[e]])
+            data = raw[ends[s] : ends[e]]
             row = np.repeat(np.arange(s, e), size[s:e])
             d = near[row] + np.arange(len(row)) - np.repeat(np.cumsum(size[s:e]) - size[s:e], size[s:e])
-            at = offsets[row] - offsets[s] + whole[row] - d
-            window = tx.mix(names.of(at, at + length) + d.astype(np.uint64))
-            if twice is not None:
-                some = may_hold(twice.value, window)
-                window, row, d = window[some], row[some], d[some]
+            at = ends[row] - ends[s] + whole[row] - d
+            every = np.arange(len(data) - h + 1)
+            rank = tx.Names(data).of(every, every + h)
+            for k in range(len(offsets) + 1):
+                if repeated is not None and k == n_known:
+                    some = may_hold(repeated.value, rank[at])
+                    row, d, at = row[some], d[some], at[some]
+                if k < len(offsets):
+                    rank = tx.mix(rank[: len(rank) - offsets[k]] * _PAIR + rank[offsets[k] :])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tx.signed(window)), pa.array(around[row]), pa.array(d.astype(np.int32)), pa.array(times[row])], ["window", "around", "d", "n"]
+                [pa.array(tx.signed(rank[at])), pa.array(around[row]), pa.array(d.astype(np.int32)), pa.array(times[row])], ["rank", "around", "d", "n"]
             )
 
 
@@ -241,25 +257,38 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
     )
     covers.write.parquet(f"{folder}/covers")
     covers = spark.read.schema("around bigint, n bigint, whole int, near int, far int, cover binary").parquet(f"{folder}/covers")
-    kind = "window bigint, around bigint, d int, n bigint"
-    twice = covers.mapInArrow(lambda b: _windows(b, length, None), kind).groupBy("window").agg(F.sum("n").alias("_n"))
-    twice = _stored(twice.where("_n > 1").select("window"), f"{folder}/twice")
-    names = spark.sparkContext.broadcast(bitmap(twice, twice.count(), "window"))
+    kind, steps, known = "rank bigint, around bigint, d int, n bigint", _offsets(length), None
+    for k in range(len(steps)):
+        # The pairs of this step are grouped; those that occur once leave before the next one.
+        ranks = covers.mapInArrow(lambda b, k=k, known=known: _ranked(b, length, steps[: k + 1], known, k), kind)
+        twice = ranks.groupBy("rank").agg(F.sum("n").alias("_n"))
+        twice = _stored(twice.where("_n > 1").select("rank"), f"{folder}/twice{k}")
+        if known is not None:
+            known.unpersist()
+        known = spark.sparkContext.broadcast(bitmap(twice, twice.count(), "rank"))
     # A cover that occurs twice needs no look at its windows.
-    windows = covers.where("n = 1").mapInArrow(lambda b: _windows(b, length, names), kind).select("window", "around", "d")
-    single = windows.join(twice, "window").groupBy("around").agg(F.collect_set("d").alias("ds"))
-    ends = F.transform(F.filter("ds", lambda d: ~F.array_contains("ds", d + 1)), lambda d: d)
+    windows = covers.where("n = 1").mapInArrow(lambda b: _ranked(b, length, steps, known, len(steps)), kind).select("rank", "around", "d")
+    single = windows.join(twice, "rank").groupBy("around").agg(F.collect_set("d").alias("ds"))
+    ends = F.filter("ds", lambda d: ~F.array_contains("ds", d + 1))
     begins = F.filter("ds", lambda d: ~F.array_contains("ds", d - 1))
     runs = F.arrays_zip(F.array_sort(begins).alias("near"), F.array_sort(ends).alias("far"))
-    decided = single.select("around", runs.alias("runs"))
+    runs = runs.cast("array<struct<near:int,far:int>>")
     every = distinct.where("n > 1").select("around", F.array(F.struct("near", "far")).alias("runs"))
-    decided = every.unionByName(decided.select("around", F.col("runs").cast("array<struct<near:int,far:int>>")))
-    decided = decided.join(distinct.select("around", F.col("far").alias("_far")), "around")
-    found = anchors.select("key", "first", "around").join(decided, "around")
+    decided = every.unionByName(single.select("around", runs.alias("runs")))
+    decided = _stored(decided.join(distinct.select("around", "n", F.col("far").alias("_far")), "around"), f"{folder}/decided")
+
+    # Surroundings with more than one in MOST_HOT of the rows are fewer than MOST_HOT: they go to the rows, the others meet them by a shuffle.
+    places = anchors.select("key", "first", "around")
+    total = decided.agg(F.sum("n")).first()[0] or 0
+    hot = decided.where(F.col("n") > total // MOST_HOT)
+    marked = places.join(F.broadcast(hot), "around", "left")
+    found = marked.where("runs IS NOT NULL").unionByName(
+        marked.where("runs IS NULL").select("key", "first", "around").join(decided.where(F.col("n") <= total // MOST_HOT), "around")
+    )
     place = F.col("first") + F.col("_far")
     spans = F.transform("runs", lambda r: F.struct((place - r["far"]).alias("b"), (place - r["near"] + length).alias("e")))
-    found = found.select("key", spans.alias("spans"))
-    return found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # Copies of a row have equal spans, which are kept once.
+    return found.select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:

@@ -547,6 +547,35 @@ def test_prefix_doubling_edges(spark, monkeypatch):
     assert prefix_doubling.remove_repeats(df.limit(0), digest=True).count() == 0
 
 
+def test_prefix_doubling_needs_each_step(spark, monkeypatch):
+    """Equal quarters or halves are not enough: without a step, or with a wrong offset, other bytes go."""
+    rng = np.random.default_rng(11)
+    base = "".join(rng.choice(list("abcdefgh"), 900))
+    rows = [(i, base[: 130 + 9 * i] + "X" + base[131 + 9 * i : 700]) for i in range(50)] + [(100, base)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_repeats([(d, t.encode()) for d, t in rows])
+
+    def got():
+        return sorted((tuple(r) for r in prefix_doubling.remove_repeats(df, digest=True).collect()), key=str)
+
+    assert got() == want
+    for steps in ([50], [100], [50, 50]):
+        monkeypatch.setattr(prefix_doubling, "_offsets", lambda length, steps=steps: steps)
+        assert got() != want
+
+
+def test_prefix_doubling_hot_surroundings(spark, monkeypatch):
+    """Surroundings above and below the share that is sent to all tasks; clashing columns."""
+    rng = np.random.default_rng(12)
+    line, other = ("".join(rng.choice(list("abcdefgh"), 260)) for _ in range(2))
+    rows = [(i, line, "k") for i in range(300)] + [(400 + i, other, "k") for i in range(3)] + [(500, line, "k"), (500, line, "k"), (600, other[:205], None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key string").withColumns({"around": F.lit(1), "spans": F.lit("x"), "id": F.lit(2)})
+    want = brute_repeats([(d, t.encode()) for d, t, _ in rows])
+    for most in (1, 3, 1024):
+        monkeypatch.setattr(prefix_doubling, "MOST_HOT", most)
+        assert sorted((tuple(r) for r in prefix_doubling.remove_repeats(df, digest=True).collect()), key=str) == want
+
+
 def test_prefix_doubling_parts_of_a_long_text(spark):
     rng = np.random.default_rng(10)
     long = "".join(rng.choice(list("abcdefgh"), 2_500_000))
