@@ -200,7 +200,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], length: int, offsets: list[int],
 
 def _stored(df: DataFrame, folder: str) -> DataFrame:
     """`df` as a written table."""
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -222,9 +222,8 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
     kind += "".join(f", next{k} bigint" for k in range(len(steps)))
     shared = spark.sparkContext.broadcast(bitmap(first, first.count()))
     folder = fresh_folder(spark, "doubling")
-    rows.mapInArrow(lambda b: _candidates(b, shared, length), kind).write.parquet(f"{folder}/anchors")
+    anchors = _stored(rows.mapInArrow(lambda b: _candidates(b, shared, length), kind), f"{folder}/anchors")
     shared.unpersist()
-    anchors = spark.read.schema(kind).parquet(f"{folder}/anchors")
 
     # Occurrences of the same surroundings are one row from here on.
     same = ["rank", "near", "far", *[f"next{k}" for k in range(len(steps))]]
@@ -255,8 +254,7 @@ def repeated_spans(docs: DataFrame, key: Column, text_col: str = "text", length:
     covers = covers.join(left, covers["around"] == left["_around"]).groupBy("around").agg(
         F.first("n").alias("n"), F.first("_whole").alias("whole"), F.first("_near").alias("near"), F.first("_far").alias("far"), F.first("cover").alias("cover")
     )
-    covers.write.parquet(f"{folder}/covers")
-    covers = spark.read.schema("around bigint, n bigint, whole int, near int, far int, cover binary").parquet(f"{folder}/covers")
+    covers = _stored(covers, f"{folder}/covers")
     kind, steps, known = "rank bigint, around bigint, d int, n bigint", _offsets(length), None
     for k in range(len(steps)):
         # The pairs of this step are grouped; those that occur once leave before the next one.
