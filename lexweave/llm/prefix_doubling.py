@@ -123,8 +123,8 @@ def _steps(length: int) -> list[tuple[str, int, int, int]]:
     """Doubling steps: side, bytes beside the anchor that join the rank (from, to), and the reach that a unique rank rules out."""
     out, h = [], START
     while h < length:
-        if h + START < length:
-            out.append(("right", h, min(2 * h, length), min(2 * h, length)))
+        if 2 * h < length:
+            out.append(("right", h, 2 * h, 2 * h))
         out.append(("left", -h, -(h // 2) if h > START else 0, h))
         h *= 2
     return out
