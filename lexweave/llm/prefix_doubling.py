@@ -33,6 +33,8 @@ LENGTH, START = 200, 32
 _PLACE = np.uint64((1 << 22) - 1)
 #: Bytes around a part of a long text that the ranks of its anchors may read.
 _AROUND = 512
+#: Spark's setting to remove a query's shuffle files at its end, not when the driver's collector comes to them.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Joins a rank with the rank at the offset.
 _PAIR = np.uint64(0xD1342543DE82EF95)
 #: Surroundings that are sent to all tasks, at most; each has less than 200 pairs of numbers.
@@ -199,8 +201,14 @@ def _ranked(batches: Iterator[pa.RecordBatch], length: int, offsets: list[int],
 
 
 def _stored(df: DataFrame, folder: str) -> DataFrame:
-    """`df` as a written table."""
-    df.write.option("compression", "zstd").parquet(folder)
+    """`df` as a written table. What it shuffled is released at once, since nothing reads it again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_RELEASE, "false")
+    conf.set(_RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        conf.set(_RELEASE, before)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -329,8 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     folder = fresh_folder(spark, "spans")
-    repeated_spans(docs, key, text_col, length).write.parquet(folder)
-    spans = spark.read.schema("key bigint, spans array<struct<b:bigint,e:bigint>>").parquet(folder)
+    spans = _stored(repeated_spans(docs, key, text_col, length), folder)
     keys = spans.select(F.col("key").alias("name"))
     shared = spark.sparkContext.broadcast(bitmap(keys, keys.count()))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
