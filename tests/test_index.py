@@ -1,7 +1,10 @@
 """The index of search entries against plain scans."""
 
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 import pytest
 
 from lexweave.operators import index as ix, retrieval as R
@@ -49,3 +52,12 @@ def test_empty_index(spark, corpus):
     queries, entries = corpus
     assert R.lexical_search(queries, entries.limit(0), 5).collect() == []
     assert R.lexical_search(queries.limit(0), entries, 5).collect() == []
+
+
+def test_writer_holds_one_segment(spark, corpus):
+    """A row group, which writer and reader hold whole, is one segment."""
+    folder = fresh_folder(spark, "index")
+    n = ix.write_index(corpus[1], folder, 7).count()
+    files = [pq.read_metadata(f) for f in Path(urlparse(folder).path).glob("*.parquet")]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert n > 50 and groups == [1] * n
