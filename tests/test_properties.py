@@ -147,6 +147,16 @@ def test_renumbered_provision_is_found(spark):
     assert refused == [] and {(r.from_version, r.number, r.text, r.to_version) for r in ranges} == {(1, "5", "old", 2), (2, "50", "old", 3), (3, "50", "new", None)}
 
 
+def test_events_of_one_id_are_events_of_their_own(spark):
+    base = [("L", "ARTICLE", "5", "old")]
+    days = [dt.date(2020, 1, 1), dt.date(2021, 1, 1)]
+    twice = [("L", 1, "REPLACE", days[0], "ARTICLE", "5", "new", None)] * 2
+    made, ranges, refused = amended(spark, base, [*twice, ("L", 1, "REPLACE", days[1], "ARTICLE", "5", "newer", None), ("L", 1, "DELETE", days[1], "ARTICLE", "6", None, None)])
+    assert sorted((r.version_number, r.previous_text, r.text_after) for r in made) == [(2, "old", "new"), (3, "new", "new"), (4, "new", "newer")]
+    assert sorted((r.from_version, r.to_version or 0, r.text) for r in ranges) == [(1, 2, "old"), (2, 3, "new"), (3, 4, "new"), (4, 0, "newer")]
+    assert [r.reason for r in refused] == ["provision not found"]
+
+
 def test_line_differences(spark):
     from lexweave.functions import lines
 
