@@ -147,6 +147,19 @@ def test_renumbered_provision_is_found(spark):
     assert refused == [] and {(r.from_version, r.number, r.text, r.to_version) for r in ranges} == {(1, "5", "old", 2), (2, "50", "old", 3), (3, "50", "new", None)}
 
 
+def test_as_of_needs_no_version_id(spark):
+    """Without ids the same versions are found; a probe without a day gets the latest one."""
+    day = [dt.date(2000 + i, 1, 1) for i in range(4)]
+    versions = spark.createDataFrame([("L", "a", 1, day[0], day[1]), ("L", "b", 2, day[1], None), ("M", "c", 1, day[2], None)],
+                                     "law string, version_id string, version_number int, effective_from date, effective_to date")
+    probes = spark.createDataFrame([(0, "L", day[0]), (1, "L", day[3]), (2, "L", None), (3, "M", day[0]), (4, "N", day[0])], "p int, law string, as_of date")
+    with_id = X.resolve_as_of(probes, versions)
+    got = X.resolve_as_of(probes, versions.drop("version_id"))
+    assert got.columns == [c for c in with_id.columns if c != "version_id"]
+    assert sorted((r.p, r.version_number, r.applicable) for r in got.collect()) == [(0, 1, True), (1, 2, True), (2, 2, False), (3, 1, False), (4, None, False)]
+    assert {r.p: r.version_id for r in with_id.collect()} == {0: "a", 1: "b", 2: "b", 3: "c", 4: None}
+
+
 def test_events_of_one_id_are_events_of_their_own(spark):
     base = [("L", "ARTICLE", "5", "old")]
     days = [dt.date(2020, 1, 1), dt.date(2021, 1, 1)]
