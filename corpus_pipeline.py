@@ -20,7 +20,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarity 0.8 of five-word shingles links; SimHash alone would miss most links."""
+    """One document of each group that similarity 0.8 of five-word shingles links. Fingerprints propose, and bands what SimHash alone would miss."""
     return near_texts.drop_near_duplicates(docs)
 
 

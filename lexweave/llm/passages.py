@@ -321,10 +321,10 @@ def _settle(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], folder: str, threshold: float, room: int = ROOM) -> DataFrame:
+def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], folder: str, threshold: float, room: int = ROOM, proposed: DataFrame | None = None) -> DataFrame:
     """`node`, `component` of the `units` (`unit`, `bands`) that are similar to another.
 
-    `shingles_of` gives `unit` and `shingles` of the units in a bitmap; `folder` takes what is written on the way.
+    `proposed` (`a`, `b`, both with shingles) is verified beside the pairs of the bands. `shingles_of` gives `unit` and `shingles` of the units in a bitmap; `folder` takes what is written on the way.
     """
     spark = units.sparkSession
     buckets = units.where("size(bands) > 0").groupBy("unit").agg(F.first("bands").alias("bands")).select("unit", F.explode("bands").alias("bucket"))
@@ -332,9 +332,14 @@ def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], fol
     buckets = spark.read.schema("unit bigint, bucket bigint").parquet(f"{folder}/buckets")
     stars = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("unit").alias("first")).where("size > 1")
     members = durable(buckets.join(stars, "bucket"))
-    pairs = durable(members.where("unit > first").select(F.col("first").alias("a"), F.col("unit").alias("b")).distinct())
-
-    asked = members.select(F.col("unit").alias("name")).distinct()
+    pairs = members.where("unit > first").select(F.col("first").alias("a"), F.col("unit").alias("b"))
+    asked = members.select(F.col("unit").alias("name"))
+    if proposed is not None:
+        pairs = pairs.union(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        asked = asked.union(proposed.select(F.explode(F.array("a", "b")).alias("name")))
+    pairs = durable(pairs.distinct())
+
+    asked = asked.distinct()
     sets = shingles_of(bitmap(asked, asked.count())).groupBy("unit").agg(F.first("shingles").alias("shingles"))
     sets.join(asked, sets["unit"] == asked["name"], "left_semi").write.parquet(f"{folder}/shingles")
     sets = spark.read.schema("unit bigint, shingles array<bigint>").parquet(f"{folder}/shingles")

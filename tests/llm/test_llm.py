@@ -76,6 +76,20 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def test_near_texts_asks_fingerprints(spark, monkeypatch):
+    """Without any band the fingerprints alone propose, as op4 links them."""
+    rng = np.random.default_rng(31)
+    monkeypatch.setattr(near_texts.ps, "tuned_bands", lambda threshold: 0)
+    rows, want = [], set()
+    for i in range(0, 60, 2):
+        text = " ".join(f"w{rng.integers(10**6)}" for _ in range(200))
+        rows += [(i, text), (i + 1, text + " more")]
+        apart = (simhash.simhash(rows[-1][1].encode()) ^ simhash.simhash(text.encode())).bit_count()
+        want |= {i} if apart <= simhash.MOST else {i, i + 1}
+    kept = {r.doc_id for r in near_texts.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == want and 30 <= len(want) < 60
+
+
 @pytest.mark.parametrize("block", [1_000_000, 500])
 def test_decontamination(spark, docs, texts, block):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
