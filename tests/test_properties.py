@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from lexweave import scale
 from lexweave.functions import fixed
-from lexweave.operators import retrieval as R, temporal as X
+from lexweave.operators import retrieval as R, structure, temporal as X
 
 
 def skewed(n, seed, keys=6):
@@ -201,6 +202,42 @@ def test_line_differences(spark):
     assert sorted((r.node_id, r.sign, r.line) for r in X.line_changes(diff).collect()) == [("m", "-", "old"), ("m", "-", "only"), ("n", "-", "x")]
 
 
+def test_text_pairs_are_split_where_they_meet(spark):
+    """The diff of whole texts against the diff of their provisions, headings that come twice among them."""
+    rng = random.Random(12)
+    heads = ["Article 1", "Article 2", "Article 3", "Article 2"]
+
+    def text():
+        return "\n".join(x for h in heads if rng.random() < 0.8 for x in [h, *[f"(1)para {rng.randrange(2)}", f"body {rng.randrange(2)}"][: rng.randrange(3)]])
+
+    rows = [("hot" if rng.random() < 0.5 else "x", i, dt.date(2000, 1, 1) + dt.timedelta(days=i * 20), text()) for i in range(60)]
+    texts = spark.createDataFrame([*rows, ("x", 60, dt.date(2010, 1, 1), None)], ["law", "n", "day", "body"])
+    chain = X.version_chain(texts, "law", ["day", "n"], "body", "day")
+    named = structure.with_node_ids(structure.split_provisions(chain, "body"))
+    old = chain.filter("supersedes IS NOT NULL").select(F.col("version_id").alias("pair_id"), F.col("supersedes").alias("base_id"), F.col("version_id").alias("target_id"))
+    want = X.diff_versions(old, named).collect()
+    made = X.diff_texts(X.version_pairs(texts, "law", ["day", "n"], "body", "n", scale.month_block("day")), texts, "law", "n", "body")
+
+    def plain(rows):
+        return sorted(map(repr, ((r.pair_id, r.node_id, r.old_text, r.new_text, [tuple(c) for c in r.changes]) for r in rows)))
+
+    assert len(want) > 50 and plain(made.collect()) == plain(want)
+
+
+def test_changed_counts_shuffle_whole_texts_only(spark):
+    """What the texts are split into is not shuffled, nor are the ids of versions and provisions."""
+    import __spark_entry__ as entry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["diff_versions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = set(re.findall(r"hashpartitioning\((.*?), \d+\)", plan))
+    assert dealt and not any(x in y for x in ("version_id", "node_id", "pair_id") for y in dealt)
+
+
 def fold(s):
     return s.lower().translate(str.maketrans(fixed.FOLD_FROM, fixed.FOLD_TO))
 
