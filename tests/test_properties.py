@@ -3,12 +3,15 @@
 import datetime as dt
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
 from lexweave import scale
 from lexweave.functions import fixed
 from lexweave.operators import retrieval as R, structure, temporal as X
+from lexweave.session import shared_folder
 
 
 def skewed(n, seed, keys=6):
@@ -224,6 +227,32 @@ def test_text_pairs_are_split_where_they_meet(spark):
     assert len(want) > 50 and plain(made.collect()) == plain(want)
 
 
+def test_rejected_amendments_write_little(spark):
+    """What is kept between the steps is small beside the events, which a plain checkpoint writes whole."""
+    rng = random.Random(14)
+    base = [("L", "ARTICLE", str(n), "base") for n in range(5)]
+    events = [("L", i, rng.choice(["RENUMBER", "REPLACE", "INSERT"]), dt.date(2000, 1, 1) + dt.timedelta(days=i), "ARTICLE", str(rng.randrange(9)), "x" * 4000,
+               str(rng.randrange(9))) for i in range(1000)]
+    shared = Path(urlparse(shared_folder(spark)).path)
+
+    def size():
+        return sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+
+    before = size()
+    laws = spark.createDataFrame([("L", 1)], ["law", "version_number"])
+    rejected = X.number_amendments(spark.createDataFrame(events, EVENT), laws, spark.createDataFrame(base, ["law", "node_type", "number", "source_text"]))[1]
+    numbers, want = {str(n) for n in range(5)}, set()
+    for _, i, operation, _, _, number, _, to in events:
+        if operation == "INSERT":
+            numbers.add(number)
+        elif number not in numbers:
+            want.add(i)
+        elif operation == "RENUMBER":
+            numbers = numbers - {number} | {to}
+    assert {r.event_id for r in rejected.collect()} == want
+    assert size() - before < 2_000_000
+
+
 def test_changed_counts_shuffle_whole_texts_only(spark):
     """What the texts are split into is not shuffled, nor are the ids of versions and provisions."""
     import __spark_entry__ as entry
