@@ -227,6 +227,22 @@ def test_text_pairs_are_split_where_they_meet(spark):
     assert len(want) > 50 and plain(made.collect()) == plain(want)
 
 
+def test_tree_expand_orders_laws_not_provisions(spark):
+    rng = random.Random(15)
+    laws = ["N-1", "N-10", "N-100", "N-11", "N-2", "Ν-7", "none"]
+    nodes = [("legislation_node", law, f"law-{law}-art-{i}") for law in laws[:-1] for i in range(300 if law == "N-10" else rng.randrange(4))]
+    named = [(q, f"law-{rng.choice(laws)}-art-1") for q in range(5) for _ in range(4)] + [(9, "judgment-x")]
+    entries = spark.createDataFrame(nodes, ["kind", "ref_law", "canonical_ref"])
+    out = R.tree_expand(spark.createDataFrame(named, ["query_id", "canonical_ref"]), entries)
+    want = set()
+    for q in range(5):
+        mine = {ref[4:-6] for i, ref in named if i == q}
+        want |= {(q, ref, n + 1) for n, (_, ref) in enumerate(sorted((law, ref) for _, law, ref in nodes if law in mine))}
+    assert {tuple(r) for r in out.collect()} == want
+    ordered = re.findall(r"windowspecdefinition\(query_id#[^)]*\)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert ordered and not any("canonical_ref" in x for x in ordered)
+
+
 def test_rejected_amendments_write_little(spark):
     """What is kept between the steps is small beside the events, which a plain checkpoint writes whole."""
     rng = random.Random(14)
