@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..scale import spread
+from ..scale import SPREAD_ROWS, spread
 from .base import INPUTS, ORACLE_PARTS, query
 from .documents import paragraphs, wording
 
@@ -70,7 +70,7 @@ UNION ALL SELECT concat('case|', case_number), canonical_ref, title, body FROM {
         ("judgment_case", r"[0-9]{1,5}\s*/\s*[0-9]{4}"),
     ]))
 def reference_mentions(src):
-    out = G.reference_mentions(spread(src.law_source.select("arrival", "raw_text")), "raw_text")
+    out = G.reference_mentions(spread(src.law_source.select("arrival", "raw_text"), SPREAD_ROWS), "raw_text")
     return out.select("arrival", "kind", "text", "start")
 
 
