@@ -227,6 +227,22 @@ def test_text_pairs_are_split_where_they_meet(spark):
     assert len(want) > 50 and plain(made.collect()) == plain(want)
 
 
+def test_spread_bounds_the_rows_of_a_task(spark):
+    one = spark.range(1000).coalesce(1)
+    assert scale.spread(one, 10).rdd.getNumPartitions() == 100
+    assert scale.spread(one.groupBy("id").count(), 10).rdd.getNumPartitions() == 100
+    many = spark.range(0, 1000, 1, 200)
+    assert scale.spread(many, 10) is many
+
+
+def test_provision_nodes_shuffle_no_ids(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["provision_nodes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and not any("node_id" in x for x in dealt)
+
+
 def test_tree_expand_orders_laws_not_provisions(spark):
     rng = random.Random(15)
     laws = ["N-1", "N-10", "N-100", "N-11", "N-2", "Ν-7", "none"]
