@@ -44,6 +44,8 @@ ROUND_BYTES = 128 << 20
 FREQUENT = 1 << 21
 #: Texts that ask the filter together, each distinct name once.
 ASK_BYTES = 1 << 20
+#: Names of this level and above are kept by the task that asked for them, about so many (10 MB): they come again and cost most.
+KEPT_LEVEL, KEPT_NAMES = 8, 1 << 20
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0, 65536.0, 1e6)
 _BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -122,9 +124,28 @@ class Filter:
 
     def __init__(self, begin: np.ndarray, bits: np.ndarray, raw: bytes):
         self.begin, self.bits, self.data = begin, bits, np.frombuffer(raw, np.uint8)
+        self.kept, self.kept_levels = np.empty(0, np.uint64), np.empty(0, np.uint8)
 
     def levels(self, names: np.ndarray) -> np.ndarray:
-        """Level of each name; 0 where the filter lacks it or its segment is not here."""
+        """Level of each of some distinct names; 0 where the filter lacks it or its segment is not here."""
+        out = np.zeros(len(names), np.uint8)
+        new = np.arange(len(names))
+        if len(self.kept):
+            at = np.minimum(np.searchsorted(self.kept, names), len(self.kept) - 1)
+            known = self.kept[at] == names
+            out[known] = self.kept_levels[at[known]]
+            new = np.flatnonzero(~known)
+        out[new] = found = self._asked_for(names[new])
+        often = found >= KEPT_LEVEL
+        if often.any() and len(self.kept) < KEPT_NAMES:
+            more = names[new[often]]
+            order = np.argsort(more)
+            at = np.searchsorted(self.kept, more[order])
+            self.kept = np.insert(self.kept, at, more[order])
+            self.kept_levels = np.insert(self.kept_levels, at, found[often][order])
+        return out
+
+    def _asked_for(self, names: np.ndarray) -> np.ndarray:
         out = np.zeros(len(names), np.uint8)
         part = ((names >> np.uint64(32)) * np.uint64(len(self.bits)) >> np.uint64(32)).astype(np.int64)
         left = np.flatnonzero(self.bits[part] > 0)
