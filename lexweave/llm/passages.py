@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import durable, fresh_folder
 from . import text as tx
@@ -330,8 +330,12 @@ def linked(units: DataFrame, shingles_of: Callable[[np.ndarray], DataFrame], fol
     buckets = units.where("size(bands) > 0").groupBy("unit").agg(F.first("bands").alias("bands")).select("unit", F.explode("bands").alias("bucket"))
     buckets.write.parquet(f"{folder}/buckets")
     buckets = spark.read.schema("unit bigint, bucket bigint").parquet(f"{folder}/buckets")
-    stars = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("unit").alias("first")).where("size > 1")
-    members = durable(buckets.join(stars, "bucket"))
+    # One shuffle finds the first unit of each bucket and whether it holds one unit, two or more (3).
+    inside = W.partitionBy("bucket").orderBy("unit")
+    after = [F.lead("unit", k).over(inside).isNotNull().cast("int") for k in (1, 2)]
+    size = F.least(F.lit(3), F.row_number().over(inside) + after[0] + after[1])
+    starred = buckets.select("bucket", "unit", F.first("unit").over(inside).alias("first"), size.alias("size"))
+    members = durable(starred.where("size > 1"))
     pairs = members.where("unit > first").select(F.col("first").alias("a"), F.col("unit").alias("b"))
     asked = members.select(F.col("unit").alias("name"))
     if proposed is not None:
