@@ -25,3 +25,11 @@ def test_tasks_do_not_grow_with_the_tables(spark):
     finally:
         for c, v in held.items():
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_words_of_postings_are_not_shuffled(spark):
+    from lexweave.plans import QUERIES
+
+    plan = QUERIES["postings"](spark, "/root/testdata/sf0.001")
+    assert plan._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
