@@ -419,3 +419,19 @@ def test_alias_classes(spark):
             root[y] = x
     got = {r.name: r.case_class for r in G.alias_classes(spark.createDataFrame(rows, "alias string, canonical_id string")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_version_spans_are_those_of_the_chain(spark):
+    """Repeated texts, several of a day, one dominant law: numbers and intervals as in the chain, under the arrival."""
+    rng = random.Random(11)
+    rows = [("hot" if rng.random() < 0.5 else f"L{rng.randrange(4)}", dt.date(2000 + rng.randrange(3), 1 + rng.randrange(12), 1), i, f"text {rng.randrange(60)}")
+            for i in range(400)]
+    df = spark.createDataFrame(rows + [("null", dt.date(2000, 1, 1), 400, None), ("null", dt.date(2000, 1, 2), 401, None)],
+                               "law string, effective_from date, arrival int, body string")
+    order = ["effective_from", "arrival"]
+    chain = X.version_chain(df, "law", order, "body", "effective_from").withColumn("version_id", F.col("arrival"))
+    got = X.version_spans(df, "law", order, "body", "effective_from", "arrival")
+    assert got.columns == ["law", "version_id", "version_number", "effective_from", "effective_to"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, chain.select(*got.columns).collect()))
+    hashes = X.version_chain(df, "law", order, "body", "effective_from").select("content_hash", F.sha2("body", 256).alias("want"))
+    assert hashes.filter("NOT content_hash <=> coalesce(want, sha2('', 256)) AND NOT content_hash <=> want").isEmpty()

@@ -1,5 +1,7 @@
 """Tasks stay of one size however large the tables are."""
 
+import pytest
+
 from lexweave.plans.base import Source
 from lexweave.session import SHUFFLE_SHARE, TASK_BYTES, fit_tasks, in_bytes
 
@@ -33,3 +35,12 @@ def test_words_of_postings_are_not_shuffled(spark):
     plan = QUERIES["postings"](spark, "/root/testdata/sf0.001")
     assert plan._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["resolve_as_of", "provisions_as_of", "annotate_temporal", "explain", "attach_evidence"])
+def test_history_is_made_once(spark, name):
+    from lexweave.plans import QUERIES
+
+    # What reads the history finds it made: it hashes no text again.
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "sha2(" not in plan._jdf.queryExecution().optimizedPlan().toString()
