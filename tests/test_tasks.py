@@ -44,3 +44,15 @@ def test_history_is_made_once(spark, name):
     # What reads the history finds it made: it hashes no text again.
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "sha2(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wording_of_evidence_has_small_tasks(spark, monkeypatch):
+    from lexweave.plans import documents
+
+    monkeypatch.setattr(documents, "SPREAD_ROWS", 50)
+    src = Source(spark, "/root/testdata/sf0.001")
+    wording, n = documents.arrived_wording(src), -(-src.orders.count() // 50)
+    assert wording.rdd.getNumPartitions() == n > 8
+    # Orders are shuffled there, not the texts made of them.
+    below = wording._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")[1]
+    assert "preamble" not in below and "o_comment" not in below.splitlines()[1]
