@@ -48,6 +48,27 @@ def test_last_known_in_blocks(spark):
         assert {tuple(r) for r in out} == want
 
 
+def test_adverse_authorities_of_one_matter_are_many_tasks(spark, monkeypatch):
+    """All queries and authorities of a matter meet; no task makes more than a share of the pairs."""
+    from lexweave.operators import graph
+
+    monkeypatch.setattr(scale, "TILE_ROWS", 8)
+    monkeypatch.setattr(scale, "TASK_PAIRS", 500)
+    rng = random.Random(31)
+    results = [(q, 0 if rng.random() < 0.8 else rng.randrange(1, 5), f"r{q % 7}", None) for q in range(120)] * 2
+    matter = [(0 if rng.random() < 0.8 else rng.randrange(1, 6), f"doc-{i % 50}", "adverse" if i % 3 else "supporting", f"issue {i % 2}") for i in range(150)] * 2
+    made = graph.adverse_authorities(
+        spark.createDataFrame(results, "query_id long, matter_id long, canonical_ref string, case_key string"),
+        spark.createDataFrame([], "source_key string, treatment string, review_status string"),
+        spark.createDataFrame(matter, "matter_id long, canonical_ref string, classification string, matter_issue string"),
+    )
+    want = sorted((q, ref, issue) for q, m in {r[:2] for r in results} for n, ref, kind, issue in matter if n == m and kind == "adverse")
+    got = made.withColumn("_task", F.spark_partition_id()).collect()
+    assert sorted((r.query_id, r.canonical_ref, r.basis) for r in got) == want and len(want) > 15_000
+    tasks = [r._task for r in got]
+    assert max(map(tasks.count, set(tasks))) < len(want) / 8
+
+
 def test_as_of_with_overlaps(spark):
     rng = random.Random(3)
     day0 = dt.date(2000, 1, 1)

@@ -46,6 +46,29 @@ def test_history_is_made_once(spark, name):
     assert "sha2(" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_evidence_reads_the_texts_of_named_laws(spark, monkeypatch):
+    from lexweave.plans import matters
+
+    made = {}
+    for name in ("spans", "arrived_wording"):
+        monkeypatch.setattr(matters, name, lambda src, make=getattr(matters, name), name=name: made.setdefault(name, make(src)))
+    src = Source(spark, "/root/testdata/sf0.001")
+    matters.evidence(src)
+    of = {name: {r.law for r in df.select("law").distinct().collect()} for name, df in made.items()}
+    named = {r.law for r in src.answer_results.selectExpr("split_part(substr(canonical_ref, 5), '-art-', 1) AS law").where("canonical_ref LIKE 'law-%'").collect()}
+    there = {r.law for r in src.law_source.select("law").distinct().collect()}
+    assert of["spans"] == of["arrived_wording"] == named & there and there - named
+
+
+def test_judgments_of_evidence_are_cut_by_many_tasks(spark, monkeypatch):
+    from lexweave.plans import matters
+
+    monkeypatch.setattr(matters, "SPREAD_ROWS", 5)
+    src = Source(spark, "/root/testdata/sf0.001")
+    n = -(-src.conversations.count() // 5)
+    assert n > 8 and f"Repartition {n}" in matters.named_paragraphs(src)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_wording_of_evidence_has_small_tasks(spark, monkeypatch):
     from lexweave.plans import documents
 
