@@ -195,6 +195,58 @@ def test_events_of_one_id_are_events_of_their_own(spark):
     assert [r.reason for r in refused] == ["provision not found"]
 
 
+def odd_amendments(n, seed):
+    """Random events of laws of many sizes, with unknown and missing operations, laws, numbers and targets, repeats and repeals."""
+    rng = random.Random(seed)
+    laws = ["big", "big", "big", *"ABCD", "not there", None]
+    base = [(law, kind, str(i), f"base {i}" if i else None) for law in ("big", *"ABCDE") for kind in ("ARTICLE", "PART") for i in range(3)]
+    operations = ["REPLACE", "REPLACE", "DELETE", "INSERT", "RENUMBER", "RENUMBER", "RENUMBER", "COMMENCE", "ANNOTATE", None]
+    events = []
+    for i in range(n):
+        op = "REPEAL" if rng.random() < 0.004 else rng.choice(operations)
+        kind = rng.choice(["ARTICLE", "ARTICLE", "PART", None])
+        number = None if rng.random() < 0.05 else str(rng.randrange(6))
+        to = None if rng.random() < 0.1 else str(rng.randrange(8))
+        events.append((rng.choice(laws), i // 2, op, dt.date(2001, 1, 1) + dt.timedelta(days=rng.randrange(300)), kind, number, f"text {i}" if i % 9 else None, to))
+    return base, events + events[:20]
+
+
+def test_large_laws_are_amended_in_blocks(spark, monkeypatch):
+    """Whole laws in a task and laws in blocks give the same versions, texts and ranges; identities are names only."""
+    base, events = odd_amendments(500, 51)
+    whole = amended(spark, base, events)
+    for most in (0, 100 * X.ROW_BYTES):
+        monkeypatch.setattr(X, "LAW_BYTES", most)
+        monkeypatch.setattr(X, "LAW_GROUPS", 4)
+        blocks = amended(spark, base, events)
+        for one, other in zip(whole, blocks, strict=True):
+            plain = [sorted(repr({k: v for k, v in r.asDict().items() if k != "identity"}) for r in rows) for rows in (one, other)]
+            assert plain[0] == plain[1] and len(plain[0]) > 30
+        names = {(r.law, r.version_number): r.identity for r in whole[0]}
+        pairs = {(r.law, names[r.law, r.version_number], r.identity) for r in blocks[0]}
+        assert len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs}) == len(pairs)
+
+
+def test_laws_are_weighed_by_rows_and_texts(spark, monkeypatch):
+    laws = [("many", "x")] * 40 + [("long", "x" * 9000)] + [("small", "x")] * 3 + [(None, "x")] * 50
+    events = spark.createDataFrame(laws, "law string, new_text string")
+    wording = spark.createDataFrame([("wide", "x")] * 40, "law string, source_text string")
+    monkeypatch.setattr(X, "LAW_BYTES", 30 * X.ROW_BYTES)
+    assert {r.law for r in X._large_laws(wording, events).collect()} == {"many", "long", "wide"}
+    monkeypatch.setattr(X, "LAW_BYTES", 60 * X.ROW_BYTES)
+    assert X._large_laws(wording, events) is None
+
+
+def test_amendments_shuffle_events_once(spark):
+    import __spark_entry__ as entry
+
+    for name, most in (("apply_amendments", 1),):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        below = plan.optimizedPlan().toString()
+        assert plan.sparkPlan().toString().count("Exchange") <= 1 and below.count("Window") == 0
+        assert plan.executedPlan().toString().count("Exchange hashpartitioning") + plan.executedPlan().toString().count("BroadcastExchange") <= most
+
+
 def test_line_differences(spark):
     from lexweave.functions import lines
 
