@@ -240,7 +240,7 @@ def test_laws_are_weighed_by_rows_and_texts(spark, monkeypatch):
 def test_amendments_shuffle_events_once(spark):
     import __spark_entry__ as entry
 
-    for name, most in (("apply_amendments", 1),):
+    for name, most in (("apply_amendments", 1), ("amended_wording", 4)):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
         below = plan.optimizedPlan().toString()
         assert plan.sparkPlan().toString().count("Exchange") <= 1 and below.count("Window") == 0
