@@ -51,22 +51,33 @@ def test_evidence_reads_the_texts_of_named_laws(spark, monkeypatch):
 
     made = {}
     for name in ("spans", "arrived_wording"):
-        monkeypatch.setattr(matters, name, lambda src, make=getattr(matters, name), name=name: made.setdefault(name, make(src)))
+        monkeypatch.setattr(matters, name, lambda *of, make=getattr(matters, name), name=name: made.setdefault(name, make(*of)))
     src = Source(spark, "/root/testdata/sf0.001")
     matters.evidence(src)
     of = {name: {r.law for r in df.select("law").distinct().collect()} for name, df in made.items()}
     named = {r.law for r in src.answer_results.selectExpr("split_part(substr(canonical_ref, 5), '-art-', 1) AS law").where("canonical_ref LIKE 'law-%'").collect()}
     there = {r.law for r in src.law_source.select("law").distinct().collect()}
     assert of["spans"] == of["arrived_wording"] == named & there and there - named
+    # One version is in force on the date of a query; the other versions of its law are not split.
+    split, kept = (made[name].select("version_id").distinct().count() for name in ("arrived_wording", "spans"))
+    assert split <= src.answer_results.where("canonical_ref LIKE 'law-%'").count() < kept
 
 
 def test_judgments_of_evidence_are_cut_by_many_tasks(spark, monkeypatch):
     from lexweave.plans import matters
 
+    from lexweave.operators import structure
+
+    kept = []
+    monkeypatch.setattr(structure, "stored", lambda df, store=structure.stored: kept.append(df) or store(df))
     monkeypatch.setattr(matters, "SPREAD_ROWS", 5)
     src = Source(spark, "/root/testdata/sf0.001")
     n = -(-src.conversations.count() // 5)
-    assert n > 8 and f"Repartition {n}" in matters.named_paragraphs(src)._jdf.queryExecution().optimizedPlan().toString()
+    made = matters.named_paragraphs(src)
+    assert n > 8 and f"Repartition {n}" in kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    # Their lines are read again, the texts are not cut again.
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, matters.paragraphs(src).withColumnRenamed("case_id", "canonical_id").collect()))
 
 
 def test_wording_of_evidence_has_small_tasks(spark, monkeypatch):
